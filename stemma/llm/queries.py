@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemma.llm import byte_bpe, quality_rules, simhash
+from stemma.llm import byte_bpe, packing, quality_rules, simhash, toxicity
 from stemma.llm._common import read
 
 
@@ -22,6 +22,12 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as vocab
+
+    return packing.pack(packing.pieces(read(spark, sf_dir, "documents"), vocab.path("word_bpe_49k.json")))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.group(read(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
@@ -33,8 +39,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.train(toxicity.labelled_rows(docs, read(spark, sf_dir, "labels"), "toxic", 5, 0))
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out("doc_id", 5, 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_byte_bpe, op4_simhash, op6_quality_rules)}
+    return {f.__name__: f for f in (op2_byte_bpe, op3_packing, op4_simhash, op6_quality_rules, op8_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
