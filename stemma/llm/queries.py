@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemma.llm import byte_bpe, packing, quality_rules, simhash, toxicity
+from stemma.llm import byte_bpe, packing, quality_classifier, quality_rules, simhash, toxicity
 from stemma.llm._common import read
 
 
@@ -39,6 +39,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept")
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = quality_classifier.train(docs, toxicity.labelled_rows(docs, read(spark, sf_dir, "labels"), "quality", 4, 2))
+    return quality_classifier.score(docs, model).select("doc_id", toxicity.held_out("doc_id", 4, 2).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = toxicity.train(toxicity.labelled_rows(docs, read(spark, sf_dir, "labels"), "toxic", 5, 0))
@@ -46,7 +52,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_byte_bpe, op3_packing, op4_simhash, op6_quality_rules, op8_toxicity)}
+    return {f.__name__: f for f in (op2_byte_bpe, op3_packing, op4_simhash, op6_quality_rules, op7_quality_classifier, op8_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

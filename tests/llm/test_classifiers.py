@@ -33,3 +33,47 @@ def test_toxicity_edge_cases(spark, labels):
         by = {r.doc_id: r.score for r in rows}
         assert by[1] > 0.5 > by[0]
     assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+def test_quality_on_held_out_rows(spark):
+    from stemma.llm import queries
+
+    folder = "/root/testdata/sf0.1"
+    rows = queries.op7_quality_classifier(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").collect()
+    assert {r.doc_id for r in rows if r.held_out} == {r.doc_id for r in _held_out(rows, 4, 2)}
+    rows = [r for r in rows if r.held_out]
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows)
+    kept = sum(r.predicted for r in rows if r.quality) / sum(r.quality for r in rows)
+    wrong = sum(r.predicted for r in rows if not r.quality) / sum(not r.quality for r in rows)
+    assert kept > 0.98 and wrong < 0.1
+
+
+def test_word_vectors_equal_a_plain_count(spark):
+    import numpy as np
+
+    from stemma.llm import quality_classifier as q
+
+    texts = ["One two three, one TWO", "x", None, "", "a b", "one two"]
+    index, want = q.index_vectors(), np.zeros((q.TOKENS, q.DIMENSIONS))
+    for t in texts:
+        token = q._read(t or "")[1]
+        pair = [(x // q.SHAPES, x % q.SHAPES) for x in token.tolist()]
+        for i, own in enumerate(pair):
+            for j in range(max(0, i - 2), min(len(pair), i + 3)):
+                for a in own:
+                    want[a] += sum(index[b] for b in pair[j]) if i != j else 0
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9)
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert np.allclose(q.word_vectors(docs), want, atol=1e-5)
+
+
+@pytest.mark.parametrize("labels", [[], [(0, 0), (1, 0)], [(0, 0), (1, 1), (2, None), (1, 1), (9, 1)]])
+def test_quality_edge_cases(spark, labels):
+    from stemma.llm import quality_classifier as q
+
+    docs = spark.createDataFrame([(0, "a nice day", 5), (1, "BAD!! bad bad", 6), (2, None, 7), (None, "", 8), (3, "é" * 100_000, 9), (1, "BAD!! bad bad", 6)], "doc_id long, text string, score int")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int")
+    model = q.train(docs, toxicity.labelled_rows(docs, marks, "quality", 4, 9))
+    rows = q.score(docs, model).collect()
+    assert len(rows) == 6 and all(0 <= r.score <= 1 for r in rows)
+    assert q.score(docs.limit(0), q.train(docs.limit(0), toxicity.labelled_rows(docs.limit(0), marks, "quality", 4, 9))).count() == 0
