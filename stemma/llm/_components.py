@@ -1,43 +1,74 @@
-"""Connected components of an edge list, as DataFrame operations (alternating large and small stars)."""
+"""Connected components of an edge list.
+
+Every edge joins a node to a lower one. In each round an edge goes to the task of its upper node and to the task of
+its lower node; a task joins all edges it got and ties each of its nodes to the least node it is connected to.
+So a node's several parents meet, and its children meet its parents. It has settled when a round changes
+nothing: then each node has one parent, and that is the component's least node. With many edges a node's children
+are salted over several tasks, each of which also gets the node's own parents, so no task holds a large group.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemma.llm._common import materialise, release
-
+from stemma.llm._common import materialise, ship
 
-def _least(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m"))
+#: Edges for each salt.
+SALT_EDGES = 2_000_000
 
 
-def _large(edges: DataFrame) -> DataFrame:
-    """Every neighbour above a node is tied to the least node of the neighbourhood."""
-    both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = _least(both).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+def least_reached(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node connected to it) of all nodes that are not the least themselves."""
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = ends[: len(u)], ends[len(u) :]
+    root = np.arange(len(nodes))
+    while True:
+        high, low = np.maximum(root[a], root[b]), np.minimum(root[a], root[b])
+        if np.array_equal(high, low):
+            break
+        np.minimum.at(root, high, low)
+        while not np.array_equal(jump := root[root], root):
+            root = jump
+    moved = root != np.arange(len(nodes))
+    return nodes[moved], nodes[root[moved]]
 
 
-def _small(edges: DataFrame) -> DataFrame:
-    """Every lower neighbour of a node, and the node, is tied to the least of them. u > v in the input."""
-    least = _least(edges)
-    moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-    return moved.unionAll(least.select("u", F.col("m").alias("v")))
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    u, v, size = [], [], 0
+    for batch in batches:
+        u.append(batch.column("u").to_numpy())
+        v.append(batch.column("v").to_numpy())
+        size += batch.num_rows
+        if size > 1 << 20:
+            u, v = ([x] for x in least_reached(np.concatenate(u), np.concatenate(v)))
+            size = 0
+    if u:
+        u, v = least_reached(np.concatenate(u), np.concatenate(v))
+        for at in range(0, len(u), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(u[at : at + (1 << 16)]), pa.array(v[at : at + (1 << 16)])], ["u", "v"])
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """edges (u bigint, v bigint) -> (node, root): root is the least node of the node's component. Nodes
-    without an edge to another node are not returned. Self loops, repeats and both directions are fine."""
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-    now = materialise(down, "edges")
-    seen = None
+def components(edges: DataFrame, most_rounds: int = 60, salt_edges: int = SALT_EDGES) -> DataFrame:
+    """edges (u bigint, v bigint) -> (node, root): root is the least node of the node's component, and each node
+    that is not a root comes once. Self loops, repeats and both directions are fine."""
+    ship(edges.sparkSession)
+    now = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v"), "edges")
+    seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
     for _ in range(most_rounds):
-        after = materialise(_small(_large(now)).distinct(), "edges")
+        salts = -(-seen[0] // salt_edges)
+        if salts > 1:
+            now = now.distinct()
+        to = F.expr(f"""inline(array_append(transform(sequence(0, {max(salts, 1) - 1}), s -> named_struct('g', xxhash64(u, s))),
+                        named_struct('g', xxhash64(v, cast(pmod(xxhash64(u), {max(salts, 1)}) as int)))))""")
+        after = materialise(now.select("u", "v", to).repartition("g").select("u", "v").mapInArrow(_contract, "u long, v long"), "edges")
         mark = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        release(now)
         now = after
         if mark == seen or not mark[0]:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            return now.distinct().select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = mark
     raise RuntimeError("components did not settle")

@@ -221,10 +221,11 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     """(id_col, fp, component_id): component_id is the smallest id of the texts reachable over links."""
     rows = materialise(fingerprints(docs, id_col, text_col, width), "fingerprints")
     nodes = materialise(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
-    roots = components(links(nodes.select("fp"), most_bits))
-    labelled = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = labelled.select("fp", "root").join(named, "root").select("fp", "component_id")
+    roots = materialise(components(links(nodes.select("fp"), most_bits)), "roots")
+    linked = roots.select(F.col("node").alias("fp"), "root").unionAll(roots.select(F.col("root").alias("fp"), "root").distinct())
+    named = linked.join(nodes, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
+    moved = linked.join(named, "root").select("fp", "component_id")
+    by_print = nodes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return rows.join(by_print, "fp", "left").select(id_col, "fp", "component_id")
 
 
