@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemma.llm import byte_bpe, packing, quality_classifier, quality_rules, simhash, toxicity
+from stemma.llm import ann, byte_bpe, packing, quality_classifier, quality_rules, simhash, toxicity
 from stemma.llm._common import read
 
 
@@ -33,6 +33,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = quality_rules.apply_policy(quality_rules.ledger(read(spark, sf_dir, "documents")), quality_rules.STRICT)
     base = quality_rules.fails(quality_rules.BASE)
@@ -52,7 +56,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_byte_bpe, op3_packing, op4_simhash, op6_quality_rules, op7_quality_classifier, op8_toxicity)}
+    return {f.__name__: f for f in (op2_byte_bpe, op3_packing, op4_simhash, op5_nearest, op6_quality_rules, op7_quality_classifier, op8_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
