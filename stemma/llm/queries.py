@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemma.llm import ann, byte_bpe, packing, quality_classifier, quality_rules, simhash, toxicity
+from stemma.llm import ann, byte_bpe, packing, quality_classifier, quality_rules, simhash, toxicity, url_filters
 from stemma.llm._common import read
 
 
@@ -13,13 +13,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as vocab
 
     ranks = vocab.path("byte_bpe_multi_50k.tiktoken")
-    tokens = byte_bpe.decode(byte_bpe.encode(read(spark, sf_dir, "documents"), ranks, vocab.PATTERN), ranks)
-    return tokens.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    tokens = byte_bpe.encode(read(spark, sf_dir, "documents"), ranks, vocab.PATTERN)
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
+    digests = tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), "ids")
+    return byte_bpe.decode(digests, ranks, keep_ids=False).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,9 +52,22 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out("doc_id", 5, 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+URL_RULES = [
+    url_filters.Rule("allow", "org", "/"),
+    url_filters.Rule("block", "example.org", "/es/"),
+    url_filters.Rule("block", "example.org", "/en/1"),
+    url_filters.Rule("allow", "com", "/fr/"),
+    url_filters.Rule("block", "com", "/de/"),
+]
+
+
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(read(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_byte_bpe, op3_packing, op4_simhash, op5_nearest, op6_quality_rules, op7_quality_classifier, op8_toxicity)}
+    return {f.__name__: f for f in (op2_byte_bpe, op3_packing, op4_simhash, op5_nearest, op6_quality_rules, op7_quality_classifier, op8_toxicity, op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_url_filters": url_filters.judge_sql(URL_RULES)}
