@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemma.llm import ann, byte_bpe, packing, quality_classifier, quality_rules, simhash, toxicity, url_filters
+from stemma.llm import ann, byte_bpe, packing, pii, quality_classifier, quality_rules, simhash, toxicity, url_filters
 from stemma.llm._common import read
 
 
@@ -52,6 +52,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out("doc_id", 5, 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(read(spark, sf_dir, "documents")).withColumnRenamed("k", "doc_id")
+    counts = [F.size(F.expr(f"filter(base, s -> s.kind = {n})")).cast("long").alias(f"n_{kind}") for n, kind in enumerate(pii.BASE)]
+    return found.select("doc_id", *counts, F.sha2(pii.spelled("base"), 256).alias("base_sha256"), pii.spelled("all").alias("spans"))
+
+
 URL_RULES = [
     url_filters.Rule("allow", "org", "/"),
     url_filters.Rule("block", "example.org", "/es/"),
@@ -66,7 +72,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_byte_bpe, op3_packing, op4_simhash, op5_nearest, op6_quality_rules, op7_quality_classifier, op8_toxicity, op10_url_filters)}
+    return {f.__name__: f for f in (op2_byte_bpe, op3_packing, op4_simhash, op5_nearest, op6_quality_rules, op7_quality_classifier, op8_toxicity, op9_pii, op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
