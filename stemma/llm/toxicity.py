@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from stemma.llm._common import materialise, plain_text, ship
 
 SIZES, BITS = (4, 6, 8), 19
-KEPT_FEATURES, SAMPLE_ROWS = 16384, 4000
+KEPT_FEATURES, SAMPLE_ROWS = 8192, 4000
+#: Labels up to this many are sent to every executor; more are joined by shuffle.
+BROADCAST_ROWS = 2_000_000
 #: Bytes of text hashed at once; a longer text is taken alone.
 SLICE_BYTES = 1 << 21
 #: ASCII other than letters and digits becomes a blank.
@@ -54,39 +56,53 @@ def _slices(text: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         at = to
 
 
-def grams(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket) of every n-gram, each once for a row; only buckets that are wanted, if given."""
-    pairs = []
+def _hashes(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(n, bucket of the n bytes from each position on)."""
+    h, done = np.zeros(len(data), dtype=np.uint32), 0
     for n in SIZES:
-        m = len(data) - n + 1
-        if m <= 0:
-            continue
-        h = np.full(m, n, dtype=np.uint32)
-        for i in range(n):
+        if len(data) < n:
+            return
+        h = h[: len(data) - n + 1].copy() if done else h[: len(data) - n + 1]
+        for i in range(done, n):
             h *= np.uint32(0x01000193)
-            h ^= data[i : i + m]
-        h *= np.uint32(0x9E3779B1)
-        h >>= np.uint32(32 - BITS)
-        at = np.flatnonzero(wanted[h]) if wanted is not None else np.arange(m)
+            h ^= data[i : i + len(h)]
+        done = n
+        yield n, (h * np.uint32(0x9E3779B1) ^ np.uint32(n * 0x01000193)) >> np.uint32(32 - BITS)
+
+
+def grams(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket) of every n-gram in a wanted bucket, each once for a row."""
+    pairs = [np.zeros(0, np.int64)]
+    for n, h in _hashes(data):
+        at = np.flatnonzero(wanted[h])
         row = np.searchsorted(offsets, at, "right") - 1
         inside = at + n <= offsets[row + 1]
         pairs.append(row[inside] << BITS | h[at[inside]].astype(np.int64))
-    pair = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
+    pair = np.unique(np.concatenate(pairs))
     return pair >> BITS, pair & (1 << BITS) - 1
 
 
+def row_buckets(data: np.ndarray, offsets: np.ndarray, last: np.ndarray) -> Iterator[np.ndarray]:
+    """The distinct buckets of each row. last is scratch, one number for each bucket."""
+    hashes = list(_hashes(data))
+    for start, end in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        own = np.concatenate([np.zeros(0, np.uint32), *(h[start : max(start, end - n + 1)] for n, h in hashes)])
+        at = np.arange(len(own), dtype=np.int32)
+        last[own] = at  # the last of equal buckets stays
+        yield own[last[own] == at]
+
+
 def bucket_counts(labelled: DataFrame) -> DataFrame:
     """labelled (t string, y int) -> (bucket, texts with y = 0, with y = 1), over all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, 1 << BITS), dtype=np.int64)
+        last = np.zeros(1 << BITS, dtype=np.int32)
         for batch in batches:
-            y = batch.column("y").to_numpy(zero_copy_only=False)
+            y = batch.column("y").to_pylist()
             for first, data, offsets in _slices(batch.column("t")):
-                row, bucket = grams(data, offsets)
-                toxic = y[first + row] == 1
-                counts[1] += np.bincount(bucket[toxic], minlength=1 << BITS)
-                counts[0] += np.bincount(bucket[~toxic], minlength=1 << BITS)
+                for i, bucket in enumerate(row_buckets(data, offsets, last), first):
+                    counts[y[i]][bucket] += 1
         some = np.flatnonzero(counts.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[0, some]), pa.array(counts[1, some])], ["bucket", "c0", "c1"])
 
@@ -108,19 +124,19 @@ def presence(sample: DataFrame, wanted: np.ndarray) -> DataFrame:
     return sample.select("t", F.col("y").cast("int").alias("y")).mapInArrow(run, "y int, buckets array<int>")
 
 
-def fit_linear(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, rounds: int = 150, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression by accelerated gradient steps; rows list the features that are present. Classes weigh
-    alike in the fit; the intercept is then moved to the classes' shares."""
-    size = np.array([len(r) for r in rows])
-    col, row = np.concatenate(rows).astype(np.int64), np.repeat(np.arange(len(rows)), size)
-    value = scale[col] / np.sqrt(np.maximum(size, 1))[row]
+def fit_linear(size: np.ndarray, col: np.ndarray, y: np.ndarray, scale: np.ndarray, rounds: int = 150, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Logistic regression by accelerated gradient steps. Row i has the next size[i] features of col. Both classes
+    weigh alike in the fit."""
+    rows = len(size)
+    row = np.repeat(np.arange(rows, dtype=np.int32), size)
+    value = (scale[col] / np.sqrt(np.maximum(size, 1))[row]).astype(np.float32)
     share = np.where(y == 1, 0.5 / max((y == 1).sum(), 1), 0.5 / max((y == 0).sum(), 1))
-    top = np.bincount(row, weights=value**2, minlength=len(rows)).max(initial=0.0) + 1
+    top = np.bincount(row, weights=value**2, minlength=rows).max(initial=0.0) + 1
     w, b = np.zeros(len(scale)), 0.0
     w0, b0, step = w, b, 3.0 / top
     for i in range(rounds):
         mw, mb = w + (w - w0) * i / (i + 3), b + (b - b0) * i / (i + 3)
-        z = np.bincount(row, weights=value * mw[col], minlength=len(rows)) + mb
+        z = np.bincount(row, weights=value * mw[col], minlength=rows) + mb
         g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * share
         w0, b0 = w, b
         w = mw - step * (np.bincount(col, weights=value * g[row], minlength=len(scale)) + penalty * mw)
@@ -137,18 +153,23 @@ def train(labelled: DataFrame, kept_features: int = KEPT_FEATURES, sample_rows:
     if not n0 or not n1:
         p = min(max(n1 / (n0 + n1), 1e-6), 1 - 1e-6) if n0 + n1 else 0.5
         return Model(none, float(np.log(p / (1 - p))))
-    counts = bucket_counts(labelled).toPandas()  # at most 2**BITS rows
-    bucket, c0, c1 = (counts[c].to_numpy() for c in ("bucket", "c0", "c1"))
+    counts = bucket_counts(labelled).toArrow()  # at most 2**BITS rows
+    bucket, c0, c1 = (counts.column(c).to_numpy() for c in ("bucket", "c0", "c1"))
     ratio = np.log((c1 + 1) / (n1 + 2)) - np.log((c0 + 1) / (n0 + 2))
     told = np.abs(c1 / n1 - c0 / n0) * np.abs(ratio)  # how much a bucket's presence tells
     best = np.argsort(-told, kind="stable")[:kept_features]
     scale = np.zeros(1 << BITS)
     scale[bucket[best]] = ratio[best]
     parts = [labelled.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(sample_rows) for y in (0, 1)]
-    sample = presence(parts[0].unionByName(parts[1]), scale != 0).collect()
-    y = np.array([r.y for r in sample])
-    w, b = fit_linear([np.array(r.buckets, dtype=np.int64) for r in sample], y, scale)
-    return Model((w * scale).astype(np.float32), float(b))
+    wanted = np.flatnonzero(scale)
+    sample = presence(parts[0].unionByName(parts[1]), scale != 0).toArrow()
+    y = sample.column("y").to_numpy()
+    lists = sample.column("buckets").combine_chunks()
+    size, col = np.diff(lists.offsets.to_numpy()), np.searchsorted(wanted, lists.flatten().to_numpy()).astype(np.int32)
+    own, b = fit_linear(size, col, y, scale[wanted])
+    weight = none.copy()
+    weight[wanted] = own * scale[wanted]
+    return Model(weight, float(b))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -179,4 +200,6 @@ def held_out(id_col: str, folds: int, fold: int):
 def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(k, t, y) of the documents that have a label and are not held out."""
     own = labels.select(F.col(id_col).alias("k"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held_out("k", folds, fold))
+    if own.count() <= BROADCAST_ROWS:
+        own = F.broadcast(own)  # the texts stay where they are
     return docs.select(F.col(id_col).alias("k"), plain_text(text_col).alias("t")).join(own, "k")
