@@ -28,7 +28,7 @@ from stemma.llm._common import materialise, ship
 
 SHARD_ROWS = 8192
 #: Links of a node above level 0 and at it (twice as many), nodes considered for them, and the search's beam.
-LINKS, NEAREST, BEAM = 16, 64, 96
+LINKS, NEAREST, BEAM = 32, 96, 160
 QUERY_BLOCK = 512
 
 
