@@ -106,9 +106,9 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(list(vectors[some]), pa.list_(pa.float64()))], ["token", "v"])
 
     parts = docs.select(plain_text(text_col).alias("t")).mapInArrow(run, "token long, v array<double>")
-    total = parts.groupBy("token").agg(*(F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(DIMENSIONS))).toPandas()
+    total = parts.groupBy("token").agg(*(F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(DIMENSIONS))).toArrow()
     out = np.zeros((TOKENS, DIMENSIONS))
-    out[total["token"].to_numpy(dtype=np.int64)] = total.drop(columns="token").to_numpy()
+    out[total.column("token").to_numpy()] = np.array([total.column(f"v{i}").to_numpy() for i in range(DIMENSIONS)]).T
     return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
@@ -206,10 +206,10 @@ def train(docs: DataFrame, labelled: DataFrame, text_col: str = "text", sample_r
     """docs: the whole corpus, for the word vectors. labelled: (k, t string, y int in 0, 1)."""
     vectors = word_vectors(docs, text_col)
     sample = materialise(labelled.select("k", "t", "y").orderBy(F.xxhash64("k"), "k").limit(sample_rows), "labelled")
-    rows = features(sample.select("t", F.col("y").cast("int").alias("y")).repartition(12), vectors).toPandas()
+    rows = features(sample.select("t", F.col("y").cast("int").alias("y")).repartition(12), vectors).toArrow()
     size = 2 * DIMENSIONS + 3
-    x = np.stack(rows["x"].to_numpy()).astype(np.float64) if len(rows) else np.zeros((0, size))
-    y = rows["y"].to_numpy(dtype=np.float64)
+    x = rows.column("x").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(-1, size)
+    y = rows.column("y").to_numpy().astype(np.float64)
     order = np.lexsort([*x[:, -3:].T, *x[:, :2].T, y])  # rows come in any order, the fit must not depend on it
     if not len(x):
         return Model(vectors, np.zeros(size), np.ones(size), np.zeros((size, 1)), np.zeros(1), np.zeros(1), 0.0, 1.0)
