@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 #: Words are runs of anything but these six ASCII blanks.
 BLANKS = "\\x20\\x09-\\x0D"
 
-_SHIPPED = "stemma.llm.shipped"
+#: Rows of text sent to a Python worker at once; more would hold much memory outside the heap.
+BATCH_ROWS = 1024
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -58,7 +59,11 @@ def release(df: DataFrame) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Makes this package importable on workers that do not have the repository on their path."""
+    """Makes this package importable on workers that do not have the repository on their path, and keeps Arrow
+    batches small."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(rows)) > BATCH_ROWS or int(spark.conf.get(rows)) <= 0:
+        spark.conf.set(rows, BATCH_ROWS)
     root = Path(__file__).resolve().parents[2]
     known = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
     if str(root) in known or getattr(spark.sparkContext, "_stemma_shipped", False):

@@ -110,9 +110,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     return short.unionByName(long).select(F.col("k").alias(id_col), "ids")
 
 
-def decode(tokens: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+def decode(tokens: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "decoded", keep_ids: bool = True) -> DataFrame:
     """Adds the raw bytes that the ids stand for, concatenated. A null list gives null; an unknown id fails."""
     ship(tokens.sparkSession)
+    kept = [f for f in tokens.schema if keep_ids or f.name != ids_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = load_ranks(ranks_path)
@@ -139,7 +140,7 @@ def decode(tokens: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: st
                     ends = np.cumsum(n)
                     take = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin[own] - (ends - n), n)
                     out.append(pool[take].tobytes())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*part.schema.names, out_col])
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), pa.array(out, pa.binary())], [*(f.name for f in kept), out_col])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     return tokens.mapInArrow(run, f"{kinds}, `{out_col}` binary")
