@@ -5,10 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemma.llm import ann, byte_bpe, packing, pii, quality_classifier, quality_rules, simhash, toxicity, url_filters
+from stemma.llm import ann, byte_bpe, licenses, packing, pii, quality_classifier, quality_rules, simhash, toxicity, url_filters
 from stemma.llm._common import read
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = licenses.scan(docs, licenses.train(docs)).withColumn("sure", F.expr("filter(licences, x -> x.confirmed)"))
+    return found.select(
+        "doc_id",
+        F.col("n_paragraphs").cast("long").alias("n_paragraphs"),
+        F.size("licences").cast("long").alias("n_predicted"),
+        F.size("sure").cast("long").alias("n_confirmed"),
+        F.nullif(F.array_join(F.array_sort(F.array_distinct("sure.family")), ","), F.lit("")).alias("families"),
+        F.array_max("sure.probability").alias("probability"),
+    )
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as vocab
 
@@ -72,7 +85,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_byte_bpe, op3_packing, op4_simhash, op5_nearest, op6_quality_rules, op7_quality_classifier, op8_toxicity, op9_pii, op10_url_filters)}
+    return {f.__name__: f for f in (op1_licenses, op2_byte_bpe, op3_packing, op4_simhash, op5_nearest, op6_quality_rules, op7_quality_classifier, op8_toxicity, op9_pii, op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
