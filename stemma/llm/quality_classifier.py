@@ -5,8 +5,8 @@ capitals, small letters, digits and each other character). Every token has a spa
 vector is the sum of the index vectors of the tokens up to two words away, over the whole corpus, scaled to
 length 1. A document pools the mean vector of its letter tokens and of its shape tokens, and how the pooled words
 repeat: the share of words equal to the one before, of different words, and the length. A network of one tanh
-layer and one logistic output is fitted with numpy on a bounded sample of labelled rows (`sample_rows`, by hash of the
-id); a fifth of the sample is kept apart to fit the temperature that the output is divided by.
+layer and one logistic output is fitted with numpy on a bounded sample of labelled rows (about `sample_rows`, by
+hash); a fifth of the sample is kept apart to fit the temperature that the output is divided by.
 
 Defined results: null and empty texts pool to zero vectors and are scored like any other; each input row gives one
 row; a null id stays null; other input columns are not carried; an empty table gives an empty table; without
@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemma.llm._common import BLANKS, materialise, plain_text, ship
+from stemma.llm._common import BLANKS, plain_text, ship
+from stemma.llm.toxicity import numbered, sampled
 
 SHAPES, LETTERS = 256, 1792
 TOKENS = SHAPES + LETTERS
@@ -205,8 +206,10 @@ def features(rows: DataFrame, vectors: np.ndarray) -> DataFrame:
 def train(docs: DataFrame, labelled: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Model:
     """docs: the whole corpus, for the word vectors. labelled: (k, t string, y int in 0, 1)."""
     vectors = word_vectors(docs, text_col)
-    sample = materialise(labelled.select("k", "t", "y").orderBy(F.xxhash64("k"), "k").limit(sample_rows), "labelled")
-    rows = features(sample.select("t", F.col("y").cast("int").alias("y")).repartition(12), vectors).toArrow()
+    sample = numbered(labelled.select("k", "t", "y"))
+    size = sample.count()
+    sample = sampled(sample, sample_rows, {0: size, 1: size})
+    rows = features(sample.select("t", F.col("y").cast("int").alias("y")), vectors).toArrow()
     size = 2 * DIMENSIONS + 3
     x = rows.column("x").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(-1, size)
     y = rows.column("y").to_numpy().astype(np.float64)
@@ -218,15 +221,19 @@ def train(docs: DataFrame, labelled: DataFrame, text_col: str = "text", sample_r
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, score double): the calibrated probability of label 1."""
-    ship(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
+    return scored(docs.select(F.col(id_col).alias("k"), plain_text(text_col).alias("t")), model).withColumnRenamed("k", id_col)
+
+
+def scored(rows: DataFrame, model: Model) -> DataFrame:
+    """Replaces the text column t, which must not be null, by score double."""
+    ship(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 p = model.probabilities(pool(part.column("t").to_pylist(), model.vectors))
-                yield pa.RecordBatch.from_arrays([part.column("k"), pa.array(p.astype(np.float64))], ["k", "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(p.astype(np.float64))], [*kept, "score"])
 
-    rows = docs.select(F.col(id_col).alias("k"), plain_text(text_col).alias("t"))
-    return rows.mapInArrow(run, f"k {kind}, score double").withColumnRenamed("k", id_col)
+    kept = [c for c in rows.columns if c != "t"]
+    return rows.mapInArrow(run, ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept) + ", score double")

@@ -76,22 +76,30 @@ def measure(text: str) -> tuple[int, ...]:
     return n, sum(lengths), symbols, len(lines) - len(set(lines)), repeated, len(lines), shout, text.count("!"), max(lengths, default=0)
 
 
-def _measure_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 2048):
-            part = batch.slice(at, 2048)
-            columns = list(zip(*map(measure, part.column("t").to_pylist()), strict=True))
-            yield pa.RecordBatch.from_arrays([part.column("k"), *(pa.array(c, pa.int64()) for c in columns)], ["k", *MEASURES])
+def _measure_rows(kept: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                columns = list(zip(*map(measure, part.column("t").to_pylist()), strict=True))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *(pa.array(c, pa.int64()) for c in columns)], [*kept, *MEASURES])
+
+    return run
+
+
+def measured(rows: DataFrame) -> DataFrame:
+    """Replaces the text column t, which must not be null, by the measurements and failed."""
+    ship(rows.sparkSession)
+    kept = [c for c in rows.columns if c != "t"]
+    kinds = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept] + [f"{m} long" for m in MEASURES]
+    bits = " | ".join(f"if({rule}, {1 << i}L, 0L)" for i, rule in enumerate(RULES.values()))
+    return rows.mapInArrow(_measure_rows(kept), ", ".join(kinds)).withColumn("failed", F.expr(bits))
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, every measurement, failed long): failed holds one bit for each rule."""
-    ship(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("k"), plain_text(text_col).alias("t"))
-    rows = rows.mapInArrow(_measure_rows, f"k {kind}, " + ", ".join(f"{m} long" for m in MEASURES))
-    bits = " | ".join(f"if({rule}, {1 << i}L, 0L)" for i, rule in enumerate(RULES.values()))
-    return rows.select(F.col("k").alias(id_col), *MEASURES, F.expr(bits).alias("failed"))
+    rows = measured(docs.select(F.col(id_col).alias("k"), plain_text(text_col).alias("t")))
+    return rows.select(F.col("k").alias(id_col), *MEASURES, "failed")
 
 
 def fails(policy: Policy, failed: str = "failed") -> Column:

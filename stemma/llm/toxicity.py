@@ -4,8 +4,7 @@ Texts are lower-cased, what is neither letter nor digit becomes a blank, and byt
 a fixed number of buckets. How many
 toxic and other texts hold each bucket is counted over all labelled training rows; the smoothed log ratio of the
 two shares scales the bucket's feature, and the buckets that tell most are kept. Logistic regression on the scaled
-presence of these is fitted on a bounded sample of the training rows (`sample_rows` of each class, by hash of the
-id). Scoring reads a table of one weight for each bucket.
+presence of these is fitted on a bounded sample of the training rows (about `sample_rows` of each class, by hash). Scoring reads a table of one weight for each bucket.
 
 Defined results: null and empty texts have no n-gram and get the score of the intercept; each input row gives one row; a
 null id stays null; other input columns are not carried; an empty table gives an empty table; without
@@ -144,9 +143,21 @@ def fit_linear(size: np.ndarray, col: np.ndarray, y: np.ndarray, scale: np.ndarr
     return w, b
 
 
+def numbered(labelled: DataFrame) -> DataFrame:
+    """labelled, written down with a number for each row."""
+    return materialise(labelled.withColumn("row", F.monotonically_increasing_id()), "labelled")
+
+
+def sampled(rows: DataFrame, most: int, total: dict[int, int]) -> DataFrame:
+    """About `most` rows of each label at most, by hash. Every row has the same chance, also of one id that many rows
+    share, and nothing is sorted or gathered for it."""
+    chance = F.when(F.col("y") == 1, min(1.0, most / max(total.get(1, 0), 1))).otherwise(min(1.0, most / max(total.get(0, 0), 1)))
+    return rows.where(F.pmod(F.xxhash64("k", "row"), F.lit(1 << 30)) < chance * (1 << 30))
+
+
 def train(labelled: DataFrame, kept_features: int = KEPT_FEATURES, sample_rows: int = SAMPLE_ROWS) -> Model:
     """labelled (k, t string, y int in 0, 1)."""
-    labelled = materialise(labelled, "labelled")
+    labelled = numbered(labelled)
     total = {r.y: r.n for r in labelled.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n0, n1 = total.get(0, 0), total.get(1, 0)
     none = np.zeros(1 << BITS, dtype=np.float32)
@@ -160,9 +171,8 @@ def train(labelled: DataFrame, kept_features: int = KEPT_FEATURES, sample_rows:
     best = np.argsort(-told, kind="stable")[:kept_features]
     scale = np.zeros(1 << BITS)
     scale[bucket[best]] = ratio[best]
-    parts = [labelled.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(sample_rows) for y in (0, 1)]
     wanted = np.flatnonzero(scale)
-    sample = presence(parts[0].unionByName(parts[1]), scale != 0).toArrow()
+    sample = presence(sampled(labelled, sample_rows, total), scale != 0).toArrow()
     y = sample.column("y").to_numpy()
     lists = sample.column("buckets").combine_chunks()
     size, col = np.diff(lists.offsets.to_numpy()), np.searchsorted(wanted, lists.flatten().to_numpy()).astype(np.int32)
