@@ -29,47 +29,96 @@ from stemma.llm._common import materialise, plain_text, ship
 CAPACITY = 2048
 BLOCK_ITEMS, ISLANDS, EPOCHS = 8192, 2, 2
 POPULATION, CHILDREN = 4, 8
-#: Words whose ids a worker keeps; the table is emptied when full.
-MEMO_WORDS = 600_000
+#: Words, and words without case and punctuation, whose ids a worker keeps; a table is emptied when full.
+MEMO_WORDS, MEMO_CORES = 1_000_000, 600_000
 
-_state: dict[str, tuple] = {}
+_state: dict[str, _Memo] = {}
 _odd_blank = re.compile("[\x1c-\x1f]")
+#: Letters that stay single letters in lower case and under composition, then punctuation without an apostrophe: the
+#: tokenizer cuts such a word between the two.
+_simple = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]{1,64})([!-&(-/:-@\[-`{-~]{0,16})").fullmatch
 
 
-def _tokenizer(vocabulary_path: str):
-    """One tokenizer and one table of word ids for each worker process."""
-    if vocabulary_path not in _state:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+def _latin(text: str) -> bool:
+    """All characters are in Latin-1, whose lower case is the tokenizer's own whatever stands around them."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
-        model = Tokenizer.from_file(vocabulary_path)
-        model.encode_special_tokens = True
-        _state[vocabulary_path] = model, {}
-    return _state[vocabulary_path]
 
+class _Memo:
+    """One tokenizer and its tables of ids, as bytes, for each worker process."""
 
-def _packed(model, texts: list[str]) -> list[bytes]:
-    return [np.asarray(e.ids, dtype="<u4").tobytes() for e in model.encode_batch_fast(texts, add_special_tokens=False)]
+    def __init__(self, vocabulary_path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.model = Tokenizer.from_file(vocabulary_path)
+        self.model.encode_special_tokens = True
+        vocabulary = self.model.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.words: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {"": b""}
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_letters(self, cores: list[str]) -> None:
+        """All of them as one text, whose ids are cut after each word's last."""
+        ids = np.asarray(self.model.encode(" ".join(cores), add_special_tokens=False).ids, dtype="<u4")
+        cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(cuts) != len(cores):
+            raise ValueError("the vocabulary does not mark the ends of words")
+        data = ids.tobytes()
+        self.cores.update(zip(cores, map(data.__getitem__, map(slice, [0, *cuts[:-1].tolist()], cuts.tolist())), strict=True))
+
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        if len(self.cores) > MEMO_CORES:
+            self.cores = {"": b""}
+        cut, rest, cores, marks = [], [], set(), set()
+        for w in words:
+            if m := _simple(w):
+                core, mark = m[1].lower(), m[2]
+                cut.append((w, core, mark))
+                if core not in self.cores:
+                    cores.add(core)
+                if mark not in self.cores:
+                    marks.add(mark)
+            else:
+                rest.append(w)
+        cores, marks = list(cores), list(marks)
+        for at in range(0, len(cores), 4096):
+            self._learn_letters(cores[at : at + 4096])
+        self.cores.update(zip(marks, self.whole(marks), strict=True))
+        known = self.cores
+        out = {w: known[a] + known[b] for w, a, b in cut}
+        for at in range(0, len(rest), 4096):
+            part = rest[at : at + 4096]
+            out.update(zip(part, self.whole(part), strict=True))
+        return out
 
 
 def token_bytes(texts: list[str], vocabulary_path: str) -> list[bytes]:
     """Each text's ids as little-endian unsigned 32-bit numbers. The tokenizer drops blanks and no merge
     crosses one, so a word between blanks is encoded once and looked up after that."""
-    model, memo = _tokenizer(vocabulary_path)
+    if vocabulary_path not in _state:
+        _state[vocabulary_path] = _Memo(vocabulary_path)
+    memo = _state[vocabulary_path]
     odd = [bool(_odd_blank.search(t)) for t in texts]  # str.split takes these for blanks, the tokenizer does not
-    words = [[t] if o else t.split() for t, o in zip(texts, odd, strict=True)]
-    new = list({w for own in words for w in own if w not in memo})
-    if len(memo) + len(new) > MEMO_WORDS:
-        memo.clear()
-        new = list({w for own in words for w in own})
-    own_memo = memo if len(new) < MEMO_WORDS else {}
-    for at in range(0, len(new), 8192):
-        part = new[at : at + 8192]
-        own_memo.update(zip(part, _packed(model, part), strict=True))
-    out = [b"".join(map(own_memo.__getitem__, own)) for own in words]
+    words = [[t] if o else (t.lower() if _latin(t) else t).split() for t, o in zip(texts, odd, strict=True)]
+    if len(memo.words) > MEMO_WORDS:
+        memo.words.clear()
+    new = list(set().union(*words).difference(memo.words))
+    memo.words.update(memo.learn(new))
+    out = [b"".join(map(memo.words.__getitem__, own)) for own in words]
     for w in new:
         if len(w) > 64:
-            own_memo.pop(w, None)
+            del memo.words[w]
     return out
 
 
@@ -82,8 +131,8 @@ def pieces(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY, end_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         close = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 row, rest = [], []
                 for i, ids in enumerate(token_bytes(part.column("t").to_pylist(), vocabulary_path)):
                     ids += close
