@@ -4,14 +4,18 @@ from stemma.plans.registry import every
 from tests.compare import connect, differs
 
 
+#: The smallest tables leave some queries without rows.
+FOLDER = "/root/testdata/sf0.01"
+
+
 @pytest.fixture(scope="module")
-def duck(sf):
-    return connect(sf)
+def duck():
+    return connect(FOLDER)
 
 
 @pytest.mark.parametrize("name", list(every()))
-def test_query_equals_its_sql(spark, sf, duck, name):
-    assert differs(spark, every()[name], sf, duck) is None
+def test_query_equals_its_sql(spark, duck, name):
+    assert differs(spark, every()[name], FOLDER, duck) is None
 
 
 def test_entry(spark):
