@@ -12,17 +12,17 @@ def edge_lines(lines: DataFrame) -> DataFrame:
     """The lines at a page's two edges: (source, page, line_no, line, position). Two at each edge of a page of eight lines
     or more, else one; where all of these are page labels the edge runs on over further labels and one line that may be
     running matter."""
-    marked = lines.withColumns({"is_label": T.is_page_label(F.col("line")), "is_fragment": T.is_running_fragment(F.col("line"))})
     page = Window.partitionBy("source", "page")
-    depth = F.when(F.count("*").over(page) >= 8, 2).otherwise(1)
-    parts = []
-    for position, order in (("header", F.col("line_no")), ("footer", F.col("line_no").desc())):
-        before = page.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        labels_only = F.coalesce(F.bool_and("is_label").over(before), F.lit(True))
-        picked = marked.withColumns({"rank": F.row_number().over(page.orderBy(order)), "depth": depth, "labels_only": labels_only})
-        picked = picked.where((F.col("rank") <= F.col("depth")) | (F.col("labels_only") & (F.col("is_label") | F.col("is_fragment"))))
-        parts.append(picked.select("source", "page", "line_no", "line", F.lit(position).alias("position")))
-    return parts[0].unionByName(parts[1])
+    down, up = page.orderBy("line_no"), page.orderBy(F.col("line_no").desc())
+    rows = lines.withColumn("is_label", T.is_page_label(F.col("line"))).withColumn("depth", F.when(F.count("*").over(page) >= 8, 2).otherwise(1))
+    picked = []
+    for name, order in (("header", down), ("footer", up)):
+        before = order.rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumns({f"{name}_rank": F.row_number().over(order), f"{name}_labels": F.coalesce(F.bool_and("is_label").over(before), F.lit(True))})
+        # The costly test comes last: it is only made where all lines before were labels.
+        runs_on = F.col(f"{name}_labels") & (F.col("is_label") | T.is_running_fragment(F.col("line")))
+        picked.append(F.when((F.col(f"{name}_rank") <= F.col("depth")) | runs_on, name))
+    return rows.select("source", "page", "line_no", "line", F.explode(F.array_compact(F.array(*picked))).alias("position"))
 
 
 def least_pages(n: Column) -> Column:
