@@ -23,6 +23,9 @@ from stemma.llm._common import materialise, release
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)href\s{0,9}=\s{0,9}["']?(?:[a-z][a-z0-9+.-]{0,20}:)?//([^/?#"'\s<>]{1,255})"""
+#: Rows of a table by host that may be sent to every executor; a larger one is joined by shuffle, where Spark splits the
+#: partition of a hot host.
+BROADCAST_HOSTS = 200_000
 DAMPING, ROUNDS, BLOCK_SHARE, LEAST_DISTRUST = 0.85, 8, 0.75, 0.5
 
 
@@ -46,6 +49,12 @@ def parts(url: str) -> tuple:
     return F.translate(host, _UPPER, _LOWER), path
 
 
+def small(hosts: DataFrame, label: str) -> DataFrame:
+    """hosts, written down, and marked for broadcast if they are few."""
+    hosts = materialise(hosts, label)
+    return F.broadcast(hosts) if hosts.count() <= BROADCAST_HOSTS else hosts
+
+
 def host_rules(spark: SparkSession, hosts: DataFrame, rules: list[Rule]) -> DataFrame:
     """hosts (host) -> (host, fitting array of (size, name, action, path)), for hosts that some rule is about."""
     table = spark.createDataFrame([(r.host, len(r.name), r.name, r.action, r.path) for r in rules], "rule_host string, size int, name string, action string, path string")
@@ -89,14 +98,14 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
     host, path = parts("u")
     rows = pages.select(F.col(id_col).alias("k"), F.col(url_col).cast("string").alias("u"), F.col(html_col).cast("string").alias("html")).select("k", host.alias("host"), path.alias("path"), "html")
     plain = materialise(rows.select("k", "host", "path"), "urls")
-    fitting = host_rules(spark, plain.select("host").distinct(), rules)
+    fitting = small(host_rules(spark, plain.select("host").distinct(), rules), "fitting")
     best = F.expr("array_max(filter(fitting, r -> startswith(path, r.path)))")
     ruled = materialise(plain.join(fitting, "host", "left").withColumn("best", best).select("k", "host", "path", F.col("best.name").alias("rule"), F.col("best.action").alias("action")), "ruled")
     seeds = ruled.where("host <> ''").groupBy("host").agg(F.count_if(F.col("action") == "allow").alias("trusted"), F.count_if(F.col("action") == "block").alias("blocked"))
     scores = propagate(seeds, host_links(rows.select("host", "html")))
     distrust, trust = F.round("distrust", 6), F.round("trust", 6)
     scores = scores.withColumn("method", F.when((distrust >= LEAST_DISTRUST) & (distrust > F.lit(BLOCK_SHARE) * (trust + distrust)), "block").otherwise("allow"))
-    judged = ruled.join(scores, "host", "left")
+    judged = ruled.join(small(scores, "scores"), "host", "left")
     verdict = F.coalesce("action", "method", F.lit("allow"))
     return judged.select(F.col("k").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
 
