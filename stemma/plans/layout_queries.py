@@ -21,7 +21,9 @@ def _box(prefix: str = ""):
     return G.box(*(F.col(prefix + c) for c in ("x0", "y0", "x1", "y1")))
 
 
-_PAGE = G.box(F.lit(0), F.lit(0), F.lit(612), F.lit(792))
+def _page_box():
+    return G.box(F.lit(0), F.lit(0), F.lit(L.WIDTH), F.lit(L.HEIGHT))
+
 
 _MEDIANS = f"""{GEOMETRY_SQL}, v_stats AS (SELECT source, page, list_sort(list(size))[len(list(size)) // 2 + 1] AS body, list_sort(list(y1 - y0))[len(list(y1)) // 2 + 1] AS line_height FROM v_geom GROUP BY source, page)"""
 
@@ -227,7 +229,7 @@ SELECT source, page, x0, y0, x1, y1, round(x0 / 612, 6) AS nx0, round(y1 / 792,
 def page_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     least = [F.min(c).alias(c) for c in ("x0", "y0")] + [F.max(c).alias(c) for c in ("x1", "y1")]
     rows = _placed(spark, sf_dir).groupBy("source", "page").agg(*least).withColumn("b", _box())
-    rows = rows.withColumns({"n": G.normalised(F.col("b"), _PAGE), "p": G.padded(F.col("b"), _PAGE, 100)})
+    rows = rows.withColumns({"n": G.normalised(F.col("b"), _page_box()), "p": G.padded(F.col("b"), _page_box(), 100)})
     return rows.select("source", "page", "b.x0", "b.y0", "b.x1", "b.y1", F.col("n.x0").alias("nx0"), F.col("n.y1").alias("ny1"), F.col("p.x0").alias("px0"), F.col("p.x1").alias("px1"))
 
 
