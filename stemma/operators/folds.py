@@ -129,3 +129,66 @@ def dedupe_nearby(entries: DataFrame, keys: list[str], body: float = 10.0) -> Da
         return pd.DataFrame(keep, columns=part.columns)
 
     return entries.groupBy(*keys).applyInPandas(run, entries.schema)
+
+
+def spans_to_lines(spans: DataFrame, keys: list[str], reach: float = 0.5) -> DataFrame:
+    """spans (keys, no, text, x0, y0, x1, y1) -> adds line_no: by y then x, a span joins the first line whose band it shares at least `reach`
+    of the lower height with, and widens the band. First fit, so the order matters."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["y0", "x0", "no"], kind="stable")
+        bands: list[list[float]] = []
+        numbers = []
+        for s in part.itertuples(index=False):
+            for i, band in enumerate(bands):
+                lower = min(band[1] - band[0], s.y1 - s.y0)
+                if lower > 0 and (min(band[1], s.y1) - max(band[0], s.y0)) / lower >= reach:
+                    band[0], band[1] = min(band[0], s.y0), max(band[1], s.y1)
+                    numbers.append(i)
+                    break
+            else:
+                bands.append([s.y0, s.y1])
+                numbers.append(len(bands) - 1)
+        return part.assign(line_no=numbers)
+
+    from pyspark.sql import types as t
+
+    return spans.groupBy(*keys).applyInPandas(run, t.StructType([*spans.schema.fields, t.StructField("line_no", t.LongType())]))
+
+
+def safe_json(texts: DataFrame, keys: list[str], text: str, depth: int = 32, nodes: int = 100_000) -> DataFrame:
+    """(keys, problem): null where a JSON text is fine; else malformed, depth, nodes, number (not finite) or key (one that
+    would reach an object's prototype)."""
+    import json
+    import math
+
+    def check(raw: str | None) -> str | None:
+        if raw is None:
+            return "malformed"
+        try:
+            stack, seen = [(json.loads(raw), 1)], 0
+        except (ValueError, RecursionError):
+            return "malformed"
+        while stack:
+            value, level = stack.pop()
+            seen += 1
+            if level > depth:
+                return "depth"
+            if seen > nodes:
+                return "nodes"
+            if isinstance(value, float) and not math.isfinite(value):
+                return "number"
+            if isinstance(value, dict):
+                if not value.keys().isdisjoint({"__proto__", "prototype", "constructor"}):
+                    return "key"
+                stack += [(v, level + 1) for v in value.values()]
+            elif isinstance(value, list):
+                stack += [(v, level + 1) for v in value]
+        return None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            yield part[keys].assign(problem=[check(t) for t in part[text]])
+
+    kinds = ", ".join(f"`{k}` {texts.schema[k].dataType.simpleString()}" for k in keys)
+    return texts.select(*keys, text).mapInPandas(run, f"{kinds}, problem string")
