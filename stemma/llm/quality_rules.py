@@ -121,3 +121,18 @@ def ablation(entries: DataFrame, policy: Policy) -> DataFrame:
         counts += [F.count_if(own.bitwiseAND(F.lit(bit)) != 0).alias(f"{rule}_n"), F.count_if(own == bit).alias(f"{rule}_only"), F.count_if(own.bitwiseAND(F.lit(~bit)) != 0).alias(f"{rule}_rest")]
     stack = ", ".join(f"'{r}', {r}_n, {r}_only, {r}_rest" for r in policy.rules)
     return entries.agg(*counts).select(F.expr(f"stack({len(policy.rules)}, {stack}) as (rule, n_failed, n_only, n_rejected_without)"))
+
+
+def ledger_sql(base: Policy = BASE, policy: Policy = STRICT) -> str:
+    """The measurements and verdicts in DuckDB's SQL, over a table documents without repeated ids."""
+    word, failed = f"[^{BLANKS}]+", lambda p: " OR ".join(f"({RULES[r]})" for r in p.rules)
+    return f"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{word}') AS w FROM documents),
+grams AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+again AS (SELECT doc_id, g FROM grams GROUP BY doc_id, g HAVING count(*) > 1),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM grams JOIN again USING (doc_id, g)) GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT line) AS dup FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w) WHERE regexp_matches(line, '{word}') GROUP BY doc_id),
+m AS (SELECT w.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(l.dup, 0) AS n_dup_lines,
+    coalesce(c.n, 0) AS n_repeat_words, coalesce(l.n, 0) AS n_lines, len(list_filter(w, lambda x: length(x) >= 2 AND upper(x) = x AND lower(x) <> x)) AS n_shout_words, length(t) - length(replace(t, '!', '')) AS n_exclaims
+    FROM w LEFT JOIN covered c ON w.doc_id = c.doc_id LEFT JOIN lines l ON w.doc_id = l.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {failed(base)} AS base_failed, NOT ({failed(policy)}) AS kept FROM m"""

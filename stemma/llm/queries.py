@@ -89,4 +89,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_filters": url_filters.judge_sql(URL_RULES)}
+    return {"op6_quality_rules": quality_rules.ledger_sql(), "op10_url_filters": url_filters.judge_sql(URL_RULES)}
