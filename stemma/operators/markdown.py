@@ -28,16 +28,14 @@ def repair_hyphens(lines: DataFrame, keys: list[str]) -> DataFrame:
     free = ~F.col("fenced") & ~line.rlike(P.PAGE_MARKER) & ~F.trim(line).rlike(P.STRUCTURAL_LINE)
     goes_on = nxt.rlike(P.WRAP_START) & ~nxt.rlike(P.PAGE_MARKER) & ~F.trim(nxt).rlike(P.STRUCTURAL_LINE)
     rows = lines.withColumns({"fenced": in_fence(by), "next": F.lead("line").over(by)}).withColumn("open", F.coalesce(free, F.lit(False)))
-    # A joined line is judged by the line it began with, so a run is open if its first line is.
-    rows = rows.withColumn("joins", F.coalesce(line.rlike(P.WRAP_END) & ~F.col("fenced") & goes_on, F.lit(False)))
+    # What goes on is no structural line, so only the first line of a run can be one that must stay alone.
+    rows = rows.withColumn("joins", F.coalesce(F.col("open") & line.rlike(P.WRAP_END) & goes_on, F.lit(False)))
     rows = rows.withColumn("joined", F.coalesce(F.lag("joins").over(by), F.lit(False)))
     rows = rows.withColumn("run", F.sum(F.when(~F.col("joined"), 1).otherwise(0)).over(by))
-    run = Window.partitionBy(*keys, "run").orderBy("line_no")
-    rows = rows.withColumn("live", F.first("open").over(run))
-    rows = rows.withColumn("part", F.when(F.col("live") & F.col("joined"), F.ltrim("line")).otherwise(F.col("line")))
-    rows = rows.withColumn("part", F.when(F.col("live") & F.col("joins"), F.regexp_replace("part", r"-\s*$", "")).otherwise(F.concat("part", F.lit("\n"))))
-    whole = rows.groupBy(*keys, "run").agg(F.min("line_no").alias("first"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "part"))), lambda x: x["part"]), "").alias("text"))
-    return whole.select(*keys, "first", F.regexp_replace("text", r"\n\z", "").alias("text"))
+    rows = rows.withColumn("part", F.when(F.col("joined"), F.ltrim("line")).otherwise(F.col("line")))
+    rows = rows.withColumn("part", F.when(F.col("joins"), F.regexp_replace("part", r"-\s*$", "")).otherwise(F.col("part")))
+    whole = rows.groupBy(*keys, "run").agg(F.min("line_no").alias("first"), ordered_text(["line_no"], "part", "").alias("text"))
+    return whole.select(*keys, "first", "text")
 
 
 def page_joins(pages: DataFrame) -> DataFrame:

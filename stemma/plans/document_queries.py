@@ -134,12 +134,10 @@ _FENCED = f"""{LINES_SQL}, v_f AS (SELECT *, coalesce(sum(CASE WHEN {S.hit("line
 @query(
     "TXT11 WN02",
     f"""WITH {_FENCED}, o AS (SELECT *, NOT (is_fence OR f % 2 = 1) AND NOT {S.hit("line", P.PAGE_MARKER)} AND NOT {S.hit("trim(line)", P.STRUCTURAL_LINE)} AS open,
-    coalesce({S.hit("line", P.WRAP_END)} AND NOT (is_fence OR f % 2 = 1) AND {S.hit("nxt", P.WRAP_START)} AND NOT {S.hit("nxt", P.PAGE_MARKER)} AND NOT {S.hit("trim(nxt)", P.STRUCTURAL_LINE)}, false) AS joins FROM v_f),
-j AS (SELECT *, coalesce(lag(joins) OVER (PARTITION BY source, page ORDER BY line_no), false) AS joined FROM o),
-r AS (SELECT *, sum(CASE WHEN joined THEN 0 ELSE 1 END) OVER (PARTITION BY source, page ORDER BY line_no) AS run FROM j),
-g AS (SELECT *, first_value(open) OVER (PARTITION BY source, page, run ORDER BY line_no) AS live FROM r),
-p AS (SELECT *, CASE WHEN live AND joined THEN ltrim(line) ELSE line END AS part FROM g)
-SELECT source, page, min(line_no)::INT AS first, {S.sub("string_agg(CASE WHEN live AND joins THEN regexp_replace(part, '-\\s*$', '') ELSE part || chr(10) END, '' ORDER BY line_no)", (r"\n\z", ""))} AS text FROM p GROUP BY source, page, run""",
+    coalesce({S.hit("line", P.WRAP_END)} AND {S.hit("nxt", P.WRAP_START)} AND NOT {S.hit("nxt", P.PAGE_MARKER)} AND NOT {S.hit("trim(nxt)", P.STRUCTURAL_LINE)}, false) AS goes FROM v_f),
+j AS (SELECT *, coalesce(lag(open AND goes) OVER (PARTITION BY source, page ORDER BY line_no), false) AS joined FROM o),
+r AS (SELECT *, sum(CASE WHEN joined THEN 0 ELSE 1 END) OVER (PARTITION BY source, page ORDER BY line_no) AS run, CASE WHEN joined THEN ltrim(line) ELSE line END AS part FROM j)
+SELECT source, page, min(line_no)::INT AS first, string_agg(CASE WHEN open AND goes THEN regexp_replace(part, '-\\s*$', '') ELSE part END, '' ORDER BY line_no) AS text FROM r GROUP BY source, page, run""",
 )
 def line_wrap_hyphen_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.repair_hyphens(lines_of(pages(spark, sf_dir)), ["source", "page"])
