@@ -47,3 +47,17 @@ def accepted(parsed: Column, equivalent: Column, provider: Column, exact: Column
     """accepted, review or preserved. A formula that does not parse is never accepted."""
     sure = F.coalesce((has_gold & (overall >= 0.82)) | ((provider == "native") & exact & (overall >= 0.55)) | ((provider == "tesseract-ocr") & (recognition >= 0.82) & (overall >= 0.55)), F.lit(False))
     return F.when(parsed & equivalent & sure, "accepted").when(parsed & (overall >= 0.55), "review").otherwise("preserved")
+
+
+#: Names that do not make a line prose.
+NAMES = "sin cos tan log ln exp max min sqrt frac alpha beta gamma delta theta lambda mu pi sigma omega".split()
+SIGN = r"[=<>≤≥≠≈+\-−*/×÷^_∑∏∫√]"
+
+
+def is_plain_formula(c: Column) -> Column:
+    """A line of an engine that knows no layout is a formula: few words, a relation, script or two operators, and either no
+    long word or at least two operators."""
+    operators = T.count_of(c, SIGN)
+    long_words = F.exists(T.words(c), lambda w: (F.length(F.regexp_replace(w, r"\P{L}", "")) > 3) & ~F.lower(F.regexp_replace(w, r"^\\+", "")).isin(NAMES))
+    told = c.rlike(RELATION) | (operators >= 2) | c.rlike(r"[\^_]")
+    return F.length(c).between(3, 240) & (n_words(c) <= 18) & told & (operators > 0) & ~(long_words & (operators < 2)) & ~c.rlike("[?!]")

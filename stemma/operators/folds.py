@@ -192,3 +192,25 @@ def safe_json(texts: DataFrame, keys: list[str], text: str, depth: int = 32, nod
 
     kinds = ", ".join(f"`{k}` {texts.schema[k].dataType.simpleString()}" for k in keys)
     return texts.select(*keys, text).mapInPandas(run, f"{kinds}, problem string")
+
+
+def longest_aligned_run(rows: DataFrame, keys: list[str], tolerance: float = 22.0, most_gap: float = 52.0) -> DataFrame:
+    """rows (keys, row_no, y, starts array<double>) -> (keys, first, last, columns): the longest run of three rows or more whose cells are as many
+    and start where those of the run's first row do; the earliest of equal ones. Keys without one have no row."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("row_no")
+        starts, ys, numbers = [list(s) for s in part["starts"]], part["y"].tolist(), part["row_no"].tolist()
+        best = (0, 0)
+        for i, own in enumerate(starts):
+            j = i + 1
+            while j < len(starts) and len(starts[j]) == len(own) and ys[j] - ys[j - 1] <= most_gap and all(abs(a - b) <= tolerance for a, b in zip(starts[j], own, strict=True)):
+                j += 1
+            if j - i > best[1] - best[0]:
+                best = (i, j)
+        i, j = best
+        found = [{**{k: part[k].iloc[0] for k in keys}, "first": numbers[i], "last": numbers[j - 1], "columns": len(starts[i])}] if j - i >= 3 else []
+        return pd.DataFrame(found, columns=[*keys, "first", "last", "columns"])
+
+    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    return rows.groupBy(*keys).applyInPandas(run, f"{kinds}, first long, last long, columns long")

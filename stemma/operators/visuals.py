@@ -111,3 +111,19 @@ def dedupe_by_overlap(rows: DataFrame, key: list[str], order: str = "no", least:
 def ranked(rows: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     """The first k rows of each key: a report, not a limit on the work."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
+
+
+def evaluate_edges(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
+    """Edges (key, source, target) as wanted and as found -> (key, right, missing, extra, reversed, passed). An edge found the other
+    way round is both missing and extra, and counted as reversed."""
+    e = expected.select(key, "source", "target").distinct().withColumn("e", F.lit(1))
+    a = actual.select(key, "source", "target").distinct().withColumn("a", F.lit(1))
+    turned = a.select(key, F.col("target").alias("source"), F.col("source").alias("target"), F.lit(1).alias("t"))
+    both = e.join(a, [key, "source", "target"], "full").join(turned, [key, "source", "target"], "left")
+    out = both.groupBy(key).agg(
+        F.count_if(F.col("e").isNotNull() & F.col("a").isNotNull()).alias("right"),
+        F.count_if(F.col("a").isNull()).alias("missing"),
+        F.count_if(F.col("e").isNull()).alias("extra"),
+        F.count_if(F.col("e").isNotNull() & F.col("a").isNull() & F.col("t").isNotNull()).alias("reversed"),
+    )
+    return out.withColumn("passed", (F.col("missing") == 0) & (F.col("extra") == 0))

@@ -41,6 +41,18 @@ def equation_dispositions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(d.alias("d")).agg(F.count("*").alias("n"))
 
 
+_FORMULA = f"""length(v) BETWEEN 3 AND 240 AND len({_N}) <= 18 AND ({S.hit("v", EQ.RELATION)} OR {S.count("v", EQ.SIGN)} >= 2 OR {S.hit("v", r"[\^_]")}) AND {S.count("v", EQ.SIGN)} > 0
+AND NOT (len(list_filter({_N}, lambda w: length({S.sub("w", (r"\P{L}", ""))}) > 3 AND lower({S.sub("w", (r"^\\+", ""))}) NOT IN ({", ".join(map(S.q, EQ.NAMES))}))) > 0 AND {S.count("v", EQ.SIGN)} < 2) AND NOT {S.hit("v", "[?!]")}"""
+
+
+@query("EQ04", f"WITH {LINES_SQL}, t AS (SELECT source, page, line_no, {S.squeeze('line')} AS v FROM v_lines) SELECT source, page, line_no, v AS formula FROM t WHERE {_FORMULA}")
+def plain_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stemma.functions.text import squeeze
+
+    rows = lines_of(pages(spark, sf_dir)).select("source", "page", "line_no", squeeze(F.col("line")).alias("formula"))
+    return rows.where(EQ.is_plain_formula(F.col("formula")))
+
+
 @query("EQ05 EQ06 EQ07 EQ08")
 def inline_equations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cheap test for a relation or a mark runs before the Python function sees a line."""

@@ -244,6 +244,13 @@ def row_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FO.rows_by_drifting_mean(items, ["source", "page"]).groupBy("source", "page", "row_no").agg(F.count("*").alias("n"), F.min("y").alias("y"))
 
 
+@query("WN18")
+def aligned_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = _spans(spark, sf_dir).withColumn("row_no", F.floor(F.col("no") / 100_000)).where("x0 < 400")
+    rows = cells.groupBy("source", "page", "row_no").agg(F.min("y0").alias("y"), F.array_sort(F.collect_list("x0")).alias("starts"))
+    return FO.longest_aligned_run(rows, ["source", "page"])
+
+
 @query("WN20 WN21")
 def vector_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FO.group_by_proximity(_spans(spark, sf_dir).drop("text"), ["source", "page"], 24.0)

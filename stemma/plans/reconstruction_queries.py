@@ -170,6 +170,19 @@ def topology_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.compare_topology(edges.where("connector % 3 < 2"), edges.where("connector % 3 > 0"), "diagram")
 
 
+@query(
+    "EV06",
+    f"""WITH {_DIAGRAMS}, e AS (SELECT DISTINCT diagram, source, target, true AS e FROM v_edges WHERE connector % 3 < 2), a AS (SELECT DISTINCT diagram, CASE WHEN connector % 4 = 1 THEN target ELSE source END AS source, CASE WHEN connector % 4 = 1 THEN source ELSE target END AS target, true AS a FROM v_edges WHERE connector % 3 > 0),
+b AS (SELECT *, EXISTS (SELECT 1 FROM a t WHERE t.diagram = x.diagram AND t.source = x.target AND t.target = x.source) AS t FROM (SELECT * FROM e FULL JOIN a USING (diagram, source, target)) x)
+SELECT diagram, count(*) FILTER (e AND a)::BIGINT AS right_edges, count(*) FILTER (a IS NULL)::BIGINT AS missing, count(*) FILTER (e IS NULL)::BIGINT AS extra, count(*) FILTER (e AND a IS NULL AND t)::BIGINT AS reversed, count(*) FILTER (a IS NULL OR e IS NULL) = 0 AS passed FROM b GROUP BY diagram""",
+)
+def diagram_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = _edges(spark, sf_dir)[1]
+    turn = F.col("connector") % 4 == 1
+    found = edges.where("connector % 3 > 0").select("diagram", F.when(turn, F.col("target")).otherwise(F.col("source")).alias("source"), F.when(turn, F.col("source")).otherwise(F.col("target")).alias("target"))
+    return V.evaluate_edges(edges.where("connector % 3 < 2"), found, "diagram").withColumnRenamed("right", "right_edges")
+
+
 @query(
     "SNK11 VS04 VS06",
     f"""WITH {_DIAGRAMS}, n AS (SELECT s_suppkey % 5 AS diagram, 0 AS part, s_suppkey::VARCHAR AS a, '' AS b, '  n' || s_suppkey || '["' || {S.sub("s_name", (r'["\[\]{}<>|`]', " "))} || '"]' AS line FROM supplier

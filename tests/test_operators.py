@@ -174,6 +174,12 @@ def test_ordered_folds(spark):
     assert [r.no for r in folds.dedupe_nearby(entries, ["page"]).orderBy("no").collect()] == [0, 2, 3]
 
 
+def test_longest_aligned_run(spark):
+    rows = [(1, 0, 0.0, [0.0, 90.0]), (1, 1, 20.0, [0.0, 50.0]), (1, 2, 40.0, [5.0, 55.0]), (1, 3, 60.0, [0.0, 50.0]), (1, 4, 200.0, [0.0, 50.0]), (2, 0, 0.0, [0.0, 1.0]), (2, 1, 9.0, [0.0])]
+    df = spark.createDataFrame(rows, "page int, row_no long, y double, starts array<double>")
+    assert [tuple(r) for r in folds.longest_aligned_run(df, ["page"]).collect()] == [(1, 1, 3, 2)]
+
+
 def test_trees(spark):
     rows = spark.createDataFrame([(1, 0), (2, 1), (3, 1), (4, 3)], "pid long, parent long")
     got = {(r.root, r.pid, r.depth) for r in descendants(rows, rows, "pid", "parent").collect()}
