@@ -274,8 +274,8 @@ def class_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "JN08 EV05 ST08",
-    """WITH r AS (SELECT l_shipdate::DATE AS class, l_linenumber AS repeat, CASE WHEN l_returnflag = 'R' THEN 'browser' ELSE 'companion' END AS mode, l_quantity AS latency FROM lineitem),
-p AS (SELECT class, repeat, count(*) FILTER (mode = 'browser') AS b, count(*) FILTER (mode = 'companion') AS c, max(latency) FILTER (mode = 'browser') AS bl, max(latency) FILTER (mode = 'companion') AS cl FROM r GROUP BY ALL)
+    """WITH r AS (SELECT l_shipdate::DATE AS class, l_linenumber AS repeat, CASE WHEN l_returnflag = 'R' THEN 'browser' ELSE 'native' END AS mode, l_quantity AS latency FROM lineitem),
+p AS (SELECT class, repeat, count(*) FILTER (mode = 'browser') AS b, count(*) FILTER (mode = 'native') AS c, max(latency) FILTER (mode = 'browser') AS bl, max(latency) FILTER (mode = 'native') AS cl FROM r GROUP BY ALL)
 SELECT class, count(*)::BIGINT AS pairs, count(*) FILTER (cl < bl)::BIGINT AS wins, count(*) FILTER (cl < bl) >= ceil(count(*) * 2 / 3) AS promoted FROM p WHERE b = 1 AND c = 1 GROUP BY class""",
 )
 def promotion_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
