@@ -9,6 +9,7 @@ import sys
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -80,6 +81,22 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext._stemma_shipped = True
 
 
+_tables: dict[str, Callable[[], None]] = {}
+
+
+def keeps(owner: str, clear: Callable[[], None]) -> None:
+    """Names what an operator's module keeps in a worker process from one task to the next."""
+    _tables[owner] = clear
+
+
+def enter(owner: str) -> None:
+    """Called where an operator begins in a worker: what the others keep goes, so a process that serves several
+    stages holds the tables of one."""
+    for other, clear in _tables.items():
+        if other != owner:
+            clear()
+
+
 def plain_text(column: str):
     """The text column, null read as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

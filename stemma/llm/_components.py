@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemma.llm._common import materialise, ship
+from stemma.llm._common import materialise, release, ship
 
 #: Edges for each salt.
 SALT_EDGES = 2_000_000
@@ -60,7 +60,7 @@ def components(edges: DataFrame, most_rounds: int = 60, salt_edges: int = SALT_E
     now = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v"), "edges")
     seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
     for _ in range(most_rounds):
-        salts = -(-seen[0] // salt_edges)
+        salts, written = -(-seen[0] // salt_edges), now
         if salts > 1:
             now = now.distinct()
         to = F.expr(f"""inline(array_append(transform(sequence(0, {max(salts, 1) - 1}), s -> named_struct('g', xxhash64(u, s))),
@@ -68,6 +68,7 @@ def components(edges: DataFrame, most_rounds: int = 60, salt_edges: int = SALT_E
         after = materialise(now.select("u", "v", to).repartition("g").select("u", "v").mapInArrow(_contract, "u long, v long"), "edges")
         mark = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         now = after
+        release(written)
         if mark == seen or not mark[0]:
             return now.distinct().select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = mark

@@ -22,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stemma.llm._common import plain_text, ship
+from stemma.llm._common import enter, keeps, plain_text, ship
 
 CHUNK_CHARS, OVERLAP_CHARS = 65536, 2048
 
 _encoders: dict[str, object] = {}
+keeps("byte_bpe", _encoders.clear)
 
 
 def load_ranks(ranks_path: str) -> dict[bytes, int]:
@@ -56,6 +57,7 @@ def _encode_rows(ranks_path: str, pattern: str, text: str, ids: str):
     """Replaces the text column, which comes last, by the token ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("byte_bpe")
         enc = encoder(ranks_path, pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):

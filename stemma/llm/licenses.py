@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemma.llm._common import plain_text, ship
+from stemma.llm._common import enter, keeps, plain_text, ship
 
 SAMPLE_ROWS, LEAST, CONFIRMED = 400, 0.5, 0.6
 UNKNOWN = "unknown"
@@ -173,6 +173,7 @@ class _Grams:
 
 
 _grams: list[_Grams] = []
+keeps("licenses", _grams.clear)
 
 
 def grams() -> _Grams:
@@ -300,6 +301,7 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("licenses")
         g = grams()
         telling = np.abs(model.weight).max(1) > 0
         for batch in batches:

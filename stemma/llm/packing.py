@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemma.llm._common import materialise, plain_text, ship
+from stemma.llm._common import enter, keeps, materialise, plain_text, ship
 
 CAPACITY = 2048
 BLOCK_ITEMS, ISLANDS, EPOCHS = 8192, 2, 2
@@ -33,6 +33,7 @@ POPULATION, CHILDREN = 4, 8
 MEMO_WORDS, MEMO_CORES = 1_000_000, 600_000
 
 _state: dict[str, _Memo] = {}
+keeps("packing", _state.clear)
 _odd_blank = re.compile("[\x1c-\x1f]")
 #: Letters that stay single letters in lower case and under composition, then punctuation without an apostrophe: the
 #: tokenizer cuts such a word between the two.
@@ -84,6 +85,7 @@ class _Memo:
         for w in words:
             if m := _simple(w):
                 core, mark = m[1].lower(), m[2]
+                core = w if core == w else core  # one string for both tables
                 cut.append((w, core, mark))
                 if core not in self.cores:
                     cores.add(core)
@@ -129,6 +131,7 @@ def pieces(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY, end_
     names = ["k", "piece", "start", "length", "crc", *["ids"] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("packing")
         close = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
@@ -250,6 +253,7 @@ def evolve(length: np.ndarray, population: list[np.ndarray], capacity: int, rng:
 
 def _evolve_rows(capacity: int, epoch: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("islands")
         for batch in batches:
             for row in batch.to_pylist():
                 length = np.array(row["lengths"], dtype=np.int64)

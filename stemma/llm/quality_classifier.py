@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemma.llm._common import BLANKS, plain_text, ship
+from stemma.llm._common import BLANKS, enter, keeps, plain_text, ship
 from stemma.llm.toxicity import numbered, sampled
 
 SHAPES, LETTERS = 256, 1792
@@ -57,6 +57,7 @@ class _Tokens(dict):
 
 
 _tokens = _Tokens()
+keeps("quality_classifier", _tokens.clear)
 
 
 def index_vectors() -> np.ndarray:
@@ -78,6 +79,7 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("quality_classifier")
         near = np.zeros(TOKENS * TOKENS, dtype=np.int64)
         held, size = [], 0
 
@@ -194,6 +196,7 @@ def features(rows: DataFrame, vectors: np.ndarray) -> DataFrame:
     kept = [c for c in rows.columns if c != "t"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("quality_classifier")
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -229,6 +232,7 @@ def scored(rows: DataFrame, model: Model) -> DataFrame:
     ship(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("quality_classifier")
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stemma.llm._common import BLANKS, plain_text, ship
+from stemma.llm._common import BLANKS, enter, plain_text, ship
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_shout_words", "n_exclaims", "longest_word")
 
@@ -78,6 +78,7 @@ def measure(text: str) -> tuple[int, ...]:
 
 def _measure_rows(kept: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("quality_rules")
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
