@@ -2,10 +2,11 @@
 
 A rule is an action on a host, with its subdomains, and a path prefix; of the rules that fit a url the longest wins.
 Hosts of pages that a rule allows are trusted seeds, hosts of pages that a rule blocks are blocked seeds, each
-weighed by the number of such pages. Trust flows along links between hosts, split over a host's links by their number;
-distrust flows against them, from a blocked host to those that link to it. Both are personalised PageRank
-vectors after a fixed number of rounds. A host is blocked when distrust is most of what reached it. A page
-that no rule fits gets its host's verdict.
+weighed by the number of such pages as a share of all seed pages. Trust flows along links between hosts, split over a
+host's links by their number; distrust flows against them, from a blocked host to those that link to it. Both are
+personalised PageRank vectors; rounds go on until one adds at most TOLERANCE of the seeds' mass to each of them. A host
+is blocked when distrust is most of what reached it, however little that is: the verdict is a ratio, so it does not
+depend on the size of the table. A page that no rule fits gets its host's verdict.
 
 Defined results: a null url, or one without "://", has an empty host and path, no rule, and its verdict is that of the
 empty host, which takes no part in the graph: allow. Each input row gives one row; other input columns are not
@@ -14,6 +15,7 @@ carried; null html has no links; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +28,11 @@ LINK = r"""(?i)href\s{0,9}=\s{0,9}["']?(?:[a-z][a-z0-9+.-]{0,20}:)?//([^/?#"'\s<
 #: Rows of a table by host that may be sent to every executor; a larger one is joined by shuffle, where Spark splits the
 #: partition of a hot host.
 BROADCAST_HOSTS = 200_000
-DAMPING, ROUNDS, BLOCK_SHARE, LEAST_DISTRUST = 0.85, 8, 0.75, 0.5
+DAMPING, BLOCK_SHARE = 0.85, 0.75
+#: The last round adds at most this share of the seeds' mass.
+TOLERANCE = 1e-9
+#: Of judge_sql() only, which cannot go on to a tolerance and cuts at pages.
+ROUNDS, LEAST_DISTRUST = 8, 0.5
 
 
 @dataclass(frozen=True)
@@ -71,24 +77,35 @@ def host_links(pages: DataFrame) -> DataFrame:
     return links.groupBy("source", "target").agg(F.count("*").alias("n"))
 
 
-def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """seeds (host, trusted, blocked) -> (host, trust, distrust)."""
+def _mass(ranks: DataFrame) -> dict[str, float]:
+    """Sum of each kind. No host's rank falls from one round to the next, so its growth is the whole change."""
+    return {r.kind: r.v for r in ranks.groupBy("kind").agg(F.sum("v").alias("v")).collect()}
+
+
+def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """seeds (host, trusted, blocked) -> (host, trust, distrust), in shares of all seeds."""
     out = links.groupBy("source").agg(F.sum("n").alias("all"))
     back = links.groupBy("target").agg(F.sum("n").alias("all"))
     ahead = links.join(out, "source").select(F.lit("t").alias("kind"), F.col("source").alias("giver"), F.col("target").alias("taker"), (F.col("n") / F.col("all")).alias("w"))
     behind = links.join(back, "target").select(F.lit("d").alias("kind"), F.col("target").alias("giver"), F.col("source").alias("taker"), (F.col("n") / F.col("all")).alias("w"))
     edges = materialise(ahead.unionAll(behind), "edges")
-    start = seeds.select("host", F.expr("inline(array(struct('t' as kind, cast(trusted as double) as v), struct('d' as kind, cast(blocked as double) as v)))")).where("v > 0")
-    start = materialise(start, "seeds")
-    now = start
-    if not edges.isEmpty():
-        for _ in range(rounds):
+    seeds = materialise(seeds.where("trusted + blocked > 0"), "seeds")
+    total = seeds.agg(F.sum(F.col("trusted") + F.col("blocked"))).first()[0] or 1
+    share = f"inline(array(struct('t' as kind, trusted / {float(total)!r}D as v), struct('d' as kind, blocked / {float(total)!r}D as v)))"
+    start = materialise(seeds.select("host", F.expr(share)).where("v > 0"), "start")
+    now, seeded = start, _mass(start)
+    mass = seeded
+    if seeded and not edges.isEmpty():
+        # A round adds at most damping of what the one before it added, so these are enough.
+        for _ in range(math.ceil(math.log(tolerance, damping))):
             moved = now.join(edges, (now["kind"] == edges["kind"]) & (now["host"] == edges["giver"])).select(edges["kind"], F.col("taker").alias("host"), (F.col("v") * F.col("w") * damping).alias("v"))
             after = start.select("kind", "host", "v").unionAll(moved).groupBy("kind", "host").agg(F.sum("v").alias("v"))
             after = materialise(after, "ranks")
             if now is not start:
                 release(now)
-            now = after
+            now, before, mass = after, mass, _mass(after)
+            if all(mass[k] - before[k] <= tolerance * seeded[k] for k in seeded):
+                break
     return now.groupBy("host").agg(F.sum(F.when(F.col("kind") == "t", F.col("v")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("kind") == "d", F.col("v")).otherwise(0.0)).alias("distrust"))
 
 
@@ -103,15 +120,16 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
     ruled = materialise(plain.join(fitting, "host", "left").withColumn("best", best).select("k", "host", "path", F.col("best.name").alias("rule"), F.col("best.action").alias("action")), "ruled")
     seeds = ruled.where("host <> ''").groupBy("host").agg(F.count_if(F.col("action") == "allow").alias("trusted"), F.count_if(F.col("action") == "block").alias("blocked"))
     scores = propagate(seeds, host_links(rows.select("host", "html")))
-    distrust, trust = F.round("distrust", 6), F.round("trust", 6)
-    scores = scores.withColumn("method", F.when((distrust >= LEAST_DISTRUST) & (distrust > F.lit(BLOCK_SHARE) * (trust + distrust)), "block").otherwise("allow"))
+    share = F.round(F.try_divide("distrust", F.col("trust") + F.col("distrust")), 6)
+    scores = scores.withColumn("method", F.when(share > BLOCK_SHARE, "block").otherwise("allow"))
     judged = ruled.join(small(scores, "scores"), "host", "left")
     verdict = F.coalesce("action", "method", F.lit("allow"))
     return judged.select(F.col("k").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
 
 
 def judge_sql(rules: list[Rule]) -> str:
-    """The same in DuckDB's SQL, rounds unrolled, over the table pages."""
+    """The same in DuckDB's SQL over the table pages, but for ROUNDS rounds, unrolled, and with LEAST_DISTRUST pages as the
+    least distrust: equal where no host is further from a seed and none that only distrust reaches has less."""
     values = ", ".join(f"('{r.host}', {len(r.name)}, '{r.name}', '{r.action}', '{r.path}')" for r in rules)
     pattern = LINK.replace("'", "''")
     ranks = ["r0 AS (SELECT * FROM start)"]

@@ -88,3 +88,28 @@ def test_equals_brute_force_and_sql(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert url_filters.judge(df, queries.URL_RULES).count() == 0
+
+
+def _chain(hops, copies):
+    """Pages of n0.net to n<hops>.net, each linking to the one before it; n0.net links to a blocked host."""
+    pages = [("http://bad.com/de/1", None), ("http://n0.net/", "<a href='http://bad.com/'>")]
+    pages += [(f"http://n{i}.net/", f"<a href='http://n{i - 1}.net/'>") for i in range(1, hops + 1)]
+    return [(i, *p) for i, p in enumerate(pages * copies)]
+
+
+def test_distrust_goes_all_the_way_at_any_size(spark):
+    got = []
+    for copies in (1, 2):
+        df = spark.createDataFrame(_chain(12, copies), "page_id long, url string, html string")
+        got.append({r.host: (r.verdict, round(r.trust, 9), round(r.distrust, 9)) for r in url_filters.judge(df, queries.URL_RULES).collect()})
+    assert got[0] == got[1]
+    assert got[0] == {"bad.com": ("block", 0, 1)} | {f"n{i}.net": ("block", 0, round(0.85 ** (i + 1), 9)) for i in range(13)}
+
+
+def test_propagation_goes_on_to_its_tolerance(spark):
+    seeds = spark.createDataFrame([("a", 1000, 0), ("b", 0, 3000)], "host string, trusted long, blocked long")
+    links = spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "source string, target string, n long")
+    got = {r.host: (r.trust, r.distrust) for r in url_filters.propagate(seeds, links, tolerance=0.05).collect()}
+    near, far = 1 / (1 - 0.85**2), 0.85 / (1 - 0.85**2)
+    want = {"a": (near / 4, far * 3 / 4), "b": (far / 4, near * 3 / 4)}
+    assert all(0 <= w - g <= 0.05 / 0.15 for h in want for w, g in zip(want[h], got[h], strict=True))
