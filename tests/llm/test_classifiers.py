@@ -77,3 +77,18 @@ def test_quality_edge_cases(spark, labels):
     rows = q.score(docs, model).collect()
     assert len(rows) == 6 and all(0 <= r.score <= 1 for r in rows)
     assert q.score(docs.limit(0), q.train(docs.limit(0), toxicity.labelled_rows(docs.limit(0), marks, "quality", 4, 9))).count() == 0
+
+
+def test_rarer_toxic_phrases_keep_their_grams(spark):
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    phrases = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=250)) for _ in range(20)]  # about 740 n-grams each
+    rows = [(p, 1) for i, p in enumerate(phrases) for _ in range(40 - i)] + [("a nice day in the garden", 0)] * 300
+    labelled = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "k long, t string, y int")
+    weight = toxicity.train(labelled).weight
+    (_, data, offsets), = toxicity._slices(pa.array([phrases[-1]]))
+    every = toxicity.grams(data, offsets, weight == weight)[1]
+    assert (weight[every] > 0).mean() > 0.95
