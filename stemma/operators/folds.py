@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def _ratio(a, b) -> float:
@@ -194,6 +195,14 @@ def safe_json(texts: DataFrame, keys: list[str], text: str, depth: int = 32, nod
     return texts.select(*keys, text).mapInPandas(run, f"{kinds}, problem string")
 
 
+def cell_rows(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """cells (keys, row_no, text, x0, y0) -> (keys, row_no, y, starts): the rows that can be a table's, of 2 to 8 cells, each of
+    at most 90 characters and 12 words and without braces. Other rows are no part of a table, as a whole."""
+    short = (F.length("text") <= 90) & (F.size(F.split("text", r"\s+")) <= 12) & ~F.col("text").rlike("[{}]")
+    rows = cells.groupBy(*keys, "row_no").agg(F.min("y0").alias("y"), F.array_sort(F.collect_list("x0")).alias("starts"), F.bool_and(short).alias("short"))
+    return rows.where(F.col("short") & F.size("starts").between(2, 8)).drop("short")
+
+
 def longest_aligned_run(rows: DataFrame, keys: list[str], tolerance: float = 22.0, most_gap: float = 52.0) -> DataFrame:
     """rows (keys, row_no, y, starts array<double>) -> (keys, first, last, columns): the longest run of three rows or more whose cells are as many
     and start where those of the run's first row do; the earliest of equal ones. Keys without one have no row."""

@@ -246,9 +246,8 @@ def row_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WN18")
 def aligned_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = _spans(spark, sf_dir).withColumn("row_no", F.floor(F.col("no") / 100_000)).where("x0 < 400")
-    rows = cells.groupBy("source", "page", "row_no").agg(F.min("y0").alias("y"), F.array_sort(F.collect_list("x0")).alias("starts"))
-    return FO.longest_aligned_run(rows, ["source", "page"])
+    cells = _spans(spark, sf_dir).withColumn("row_no", F.floor(F.col("no") / 100_000))
+    return FO.longest_aligned_run(FO.cell_rows(cells, ["source", "page"]), ["source", "page"])
 
 
 @query("WN20 WN21")

@@ -174,6 +174,26 @@ def test_ordered_folds(spark):
     assert [r.no for r in folds.dedupe_nearby(entries, ["page"]).orderBy("no").collect()] == [0, 2, 3]
 
 
+def test_rows_of_cells_are_whole_lines(spark):
+    def row(no, texts):
+        return [(1, no, t, 72.0 + 40 * i, 60.0 + 14 * no) for i, t in enumerate(texts)]
+
+    lines = [["w"] * 9, ["w"] * 12, ["w"] * 20, ["a", "b"], ["c", "d"], ["e", "f"], ["one"], ["x" * 91, "y"], ["{", "y"], ["w " * 12 + "w", "y"], ["x" * 90, "y"], ["w"] * 8]
+    cells = spark.createDataFrame([c for no, texts in enumerate(lines) for c in row(no, texts)], "page int, row_no long, text string, x0 double, y0 double")
+    rows = folds.cell_rows(cells, ["page"])
+    assert sorted((r.row_no, len(r.starts)) for r in rows.collect()) == [(3, 2), (4, 2), (5, 2), (10, 2), (11, 8)]
+    assert [tuple(r) for r in folds.longest_aligned_run(rows.where("row_no < 10"), ["page"]).collect()] == [(1, 3, 5, 2)]
+
+
+def test_prose_is_no_aligned_run(spark, tmp_path):
+    from stemma.plans.registry import every
+
+    text = "\n".join(" ".join(["word"] * n) for n in (10, 14, 9, 12, 11))
+    spark.createDataFrame([(1, "s", text), (2, "s", "a b\nc d\ne f")], "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = every()["aligned_runs"].run(spark, str(tmp_path)).where("source = 's'").collect()
+    assert [tuple(r) for r in got] == [("s", 2, 0, 2, 2)]
+
+
 def test_longest_aligned_run(spark):
     rows = [(1, 0, 0.0, [0.0, 90.0]), (1, 1, 20.0, [0.0, 50.0]), (1, 2, 40.0, [5.0, 55.0]), (1, 3, 60.0, [0.0, 50.0]), (1, 4, 200.0, [0.0, 50.0]), (2, 0, 0.0, [0.0, 1.0]), (2, 1, 9.0, [0.0])]
     df = spark.createDataFrame(rows, "page int, row_no long, y double, starts array<double>")
