@@ -228,7 +228,7 @@ def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("source", "page", (F.col("line_no") * 100_000 + F.col("i")).cast("long").alias("no"), "text", x.alias("x0"), F.col("y0").cast("double").alias("y0"), (x + 35).alias("x1"), (F.col("y0") + 10.0 + F.col("i") % 3).alias("y1"))
 
 
-@query("WN03 WN07 WN19")
+@query("WN03")
 def span_line_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FO.spans_to_lines(_spans(spark, sf_dir), ["source", "page"]).groupBy("source", "page", "line_no").agg(F.count("*").alias("spans"), F.min("x0").alias("x0"), F.max("x1").alias("x1"))
 
@@ -238,7 +238,7 @@ def visual_line_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FO.merge_visual_lines(_spans(spark, sf_dir).withColumn("size", F.lit(10.0)), ["source", "page"]).select("source", "page", "no", "text", "x0", "x1")
 
 
-@query("WN05 TB02 TB06")
+@query("WN05")
 def row_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _spans(spark, sf_dir).select("source", "page", F.col("y0").alias("y"))
     return FO.rows_by_drifting_mean(items, ["source", "page"]).groupBy("source", "page", "row_no").agg(F.count("*").alias("n"), F.min("y").alias("y"))
@@ -250,7 +250,7 @@ def aligned_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FO.longest_aligned_run(FO.cell_rows(cells, ["source", "page"]), ["source", "page"])
 
 
-@query("WN20 WN21")
+@query("")
 def vector_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FO.group_by_proximity(_spans(spark, sf_dir).drop("text"), ["source", "page"], 24.0)
 

@@ -23,3 +23,8 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_covers_name_only_what_is_there():
+    missing = {"WN07", "WN19", "WN20", "WN21", "TB02", "TB06"}
+    assert not {q.name: q.covers for q in every().values() if missing & set(q.covers)}
