@@ -142,17 +142,17 @@ def _votes(kind: str, value: Column, before: Column, after: Column) -> Column:
     return F.concat(*((v + 1).cast("string") for v in (form, _checksum(kind, value), known, cue, border)))
 
 
-def _matches(text: str, pattern: str, needs: str | None, group: int) -> list[Column]:
+def _matches(text: str, pattern: str, able: Column, group: int) -> list[Column]:
     """(spans' texts, whole matches, pieces around them); no regex runs on a text that cannot match."""
     t = F.col(text)
-    able = F.contains(t, F.lit(needs)) if needs else t.rlike("[0-9]")
     none = F.array().cast("array<string>")
     whole = F.when(able, F.regexp_extract_all(t, F.lit(pattern), F.lit(0))).otherwise(none)
     own = F.when(able, F.regexp_extract_all(t, F.lit(pattern), F.lit(group))).otherwise(none) if group else whole
     return [own, whole]
 
 
-_NEEDS = {"secret": None, "obfuscated_email": "at", "local_phone": None, "iban": None}
+#: Part of each loose pattern, which a text must match for the whole to match.
+_NEEDS = {"secret": "[:=]", "obfuscated_email": r"(?i)[\[(]at[\])]", "local_phone": "[0-9]", "iban": "[0-9]"}
 _SPAN = "struct<kind:int,start:int,end:int,base:boolean,votes:string,long:int,digits:int>"
 
 
@@ -177,10 +177,11 @@ def _spans(kind: str, number: int, last: bool) -> Column:
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(k, t, each column kept, spans array): all candidates of a text, with votes. kind is a number in KINDS."""
     rows = docs.select(F.col(id_col).alias("k"), plain_text(text_col).alias("t"), *keep)
-    found = {k: (p, n, 0) for k, (p, n) in BASE.items()} | {k: (p, _NEEDS[k], g) for k, (p, g) in LOOSE.items()}
+    base = {k: (p, F.contains(F.col("t"), F.lit(n)) if n else F.col("t").rlike("[0-9]"), 0) for k, (p, n) in BASE.items()}
+    found = base | {k: (p, F.col("t").rlike(_NEEDS[k]), g) for k, (p, g) in LOOSE.items()}
     columns = {}
-    for kind, (pattern, needs, group) in found.items():
-        own, whole = _matches("t", pattern, needs, group)
+    for kind, (pattern, able, group) in found.items():
+        own, whole = _matches("t", pattern, able, group)
         columns |= {f"{kind}_own": own} | ({f"{kind}_whole": whole} if group else {})
     rows = rows.withColumns(columns)
     pieces = {f"{kind}_pieces": F.when(F.size(f"{kind}_own") > 0, F.split("t", pattern)).otherwise(F.array().cast("array<string>")) for kind, (pattern, _, _) in found.items()}

@@ -101,3 +101,10 @@ def test_query_columns(spark, sf):
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == i for _, k, _ in want) for i in range(4)]
     assert queries.op9_pii(spark, sf).limit(0).count() == 0
     assert pii.find(spark.read.parquet(f"{sf}/documents.parquet").where(F.lit(False))).count() == 0
+
+
+def test_loose_candidates_need_no_digit_and_no_lower_case(spark):
+    texts = ["api_key = abcdefghijklmnop", "PASSWORD: HUNTERHUNTER", "CONTACT: JOHN[AT]EXAMPLE[DOT]COM", "john (At) example.com", "token of thanks at noon"]
+    rows = pii.candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("k").collect()
+    got = [[(pii.KINDS[s.kind], r.t[s.start : s.end]) for s in r.spans] for r in rows]
+    assert got == [[("secret", "abcdefghijklmnop")], [("secret", "HUNTERHUNTER")], [("obfuscated_email", "JOHN[AT]EXAMPLE[DOT]COM")], [("obfuscated_email", "john (At) example.com")], []]
