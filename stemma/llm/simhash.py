@@ -8,7 +8,8 @@ radius plus one, so the two of a pair meet at the home of either. At each anchor
 compared with all that were sent there; what leaves is a spanning forest of the links found, never all pairs.
 An anchor with very many fingerprints is cut into a grid of cells, each compared by a task of its own.
 
-Defined results: null and wordless texts have fingerprint 0 and are linked like any other; repeated rows and repeated
+Defined results: null and wordless texts have fingerprint 0 and are linked like any other; a very long text is read whole, some
+65,536 shingles at a time; a bit set in exactly half the shingles is 0; repeated rows and repeated
 ids each give a row; rows with a null id get their group's smallest id (null if it has none); other input
 columns are not carried; an empty table gives an empty table.
 """
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemma.llm._common import enter, materialise, plain_text, ship
+from stemma.llm._common import enter, materialise, plain_text, release, ship
 from stemma.llm._components import components
 
 SEED = 42
@@ -203,11 +204,12 @@ def _compare(most_bits: int):
 
 def links(prints: DataFrame, most_bits: int = 3, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Links (u, v) that join all of the distinct fingerprints `fp` at `most_bits` (3 or fewer) differing bits
-    into the right components."""
+    into the right components. They are written down and can be released."""
     if most_bits > 3:
         raise ValueError("the anchors cover at most three differing bits")
     ship(prints.sparkSession)
-    spread = prints.mapInArrow(_replicate, "anchor long, fp long, home boolean")
+    # Written down: it is read for the sizes of the anchors and for the cells.
+    spread = materialise(prints.mapInArrow(_replicate, "anchor long, fp long, home boolean"), "replicas")
     # Cells of a large anchor: its own fingerprints go by one number, all that were sent there by another.
     large = spread.groupBy("anchor").agg(F.count("*").alias("n"), F.count_if("home").alias("h")).where(F.col("n") > cell_rows)
     large = large.select("anchor", F.ceil(F.col("n") / cell_rows).cast("long").alias("b"), F.ceil(F.col("h") / cell_rows).cast("long").alias("a"))
@@ -215,14 +217,18 @@ def links(prints: DataFrame, most_bits: int = 3, cell_rows: int = CELL_ROWS) ->
     own = placed.where("home").select("anchor", "fp", F.lit(True).alias("home"), F.expr("pmod(xxhash64(fp, 1), a)").alias("i"), F.explode(F.expr("sequence(0L, b - 1)")).alias("j"))
     sent = placed.select("anchor", "fp", F.lit(False).alias("home"), F.explode(F.expr("sequence(0L, a - 1)")).alias("i"), F.expr("pmod(xxhash64(fp, 2), b)").alias("j"))
     cells = own.unionByName(sent).select(F.expr("if(i = 0 and j = 0, anchor, xxhash64(anchor, i, j))").alias("cell"), "fp", "home")
-    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_compare(most_bits), "u long, v long")
+    found = materialise(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_compare(most_bits), "u long, v long"), "links")
+    release(spread)
+    return found
 
 
 def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, most_bits: int = 3) -> DataFrame:
     """(id_col, fp, component_id): component_id is the smallest id of the texts reachable over links."""
     rows = materialise(fingerprints(docs, id_col, text_col, width), "fingerprints")
     nodes = materialise(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
-    roots = materialise(components(links(nodes.select("fp"), most_bits)), "roots")
+    found = links(nodes.select("fp"), most_bits)
+    roots = components(found)
+    release(found)
     linked = roots.select(F.col("node").alias("fp"), "root").unionAll(roots.select(F.col("root").alias("fp"), "root").distinct())
     named = linked.join(nodes, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
     moved = linked.join(named, "root").select("fp", "component_id")
