@@ -1,15 +1,21 @@
 """Best-fit packing (operator 3): a grouping genetic algorithm on islands.
 
 Documents are tokenised and only those longer than a sequence are cut. The pieces are dealt into blocks of a bounded
-number of pieces, each with several islands: populations of whole packings, bred from different starts. A
-child takes well-filled bins of one parent whole, drops the other parent's bins that hold any of their pieces,
-and best-fits the pieces thus displaced, longest first. Between epochs each island's best packing moves on to
-the next island. An island rests once its best packing meets the lower bound on the number of bins. The
-best packing of any island is the block's.
-
-Defined results: null and empty texts are the closing id alone; each input row gives its pieces, so repeated rows and
-repeated ids are packed as often as they come; a null id stays null; other input columns are not
-carried; an empty table gives an empty table.
+number of pieces, each with several islands: populations of whole packings. Every island starts from its own best fits of
+orders disturbed by chance, none from the plain order. A child takes well-filled bins of one parent whole, drops the
+other parent's bins that hold any of their pieces and the emptiest ones, and gets the pieces thus displaced back: first
+where one fills a loose bin better than one or two of its pieces, which are displaced in turn, then by best fit, longest
+first. Between epochs each island's best packing moves on to the next island. Every island makes at least LEAST_CHILDREN
+children; after that it rests once its best packing meets the lower bound on the number of bins, which no packing can
+beat. The best packing of any island is the block's.
+
+Ids are the tokenizer's own with add_special_tokens=False: the strings of its special tokens in a text give those tokens'
+ids, unless `special_as_text` is set.
+
+Defined results: null and empty texts are the closing id alone; a very long text is read whole; of pieces of equal length
+any may take a place; each input row gives its pieces, so repeated rows and repeated ids are packed as often as they
+come; a null id stays null; other input columns of documents are not carried, those of pack() are, but for its own
+two, which replace theirs; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -24,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemma.llm._common import enter, keeps, materialise, plain_text, ship
+from stemma.llm._common import enter, keeps, materialise, plain_text, release, ship
 
 CAPACITY = 2048
-BLOCK_ITEMS, ISLANDS, EPOCHS = 8192, 2, 2
-POPULATION, CHILDREN = 4, 8
+BLOCK_ITEMS, ISLANDS, EPOCHS = 8192, 2, 3
+POPULATION, CHILDREN, LEAST_CHILDREN = 4, 24, 6
+#: Bins that a child opens beside those it must; pieces of a bin of which pairs are tried; tasks of an epoch at most.
+OPENED, PAIRED, ISLAND_TASKS = 8, 24, 20_000
 #: Words, and words without case and punctuation, whose ids a worker keeps; a table is emptied when full.
 MEMO_WORDS, MEMO_CORES = 1_000_000, 600_000
 
@@ -54,12 +62,13 @@ def _latin(text: str) -> bool:
 class _Memo:
     """One tokenizer and its tables of ids, as bytes, for each worker process."""
 
-    def __init__(self, vocabulary_path: str):
+    def __init__(self, vocabulary_path: str, special_as_text: bool):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(vocabulary_path)
-        self.model.encode_special_tokens = True
+        self.model.encode_special_tokens = special_as_text
+        self.special = () if special_as_text else tuple({t.content[:2] for t in self.model.get_added_tokens_decoder().values()})
         vocabulary = self.model.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -105,14 +114,21 @@ class _Memo:
         return out
 
 
-def token_bytes(texts: list[str], vocabulary_path: str) -> list[bytes]:
+def token_bytes(texts: list[str], vocabulary_path: str, special_as_text: bool = False) -> list[bytes]:
     """Each text's ids as little-endian unsigned 32-bit numbers. The tokenizer drops blanks and no merge
     crosses one, so a word between blanks is encoded once and looked up after that."""
-    if vocabulary_path not in _state:
-        _state[vocabulary_path] = _Memo(vocabulary_path)
-    memo = _state[vocabulary_path]
-    odd = [bool(_odd_blank.search(t)) for t in texts]  # str.split takes these for blanks, the tokenizer does not
-    words = [[t] if o else (t.lower() if _latin(t) else t).split() for t, o in zip(texts, odd, strict=True)]
+    name = f"{vocabulary_path}\n{special_as_text}"
+    if name not in _state:
+        _state[name] = _Memo(vocabulary_path, special_as_text)
+    memo = _state[name]
+
+    def cut(text: str) -> list[str]:
+        if _odd_blank.search(text):  # str.split takes these for blanks, the tokenizer does not
+            return [text]
+        exact = any(s in text for s in memo.special)  # special tokens are found before the tokenizer turns to lower case
+        return (text.lower() if not exact and _latin(text) else text).split()
+
+    words = list(map(cut, texts))
     if len(memo.words) > MEMO_WORDS:
         memo.words.clear()
     new = list(set().union(*words).difference(memo.words))
@@ -124,7 +140,7 @@ def token_bytes(texts: list[str], vocabulary_path: str) -> list[bytes]:
     return out
 
 
-def pieces(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, special_as_text: bool = False) -> DataFrame:
     """(id_col, piece int, start long, length long, ids_crc32 long[, ids binary]) of every document."""
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -137,7 +153,7 @@ def pieces(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY, end_
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 row, rest = [], []
-                for i, ids in enumerate(token_bytes(part.column("t").to_pylist(), vocabulary_path)):
+                for i, ids in enumerate(token_bytes(part.column("t").to_pylist(), vocabulary_path, special_as_text)):
                     ids += close
                     for no, start in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[start : start + 4 * capacity]
@@ -204,6 +220,43 @@ def _seed(length: np.ndarray, capacity: int, noise: float, rng: np.random.Genera
     return bins
 
 
+def replace_items(length: np.ndarray, bins: np.ndarray, free: list[int], displaced: np.ndarray) -> np.ndarray:
+    """In each bin with room, puts the displaced item that fills it best in the place of one or two smaller ones. Changes bins
+    and free; returns the items now displaced."""
+    if not len(displaced) or not free:
+        return displaced
+    by: dict[int, list[int]] = {}
+    some = 0
+    for i, n in zip(displaced.tolist(), length[displaced].tolist(), strict=True):
+        by.setdefault(n, []).append(i)
+        some |= 1 << n
+    inside = np.ones(len(bins), dtype=bool)
+    inside[displaced] = False
+    own = np.flatnonzero(inside & (np.array(free, dtype=np.int64) > 0)[bins])
+    own = own[np.argsort(bins[own], kind="stable")]
+    cuts = np.flatnonzero(np.diff(bins[own], prepend=-1, append=-1)).tolist()
+    for at, to in zip(cuts, cuts[1:], strict=False):
+        items = own[at:to].tolist()
+        sizes, b = length[own[at:to]].tolist(), int(bins[items[0]])
+        out = [(n, (x,)) for x, n in enumerate(sizes)]
+        if len(items) <= PAIRED:
+            out += [(n + sizes[y], (x, y)) for x, n in enumerate(sizes) for y in range(x)]
+        best = (0, 0, ())
+        for n, places in out:
+            most = (some & (1 << n + free[b] + 1) - 1).bit_length() - 1
+            best = max(best, (most - n, most, places))
+        gain, n, places = best
+        if gain > 0:
+            bins[by[n].pop()] = b
+            if not by[n]:
+                some ^= 1 << n
+            free[b] -= gain
+            for x in places:
+                by.setdefault(sizes[x], []).append(items[x])
+                some |= 1 << sizes[x]
+    return np.array([i for same in by.values() for i in same], dtype=np.int64)
+
+
 def cross(length: np.ndarray, giver: np.ndarray, other: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
     """A child with well-filled bins of the giver, whole, and what they leave of the other parent."""
     room = _free(length, giver, capacity)
@@ -214,7 +267,7 @@ def cross(length: np.ndarray, giver: np.ndarray, other: np.ndarray, capacity: in
     spare = np.flatnonzero(~broken)
     if len(spare):  # the emptiest of the untouched bins are opened too
         spare_room = _free(length, other, capacity)[spare]
-        broken[spare[np.argsort(-spare_room, kind="stable")[:2]]] = True
+        broken[spare[np.argsort(-spare_room, kind="stable")[:OPENED]]] = True
     displaced = np.flatnonzero(~held & broken[other])
     source = np.where(held, giver, other + len(room))
     kept = np.ones(len(length), dtype=bool)
@@ -222,33 +275,27 @@ def cross(length: np.ndarray, giver: np.ndarray, other: np.ndarray, capacity: in
     child = np.zeros(len(length), dtype=np.int32)
     _, child[kept] = np.unique(source[kept], return_inverse=True)
     free = _free(length[kept], child[kept], capacity).tolist() if kept.any() else []
-    best_fit(length, displaced, child, free, capacity)
+    best_fit(length, replace_items(length, child, free, displaced), child, free, capacity)
     return child
 
 
-def evolve(length: np.ndarray, population: list[np.ndarray], capacity: int, rng: np.random.Generator, size: int = POPULATION, children: int = CHILDREN) -> list[np.ndarray]:
-    """One epoch of an island; the best packing comes first."""
-    goal = least_bins(length, capacity)
+def evolve(length: np.ndarray, population: list[np.ndarray], capacity: int, rng: np.random.Generator, size: int = POPULATION, children: int = CHILDREN, least: int = 0) -> tuple[list[np.ndarray], int, int]:
+    """One epoch of an island: (packings, the best first; children; children better than both parents). At least `least`
+    children are made."""
+    goal, made, better = least_bins(length, capacity), 0, 0
+    noise = rng.uniform(0.02, 0.5, size)
+    population = [*population, *(_seed(length, capacity, n, rng) for n in noise[len(population) :])]
     ranked = sorted(((_rank(length, b, capacity), i, b) for i, b in enumerate(population)), key=lambda x: x[:2])
-    if not ranked:
-        first = _seed(length, capacity, 0, rng)
-        ranked = [(_rank(length, first, capacity), 0, first)]
-    i = len(ranked)
-    while len(ranked) < size and ranked[0][0][0] > goal:
-        b = _seed(length, capacity, 0.3, rng)
-        ranked.append((_rank(length, b, capacity), i, b))
-        ranked.sort(key=lambda x: x[:2])
-        i += 1
-    for _ in range(children):
-        if ranked[0][0][0] <= goal or len(ranked) < 2:
-            break
+    while made < children and len(ranked) > 1 and (made < least or ranked[0][0][0] > goal):
         a, b = rng.choice(len(ranked), 2, replace=False)
         child = cross(length, ranked[a][2], ranked[b][2], capacity, rng)
-        ranked.append((_rank(length, child, capacity), i, child))
+        rank = _rank(length, child, capacity)
+        better += rank < min(ranked[a][0], ranked[b][0])
+        made += 1
+        ranked.append((rank, len(population) + made, child))
         ranked.sort(key=lambda x: x[:2])
         del ranked[size:]
-        i += 1
-    return [b for _, _, b in ranked]
+    return [b for _, _, b in ranked], made, int(better)
 
 
 def _evolve_rows(capacity: int, epoch: int):
@@ -259,56 +306,70 @@ def _evolve_rows(capacity: int, epoch: int):
                 length = np.array(row["lengths"], dtype=np.int64)
                 population = [np.frombuffer(p, dtype=np.int32) for p in [*(row["population"] or []), row["migrant"]] if p]
                 rng = np.random.default_rng([row["block"], row["island"], epoch])
-                population = evolve(length, population, capacity, rng)
+                population, made, better = evolve(length, population, capacity, rng, least=0 if epoch else LEAST_CHILDREN)
                 n_bins, fill = _rank(length, population[0], capacity)
                 packed = [b.astype(np.int32).tobytes() for b in population]
-                yield pa.RecordBatch.from_pylist([{**{c: row[c] for c in ("block", "island", "lengths")}, "population": packed, "n_bins": n_bins, "fill": fill}], schema=_schema)
+                told = {"n_bins": n_bins, "fill": fill, "made": (row["made"] or 0) + made, "better": (row["better"] or 0) + better}
+                yield pa.RecordBatch.from_pylist([{**{c: row[c] for c in ("block", "island", "lengths")}, "population": packed, **told}], schema=_schema)
 
     return run
 
 
-_schema = pa.schema([("block", pa.int64()), ("island", pa.int32()), ("lengths", pa.list_(pa.int32())), ("population", pa.list_(pa.binary())), ("n_bins", pa.int64()), ("fill", pa.float64())])
-_ddl = "block long, island int, lengths array<int>, population array<binary>, n_bins long, fill double"
+_schema = pa.schema([("block", pa.int64()), ("island", pa.int32()), ("lengths", pa.list_(pa.int32())), ("population", pa.list_(pa.binary())), ("n_bins", pa.int64()), ("fill", pa.float64()), ("made", pa.int64()), ("better", pa.int64())])
+_ddl = "block long, island int, lengths array<int>, population array<binary>, n_bins long, fill double, made long, better long"
 
 
-def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The best packing of a block -> each piece's bin and offset."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            length = np.array(row["lengths"], dtype=np.int64)
-            bins = np.frombuffer(row["best"], dtype=np.int32)
-            order = np.argsort(bins, kind="stable")
-            ends = np.cumsum(length[order])
-            first = np.r_[True, bins[order][1:] != bins[order][:-1]]
-            begin = (ends - length[order])[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
-            offset = np.empty(len(order), dtype=np.int64)
-            offset[order] = ends - length[order] - begin
-            at = pa.array(range(len(length)), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array([row["block"]] * len(length), pa.int64()), at, pa.array(bins.astype(np.int64)), pa.array(offset)], ["block", "at", "bin", "offset"])
+def _place(blocks: int):
+    """The best packing of a block -> each piece's sequence and offset."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                length = np.array([x["n"] for x in row["own"]], dtype=np.int64)
+                bins = np.frombuffer(row["best"], dtype=np.int32)
+                order = np.argsort(bins, kind="stable")
+                ends = np.cumsum(length[order])
+                first = np.r_[True, bins[order][1:] != bins[order][:-1]]
+                begin = (ends - length[order])[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
+                offset = np.empty(len(order), dtype=np.int64)
+                offset[order] = ends - length[order] - begin
+                uid = pa.array([x["uid"] for x in row["own"]], pa.int64())
+                yield pa.RecordBatch.from_arrays([uid, pa.array(bins.astype(np.int64) * blocks + row["block"]), pa.array(offset)], ["uid", "sequence_id", "offset"])
+
+    return run
+
+
+def islands_of(gathered: DataFrame, tasks: int, capacity: int = CAPACITY, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
+    """gathered (block, own array of (uid, n)) -> one row for each island after the last epoch, written down."""
+    state = gathered.select("block", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.col("own.n").alias("lengths"))
+    state = state.withColumns({"population": F.lit(None).cast("array<binary>"), "migrant": F.lit(None).cast("binary"), "made": F.lit(0), "better": F.lit(0)})
+    for epoch in range(epochs):
+        after = materialise(state.repartition(tasks, "block", "island").mapInArrow(_evolve_rows(capacity, epoch), _ddl), "islands")
+        release(state)
+        state = after
+        if epoch + 1 < epochs:
+            elite = state.select("block", F.expr(f"cast((island + 1) % {islands} as int)").alias("island"), F.col("population")[0].alias("migrant"))
+            path = state._stemma_path
+            state = state.drop("n_bins", "fill").join(elite, ["block", "island"])
+            state._stemma_path = path
+    return state
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, block_items: int = BLOCK_ITEMS, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
     """Adds sequence_id and offset to rows that have a `length` of 1 to capacity. Every other column is carried."""
     spark = items.sparkSession
     ship(spark)
-    names = items.columns
+    names = [c for c in items.columns if c not in ("sequence_id", "offset")]
     numbered = materialise(items.select(F.struct(*names).alias("item"), F.col("length").cast("int").alias("n"), F.monotonically_increasing_id().alias("uid")), "pieces")
     some = numbered.where(F.col("n") < capacity)
     blocks = max(1, -(-some.count() // block_items))
-    dealt = some.withColumn("block", F.pmod(F.xxhash64("uid"), F.lit(blocks)))
-    gathered = dealt.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("uid", "n"))).alias("own"))
-    gathered = materialise(gathered, "blocks")
-    state = gathered.select("block", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.col("own.n").alias("lengths"))
-    state = state.withColumns({"population": F.lit(None).cast("array<binary>"), "migrant": F.lit(None).cast("binary")})
-    for epoch in range(epochs):
-        state = materialise(state.repartition("block", "island").mapInArrow(_evolve_rows(capacity, epoch), _ddl), "islands")
-        if epoch + 1 < epochs:
-            elite = state.select("block", F.expr(f"cast((island + 1) % {islands} as int)").alias("island"), F.col("population")[0].alias("migrant"))
-            state = state.drop("n_bins", "fill").join(elite, ["block", "island"])
-    best = state.groupBy("block").agg(F.min_by(F.struct("lengths", F.col("population")[0].alias("best")), F.struct("n_bins", "fill", "island")).alias("b")).select("block", "b.lengths", "b.best")
-    placed = best.mapInArrow(_place, "block long, at int, bin long, offset long")
-    uids = gathered.select("block", F.posexplode("own.uid").alias("at", "uid"))
-    where = placed.join(uids, ["block", "at"]).select("uid", F.expr(f"bin * {blocks} + block").alias("sequence_id"), "offset")
-    shared = numbered.where(F.col("n") < capacity).join(where, "uid").select("item.*", "sequence_id", "offset")
+    block = F.pmod(F.xxhash64("uid"), F.lit(blocks)).alias("block")
+    gathered = materialise(some.groupBy(block).agg(F.array_sort(F.collect_list(F.struct("uid", "n"))).alias("own")), "blocks")
+    state = islands_of(gathered, min(blocks * islands, ISLAND_TASKS), capacity, islands, epochs)
+    best = state.groupBy("block").agg(F.min_by(F.col("population")[0], F.struct("n_bins", "fill", "island")).alias("best"))
+    where = materialise(gathered.join(best, "block").mapInArrow(_place(blocks), "uid long, sequence_id long, offset long"), "places")
+    for done in (state, gathered):
+        release(done)
+    shared = some.join(where, "uid").select("item.*", "sequence_id", "offset")
     alone = numbered.where(F.col("n") >= capacity).select("item.*", (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return shared.unionByName(alone)

@@ -232,7 +232,10 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     linked = roots.select(F.col("node").alias("fp"), "root").unionAll(roots.select(F.col("root").alias("fp"), "root").distinct())
     named = linked.join(nodes, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
     moved = linked.join(named, "root").select("fp", "component_id")
-    by_print = nodes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # Written down, so the join with the rows is of two tables, whose hot fingerprint Spark splits.
+    by_print = materialise(nodes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "components")
+    for done in (nodes, roots):
+        release(done)
     return rows.join(by_print, "fp", "left").select(id_col, "fp", "component_id")
 
 

@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 from stemma.llm import packing
 
 VOCABULARY = vocab.path("word_bpe_49k.json")
-TEXTS = [None, "", " ", "Hello, World's end", "x" * 9000, "ÀÉ ñ ça <|endoftext|> don't", "a\x1cb\x85c d 　e​f", "é ́x İI", "one two " * 3000]
+TEXTS = ["good night <|endoftext|> moon", "A<|startoftext|>B <|EndOfText|> É<|endoftext|>", None, "", " ", "Hello, World's end", "x" * 9000, "ÀÉ ñ ça <|endoftext|> don't", "a\x1cb\x85c d 　e​f", "é ́x İI", "one two " * 3000]
 
 
 def _texts():
@@ -26,7 +26,6 @@ def _docs(spark, texts):
 def test_every_piece_once_and_gapless(spark, capacity, block):
     texts = _texts()
     model = Tokenizer.from_file(VOCABULARY)
-    model.encode_special_tokens = True
     rows = packing.pack(packing.pieces(_docs(spark, texts), VOCABULARY, capacity=capacity), capacity=capacity, block_items=block).collect()
     by = {}
     for r in rows:
@@ -54,16 +53,60 @@ def test_every_piece_once_and_gapless(spark, capacity, block):
         assert len(bins) <= -(-total // capacity) + 1
 
 
-def test_genetic_step_never_loses_items_and_helps():
+def test_special_tokens_as_text(spark):
+    model = Tokenizer.from_file(VOCABULARY)
+    assert packing.token_bytes(["good night <|endoftext|> moon"], VOCABULARY) == [np.array([886, 930, 49407, 3293], "<u4").tobytes()]
+    model.encode_special_tokens = True
+    want = [np.array(model.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in TEXTS]
+    assert packing.token_bytes([t or "" for t in TEXTS], VOCABULARY, special_as_text=True) == want
+
+
+def test_crossover_gains_bins_over_best_fit(spark):
     rng = np.random.default_rng(0)
-    length = rng.integers(300, 1000, 400)
-    start = [packing._seed(length, 2048, noise, rng) for noise in (0, 0.3, 0.3)]
+    length = rng.integers(500, 1024, 600)  # plain best fit by length is far from the bound here
+    plain = packing._seed(length, 2048, 0, rng)
+    start = [packing._seed(length, 2048, noise, rng) for noise in (0.1, 0.2, 0.3, 0.4)]
     child = packing.cross(length, start[1], start[2], 2048, rng)
     for bins in (*start, child):
         assert (packing._free(length, bins, 2048) >= 0).all()
         assert len(np.unique(bins)) == bins.max() + 1
-    best = packing.evolve(length, start, 2048, rng, children=40)[0]
-    assert packing._rank(length, best, 2048) <= packing._rank(length, start[0], 2048)
+    found, made, better = packing.evolve(length, start, 2048, rng, children=200)
+    assert made == 200 and better > 10  # children better than both of their parents
+    gain = plain.max() - found[0].max()
+    print("children", made, "better than both parents", better, "bins gained", gain, "of", plain.max() + 1)
+    assert gain >= 5
+
+
+def test_no_island_rests_before_its_first_children():
+    rng = np.random.default_rng(0)
+    length = np.full(50, 1024)  # any packing meets the bound
+    assert packing.evolve(length, [], 2048, rng, least=packing.LEAST_CHILDREN)[1] == packing.LEAST_CHILDREN
+    assert packing.evolve(np.array([5]), [], 2048, rng, least=2)[0][0].tolist() == [0]
+
+
+def test_islands_start_apart_and_run_in_several_tasks(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(3)
+    rows = [(b, [(b * 300 + i, int(n)) for i, n in enumerate(rng.integers(500, 1024, 300))]) for b in range(4)]
+    gathered = spark.createDataFrame(rows, "block long, own array<struct<uid: long, n: int>>")
+    one = packing.islands_of(gathered, 8, epochs=1)
+    assert one.groupBy(F.spark_partition_id()).count().count() > 1 or one.select(F.input_file_name()).distinct().count() > 2
+    by = {}
+    for r in one.collect():
+        assert r.made >= packing.LEAST_CHILDREN
+        by.setdefault(r.block, set()).add(bytes(r.population[0]))
+    assert all(len(own) == packing.ISLANDS for own in by.values())
+    for r in packing.islands_of(gathered, 8).collect():
+        length = np.array(r.lengths)
+        plain = packing._seed(length, 2048, 0, rng)
+        assert r.n_bins < plain.max() + 1 and r.better > 0
+
+
+def test_own_columns_replace_those_of_the_input(spark):
+    rows = spark.createDataFrame([(1, 5, "a", "b"), (2, 2048, "c", "d")], "doc_id long, length int, sequence_id string, offset string")
+    got = {r.doc_id: (r.length, r.offset) for r in packing.pack(rows).collect()}
+    assert got == {1: (5, 0), 2: (2048, 0)}
 
 
 def test_empty(spark):
