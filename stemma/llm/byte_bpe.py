@@ -1,15 +1,20 @@
 """Byte-level BPE encoding and decoding (operator 2): overlapping chunk encoding.
 
-A document of at most ``chunk_chars`` characters is one chunk and is encoded where it lies, without a
-shuffle. A longer one is cut into chunks that overlap. All chunks are pre-tokenised in parallel; a
-pre-token depends only on what follows its start, so once two neighbouring chunks share one boundary
-inside their overlap they agree from there on. The first shared boundary is where they are stitched. Where
-an overlap holds no shared boundary (one pre-token longer than the overlap) the two chunks are joined and
-encoded as one. The stitched pieces are encoded in parallel and their ids concatenated.
-
-Defined results: null or empty text gives an empty id list; each input row gives one row, so repeated rows and
-repeated ids are kept; a null id stays null; other input columns are not carried; an empty table gives an
-empty table.
+Every text is cut into chunks that overlap; a short one is a single chunk. Chunks are pre-tokenised apart. A pre-token
+depends only on what follows its start, so once two neighbouring chunks share one boundary inside their overlap they
+agree from there on: the first shared boundary is where they are stitched. The last two boundaries of a chunk are not
+used, since what the chunk cuts off may have changed them. Where an overlap holds no shared boundary (one pre-token longer
+than the overlap) the next chunks are joined to the piece, twice as many each time, and it is pre-tokenised again: the
+boundaries of a chunk that has not been stitched yet are never trusted. The pieces between the cuts are encoded
+apart and their ids concatenated.
+
+Texts of up to `spread_chars` characters are chunked, stitched and encoded where they lie, without a shuffle. The chunks of
+longer ones are dealt over the cluster, and so are their pieces; only cuts, a few numbers for each chunk, meet again
+in between. One of these with a chunk that cannot be stitched is encoded where it lies.
+
+Defined results: null or empty text gives an empty id list; a text of any length is read whole; each input row gives one
+row, so repeated rows and repeated ids are kept; a null id stays null; other input columns are not carried; an empty
+table gives an empty table. There are no ties.
 """
 
 from __future__ import annotations
@@ -22,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stemma.llm._common import enter, keeps, plain_text, ship
+from stemma.llm._common import enter, keeps, materialise, plain_text, ship
 
-CHUNK_CHARS, OVERLAP_CHARS = 65536, 2048
+CHUNK_CHARS, OVERLAP_CHARS, SPREAD_CHARS = 4096, 256, 1 << 20
 
 _encoders: dict[str, object] = {}
 keeps("byte_bpe", _encoders.clear)
@@ -53,23 +58,77 @@ def _id_lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)))
 
 
-def _encode_rows(ranks_path: str, pattern: str, text: str, ids: str):
-    """Replaces the text column, which comes last, by the token ids."""
+def chunk_starts(find, chunk: str, cut_off: bool) -> np.ndarray:
+    """Where pre-tokens of a chunk start; without the last two if the text goes on after it, which may change them."""
+    starts = np.fromiter((m.start() for m in find(chunk)), dtype=np.int64)
+    return starts[:-2] if cut_off else starts
+
+
+def stitch(find, text: str, chunk_chars: int, overlap: int) -> list[int]:
+    """Where a text is cut into pieces: boundaries of pre-tokens, the text's two ends among them."""
+
+    def starts(at: int, to: int) -> np.ndarray:
+        return at + chunk_starts(find, text[at:to], to < len(text))
+
+    cuts, n, at, joined = [0], -(-len(text) // chunk_chars), 1, 1
+    known = starts(0, chunk_chars + overlap)  # of the piece so far; what of it lies in the next overlap is true
+    while at < n:
+        begin = at * chunk_chars
+        own = starts(begin, begin + chunk_chars + overlap)
+        both = np.intersect1d(known[known >= begin], own[own < begin + overlap])
+        if len(both):
+            cuts.append(int(both[0]))
+            known, at, joined = own, at + 1, 1
+        else:
+            at, joined = min(n, at + joined), 2 * joined
+            known = starts(cuts[-1], at * chunk_chars + overlap)
+    return [*cuts, len(text)]
+
+
+def _encode_rows(ranks_path: str, pattern: str, text: str, ids: str, chunk_chars: int, overlap: int):
+    """Replaces the text column, which comes last, by the token ids. A longer text is stitched from chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
         enter("byte_bpe")
-        enc = encoder(ranks_path, pattern)
+        enc, find = encoder(ranks_path, pattern), regex.compile(pattern).finditer
+
+        def whole(t: str) -> np.ndarray:
+            if len(t) <= chunk_chars:
+                return np.asarray(enc.encode_to_numpy(t, disallowed_special=()))
+            cuts = stitch(find, t, chunk_chars, overlap)
+            return np.concatenate([enc.encode_to_numpy(t[a:b], disallowed_special=()) for a, b in zip(cuts, cuts[1:], strict=False)])
+
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                lists = _id_lists([np.asarray(enc.encode_to_numpy(t, disallowed_special=())) for t in part.column(text).to_pylist()])
+                lists = _id_lists(list(map(whole, part.column(text).to_pylist())))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in part.schema.names if c != text), lists], [*(c for c in part.schema.names if c != text), ids])
 
     return run
 
 
+def _slices(kept: list[str], ends):
+    """The text column t -> its slices, numbered, with the columns kept of each. ends gives a row's (start, end) pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                text = row.column("t")[0].as_py()
+                pairs = ends(row, len(text))
+                for at in range(0, len(pairs), 256):
+                    some = pairs[at : at + 256]
+                    same = pa.array(np.zeros(len(some), np.int64))
+                    no = pa.array(range(at, at + len(some)), pa.int32())
+                    yield pa.RecordBatch.from_arrays([*(row.column(c).take(same) for c in kept), no, pa.array([text[a:b] for a, b in some], pa.string())], [*kept, "no", "t"])
+
+    return run
+
+
 def _boundaries(pattern: str, chunk_chars: int, overlap: int):
-    """Adds the pre-token starts inside a chunk's first `overlap` characters, and inside the overlap with
+    """Replaces a chunk by the pre-token starts inside its first `overlap` characters, and inside the overlap with
     the next chunk, both counted from the start of the later chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,39 +136,43 @@ def _boundaries(pattern: str, chunk_chars: int, overlap: int):
 
         find = regex.compile(pattern).finditer
         for batch in batches:
-            head, tail = [], []
-            for t in batch.column("chunk").to_pylist():
-                starts = np.fromiter((m.start() for m in find(t)), dtype=np.int32)
-                head.append(starts[starts < overlap])
-                tail.append(starts[starts >= chunk_chars] - chunk_chars)
-            yield pa.RecordBatch.from_arrays([*batch.columns, _id_lists(head), _id_lists(tail)], [*batch.schema.names, "head", "tail"])
+            starts = [chunk_starts(find, t, len(t) == chunk_chars + overlap) for t in batch.column("t").to_pylist()]
+            head = _id_lists([s[s < overlap] for s in starts])
+            tail = _id_lists([s[s >= chunk_chars] - chunk_chars for s in starts])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("no"), head, tail], ["row", "no", "head", "tail"])
 
     return run
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
-    """Token ids of every whole text: (id_col, ids array<int>)."""
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS, spread_chars: int = SPREAD_CHARS) -> DataFrame:
+    """Token ids of every whole text: (id_col, ids array<int>). The overlap must not exceed a chunk."""
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
+    here = _encode_rows(ranks_path, pattern, "t", "ids", chunk_chars, overlap_chars)
     rows = docs.select(F.col(id_col).alias("k"), plain_text(text_col).alias("t"))
-    fits = F.length("t") <= chunk_chars
-    short = rows.where(fits).mapInArrow(_encode_rows(ranks_path, pattern, "t", "ids"), f"k {kind}, ids array<int>")
-    chunk = f"transform(sequence(0, cast((length(t) - 1) div {chunk_chars} as int)), i -> substring(t, i * {chunk_chars} + 1, {chunk_chars + overlap_chars}))"
-    chunks = rows.where(~fits).withColumn("row", F.monotonically_increasing_id()).select("row", "k", F.posexplode(F.expr(chunk)).alias("no", "chunk"))
-    marked = chunks.repartition("row", "no").mapInArrow(_boundaries(pattern, chunk_chars, overlap_chars), f"row long, k {kind}, no int, chunk string, head array<int>, tail array<int>")
-    order = Window.partitionBy("row").orderBy("no")
-    cut = marked.withColumn("cut", F.array_min(F.array_intersect("tail", F.lead("head").over(order)))).withColumn("last", F.lead("no").over(order).isNull())
-    begun = cut.withColumn("from", F.lag("cut").over(order))
-    # A chunk whose predecessor found no shared boundary goes on with that one's piece.
-    piece = F.sum(F.when(F.col("from").isNotNull(), 1).otherwise(0)).over(order)
-    end = F.when(F.col("last"), F.length("chunk")).otherwise(chunk_chars + F.coalesce("cut", F.lit(0)))
-    start = F.coalesce("from", F.lit(0))
-    segments = begun.select("row", "k", "no", piece.alias("piece"), F.substring("chunk", start + 1, end - start).alias("s"))
-    pieces = segments.groupBy("row", "k", "piece").agg(F.array_sort(F.collect_list(F.struct("no", "s"))).alias("parts"))
-    pieces = pieces.select("row", "k", "piece", F.array_join("parts.s", "").alias("t")).repartition("row", "piece")
-    encoded = pieces.mapInArrow(_encode_rows(ranks_path, pattern, "t", "ids"), f"row long, k {kind}, piece long, ids array<int>")
-    long = encoded.groupBy("row", "k").agg(F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("parts")).select("k", F.flatten("parts.ids").alias("ids"))
-    return short.unionByName(long).select(F.col("k").alias(id_col), "ids")
+    fits = F.length("t") <= max(spread_chars, chunk_chars)
+    short = rows.where(fits).mapInArrow(here, f"k {kind}, ids array<int>")
+    # Written down, as the numbers of its rows must stay.
+    long = materialise(rows.where(~fits).withColumn("row", F.monotonically_increasing_id()), "long")
+
+    def chunk_ends(_, n: int) -> list[tuple[int, int]]:
+        return [(at, min(n, at + chunk_chars + overlap_chars)) for at in range(0, n, chunk_chars)]
+
+    def piece_ends(row: pa.RecordBatch, n: int) -> list[tuple[int, int]]:
+        cuts = [0, *row.column("cuts")[0].as_py(), n]
+        return list(zip(cuts, cuts[1:], strict=False))
+
+    chunks = long.select("row", "t").mapInArrow(_slices(["row"], chunk_ends), "row long, no int, t string").repartition("row", "no")
+    marked = chunks.mapInArrow(_boundaries(pattern, chunk_chars, overlap_chars), "row long, no int, head array<int>, tail array<int>")
+    # The cuts of a text, by chunk: null where one cannot be stitched to the next.
+    met = marked.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("no", "head", "tail"))).alias("c"))
+    first = f"transform(sequence(1, size(c) - 1), i -> c[i].no * {chunk_chars} + array_min(array_intersect(c[i - 1].tail, c[i].head)))"
+    cut = long.join(met.select("row", F.expr(first).alias("cuts")), "row").withColumn("whole", F.forall("cuts", lambda x: x.isNotNull()))
+    alone = cut.where("not whole").select("k", "t").mapInArrow(here, f"k {kind}, ids array<int>")
+    pieces = cut.where("whole").select("row", "k", "cuts", "t").mapInArrow(_slices(["row", "k"], piece_ends), f"row long, k {kind}, no int, t string").repartition("row", "no")
+    encoded = pieces.mapInArrow(here, f"row long, k {kind}, no int, ids array<int>")
+    spread = encoded.groupBy("row", "k").agg(F.array_sort(F.collect_list(F.struct("no", "ids"))).alias("parts")).select("k", F.flatten("parts.ids").alias("ids"))
+    return short.unionByName(alone).unionByName(spread).select(F.col("k").alias(id_col), "ids")
 
 
 def decode(tokens: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "decoded", keep_ids: bool = True) -> DataFrame:

@@ -24,11 +24,15 @@ def _docs(spark, texts):
     return spark.createDataFrame([(i, t, "k", "t") for i, t in enumerate(texts)] + [(None, "no id", None, None)], "doc_id long, text string, k string, ids string")
 
 
-@pytest.mark.parametrize("chunk,overlap", [(65536, 2048), (64, 16), (32, 4)])
-def test_bpe_equals_library_and_round_trips(spark, chunk, overlap):
-    texts = _texts()
-    plain = tiktoken.Encoding("t", pat_str=vocab.PATTERN, mergeable_ranks=byte_bpe.load_ranks(RANKS), special_tokens={})
-    out = byte_bpe.decode(byte_bpe.encode(_docs(spark, texts), RANKS, vocab.PATTERN, chunk_chars=chunk, overlap_chars=overlap), RANKS).collect()
+THREES = r"\p{N}{1,3}| ?\p{L}+|\s*[\r\n]+|\s+(?!\S)|\s+|[^\s\p{L}\p{N}]+"
+
+
+@pytest.mark.parametrize("pattern", [vocab.PATTERN, THREES])
+@pytest.mark.parametrize("chunk,overlap,spread", [(4096, 256, 1 << 20), (64, 16, 1 << 20), (60, 12, 60), (32, 4, 100), (64, 64, 64)])
+def test_bpe_equals_library_and_round_trips(spark, pattern, chunk, overlap, spread):
+    texts = [*_texts(), "a" + "1234567" * 60, "ab " * 50 + "7" * 500 + " x" * 90, ("  \n" * 9 + "we're ") * 20]
+    plain = tiktoken.Encoding("t", pat_str=pattern, mergeable_ranks=byte_bpe.load_ranks(RANKS), special_tokens={})
+    out = byte_bpe.decode(byte_bpe.encode(_docs(spark, texts), RANKS, pattern, chunk_chars=chunk, overlap_chars=overlap, spread_chars=spread), RANKS).collect()
     assert len(out) == len(texts) + 1
     for r in out:
         text = "no id" if r.doc_id is None else texts[r.doc_id] or ""
@@ -36,6 +40,30 @@ def test_bpe_equals_library_and_round_trips(spark, chunk, overlap):
         assert bytes(r.decoded) == text.encode()
 
 
+@pytest.mark.parametrize("pattern", [vocab.PATTERN, THREES])
+def test_cuts_are_boundaries_whatever_the_text(pattern):
+    import regex
+
+    rng, find = random.Random(11), regex.compile(pattern).finditer
+    for _ in range(400):
+        text = "".join(rng.choice(["a", "we're", " ", "  ", "\n", "7", "1234567", "!!", "é", "漢字", "'s", "\t", "'"]) * rng.choice([1, 1, 1, 9]) for _ in range(rng.randrange(60)))
+        chunk = rng.randrange(4, 40)
+        cuts = byte_bpe.stitch(find, text, chunk, rng.randrange(3, chunk + 1))
+        assert cuts == sorted(cuts) and set(cuts) <= {m.start() for m in find(text)} | {0, len(text)}
+
+
+def test_share_of_texts_that_are_stitched():
+    import duckdb
+    import regex
+
+    find = regex.compile(vocab.PATTERN).finditer
+    texts = [t for (t,) in duckdb.sql("select text from '/root/testdata/sf0.1/documents.parquet'").fetchall()]
+    cut = [byte_bpe.stitch(find, t, byte_bpe.CHUNK_CHARS, byte_bpe.OVERLAP_CHARS) for t in texts if len(t) > byte_bpe.CHUNK_CHARS]
+    joints = sum(len(c) - 2 for c in cut)
+    print("texts stitched", len(cut), "of", len(texts), "with", joints, "joints")
+    assert len(cut) > 0.1 * len(texts) and joints > len(cut)
+
+
 def _brute_rules(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
