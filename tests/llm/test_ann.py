@@ -19,7 +19,7 @@ def test_recall_against_brute_force(spark):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()]
     want = _brute(rows, 20, 20)
     got = {}
-    for r in sorted(ann.nearest(spark.read.parquet(f"{folder}/embeddings.parquet"), shard_rows=1000).collect(), key=lambda r: r["rank"]):
+    for r in sorted(ann.nearest(spark.read.parquet(f"{folder}/embeddings.parquet")).collect(), key=lambda r: r["rank"]):
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
         assert r["rank"] == len(got[r.query_id])
     assert set(got) == set(want)
@@ -33,6 +33,55 @@ def test_recall_against_brute_force(spark):
     assert recall >= 0.95
 
 
+def _tables():
+    rng = np.random.default_rng(0)
+    centres = rng.normal(size=(40, 64))
+    noise = rng.normal(size=(4000, 256))
+    return {
+        "clusters": centres[rng.integers(0, 40, 4000)] + 0.15 * rng.normal(size=(4000, 64)),
+        "skewed lengths": rng.normal(size=(4000, 64)) * rng.lognormal(0, 1, 4000)[:, None],
+        "256 components": noise / np.linalg.norm(noise, axis=1)[:, None],
+        "large numbers": rng.normal(size=(2000, 16)) * 1e60,
+    }
+
+
+@pytest.mark.parametrize("name", list(_tables()))
+def test_recall_of_a_shard(name):
+    v = _tables()[name]
+    order, layers = ann.build(ann.augmented(v)[0], 1)
+    level, scale = ann.augmented(v)
+    for layer in layers:  # every node can be reached on its level
+        reached, edge = {0}, [0]
+        while edge:
+            edge = list(set(layer.links[edge].ravel().tolist()) - reached)
+            reached |= set(edge)
+        assert len(reached) > 0.99 * len(layer.nodes)
+    asked = np.arange(0, len(v), 20)
+    q = np.hstack([v[asked] / scale, np.zeros((len(asked), 1))]).astype(np.float32)
+    found = order[ann.search(layers, q)]
+    hits = 0
+    for i, own in zip(asked, found, strict=True):
+        score = v @ v[i]
+        score[i] = -np.inf
+        best = sorted((x for x in own if x != i), key=lambda x: -score[x])[:20]
+        hits += len(set(best) & set(np.argsort(-score)[:20].tolist()))
+    print(name, "recall", hits / 20 / len(asked))
+    assert hits / 20 / len(asked) >= 0.95
+
+
+def test_lengths_are_searched_apart_and_doubles_stay_exact(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, (rng.normal(size=8 if i % 3 else 5) * 1e200 ** (i % 2)).tolist()) for i in range(90)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in sorted(ann.nearest(df, every=10).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    for q in range(0, 90, 10):
+        own = [(j, float(np.sum(np.array(v) * np.array(rows[q][1])))) for j, v in rows if j != q and len(v) == len(rows[q][1])]
+        assert {i for i, _ in got[q]} == {i for i, _ in sorted(own, key=lambda x: -x[1])[:20]}
+        assert all(abs(s - dict(own)[i]) <= 1e-12 * abs(s) for i, s in got[q])
+
+
 @pytest.mark.parametrize("shard_rows", [8192, 50])
 def test_ties_copies_and_rows_that_take_no_part(spark, shard_rows):
     rng = np.random.default_rng(1)
