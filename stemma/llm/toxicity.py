@@ -1,14 +1,17 @@
 """Toxicity (operator 8): a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Texts are lower-cased, what is neither letter nor digit becomes a blank, and byte n-grams of 4, 6 and 8 are hashed into
-a fixed number of buckets. How many
-toxic and other texts hold each bucket is counted over all labelled training rows; the smoothed log ratio of the
-two shares scales the bucket's feature, and the buckets that tell most are kept. Logistic regression on the scaled
-presence of these is fitted on a bounded sample of the training rows (about `sample_rows` of each class, by hash). Scoring reads a table of one weight for each bucket.
-
-Defined results: null and empty texts have no n-gram and get the score of the intercept; each input row gives one row; a
-null id stays null; other input columns are not carried; an empty table gives an empty table; without
-training rows of both classes every score is the training share of toxic rows (0.5 if there are none).
+Texts are lower-cased, ASCII that is neither letter nor digit becomes a blank, and the n-grams of 3, 5 and 7 characters are
+hashed into 2**BITS buckets. How many toxic and other texts hold each bucket is counted over all labelled training rows. A
+bucket's feature is its presence, scaled by the log ratio of its two smoothed shares; the smoothing is by one text, split as
+the classes are, so a bucket seen once says little. Buckets count whose shares differ by more than TELLING standard
+errors, and LEAST_FEATURES that differ most if there are fewer; how many that are grows with the training rows. Logistic
+regression on the scaled presence of these is fitted on a bounded sample of the training rows (about `sample_rows` of each
+class, by hash of id and text). Scoring reads a table of one weight for each bucket.
+
+Defined results: null and empty texts have no n-gram and get the score of the intercept; a text of any length is read
+whole, SLICE_CHARS at a time; a bucket counts once for a text; of buckets that differ alike the lower counts first; each
+input row gives one row; a null id stays null; other input columns are not carried; an empty table gives an empty table;
+without training rows of both classes every score is the training share of toxic rows (0.5 if there are none).
 """
 
 from __future__ import annotations
@@ -18,20 +21,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemma.llm._common import materialise, plain_text, ship
+from stemma.llm._common import enter, materialise, plain_text, release, ship
 
-SIZES, BITS = (4, 6, 8), 19
-KEPT_FEATURES, SAMPLE_ROWS = 16384, 4000
-#: Labels up to this many are sent to every executor; more are joined by shuffle.
-BROADCAST_ROWS = 2_000_000
-#: Bytes of text hashed at once; a longer text is taken alone.
-SLICE_BYTES = 1 << 21
+SIZES, BITS = (3, 5, 7), 19
+TELLING, LEAST_FEATURES, SAMPLE_ROWS = 3.0, 1000, 4000
+#: Labels of up to this many bytes, ids and all, are sent to every executor; more are joined by shuffle.
+BROADCAST_BYTES = 64 << 20
+#: Characters hashed at once.
+SLICE_CHARS = 1 << 20
 #: ASCII other than letters and digits becomes a blank.
-_fold = np.array([b if b > 127 or chr(b).isalnum() else 32 for b in range(256)], dtype=np.uint8)
+_fold = np.array([b if chr(b).isalnum() else 32 for b in range(128)], dtype=np.uint32)
 
 
 @dataclass
@@ -40,90 +42,88 @@ class Model:
     intercept: float
 
 
-def _slices(text: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, offsets) of lower-cased texts, some at a time."""
-    size = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64)) if len(text) else np.zeros(0)
-    at = 0
-    while at < len(text):
-        done = size[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(size, done + SLICE_BYTES, "right")))
-        low = pc.utf8_lower(text.slice(at, to - at)).cast(pa.large_binary())
-        low = pa.concat_arrays([low])
-        offsets = np.frombuffer(low.buffers()[1], np.int64)[low.offset : low.offset + len(low) + 1]
-        data = np.frombuffer(low.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-        yield at, _fold[data], offsets - offsets[0]
-        at = to
+def _codes(text: str) -> np.ndarray:
+    data = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.where(data < 128, _fold[np.minimum(data, 127)], data)
 
 
-def _hashes(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(n, bucket of the n bytes from each position on)."""
+def _hashes(data: np.ndarray) -> Iterator[np.ndarray]:
+    """For each size, the bucket of the characters from each position on."""
     h, done = np.zeros(len(data), dtype=np.uint32), 0
     for n in SIZES:
         if len(data) < n:
             return
-        h = h[: len(data) - n + 1].copy() if done else h[: len(data) - n + 1]
+        h = h[: len(data) - n + 1].copy()
         for i in range(done, n):
             h *= np.uint32(0x01000193)
             h ^= data[i : i + len(h)]
         done = n
-        yield n, (h * np.uint32(0x9E3779B1) ^ np.uint32(n * 0x01000193)) >> np.uint32(32 - BITS)
+        yield (h * np.uint32(0x9E3779B1) ^ np.uint32(n * 0x01000193)) >> np.uint32(32 - BITS)
 
 
-def grams(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket) of every n-gram in a wanted bucket, each once for a row."""
-    pairs = [np.zeros(0, np.int64)]
-    for n, h in _hashes(data):
-        at = np.flatnonzero(wanted[h])
-        row = np.searchsorted(offsets, at, "right") - 1
-        inside = at + n <= offsets[row + 1]
-        pairs.append(row[inside] << BITS | h[at[inside]].astype(np.int64))
-    pair = np.unique(np.concatenate(pairs))
-    return pair >> BITS, pair & (1 << BITS) - 1
+class Reader:
+    """Texts -> their distinct buckets. Keeps a scratch number for each bucket."""
 
+    def __init__(self) -> None:
+        self.last = np.zeros(1 << BITS, dtype=np.int32)
 
-def row_buckets(data: np.ndarray, offsets: np.ndarray, last: np.ndarray) -> Iterator[np.ndarray]:
-    """The distinct buckets of each row. last is scratch, one number for each bucket."""
-    hashes = list(_hashes(data))
-    for start, end in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-        own = np.concatenate([np.zeros(0, np.uint32), *(h[start : max(start, end - n + 1)] for n, h in hashes)])
-        at = np.arange(len(own), dtype=np.int32)
-        last[own] = at  # the last of equal buckets stays
-        yield own[last[own] == at]
+    def _once(self, found: np.ndarray) -> np.ndarray:
+        at = np.arange(len(found), dtype=np.int32)
+        self.last[found] = at  # the last of equal buckets stays
+        return found[self.last[found] == at]
+
+    def buckets(self, text: str) -> np.ndarray:
+        own, text = np.zeros(0, np.uint32), text.lower()
+        for at in range(0, max(len(text), 1), SLICE_CHARS):
+            part = _codes(text[at : at + SLICE_CHARS + SIZES[-1] - 1])
+            own = self._once(np.concatenate([own, *_hashes(part)]))
+        return own
 
 
 def bucket_counts(labelled: DataFrame) -> DataFrame:
     """labelled (t string, y int) -> (bucket, texts with y = 0, with y = 1), over all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, 1 << BITS), dtype=np.int64)
-        last = np.zeros(1 << BITS, dtype=np.int32)
+        enter("toxicity")
+        counts, read = np.zeros((2, 1 << BITS), dtype=np.int64), Reader()
         for batch in batches:
-            y = batch.column("y").to_pylist()
-            for first, data, offsets in _slices(batch.column("t")):
-                for i, bucket in enumerate(row_buckets(data, offsets, last), first):
-                    counts[y[i]][bucket] += 1
+            for t, y in zip(batch.column("t").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                counts[y][read.buckets(t)] += 1
         some = np.flatnonzero(counts.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[0, some]), pa.array(counts[1, some])], ["bucket", "c0", "c1"])
 
     return labelled.select("t", "y").mapInArrow(run, "bucket long, c0 long, c1 long").groupBy("bucket").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
 
 
+def ratios(c0: np.ndarray, c1: np.ndarray, n0: int, n1: int) -> tuple[np.ndarray, np.ndarray]:
+    """(log ratio of the smoothed shares, how many standard errors the shares lie apart) of each bucket."""
+    q = n1 / (n0 + n1)
+    ratio = np.log((c1 + q) / (n1 + q)) - np.log((c0 + 1 - q) / (n0 + 1 - q))
+    p = (c0 + c1) / (n0 + n1)
+    return ratio, np.abs(c1 / n1 - c0 / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n0 + 1 / n1))
+
+
+def telling(apart: np.ndarray, least: int = LEAST_FEATURES) -> np.ndarray:
+    """Places of the buckets that count, in order."""
+    first = np.argsort(-apart, kind="stable")
+    return np.sort(first[: max(least, int((apart > TELLING).sum()))])
+
+
 def presence(sample: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """sample (t, y) -> (y, buckets array<int>) with the wanted buckets of each text."""
+    """sample (t, y) -> (y, buckets array<int>) with the wanted buckets of each text, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("toxicity")
+        read = Reader()
         for batch in batches:
-            for first, data, offsets in _slices(batch.column("t")):
-                row, bucket = grams(data, offsets, wanted)
-                n = len(offsets) - 1
-                cuts = np.searchsorted(row, np.arange(n + 1)).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(bucket.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column("y").slice(first, n), lists], ["y", "buckets"])
+            found = [read.buckets(t) for t in batch.column("t").to_pylist()]
+            lists = pa.array([np.sort(b[wanted[b]]).astype(np.int32) for b in found], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("y"), lists], ["y", "buckets"])
 
     return sample.select("t", F.col("y").cast("int").alias("y")).mapInArrow(run, "y int, buckets array<int>")
 
 
-def fit_linear(size: np.ndarray, col: np.ndarray, y: np.ndarray, scale: np.ndarray, rounds: int = 150, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit_linear(size: np.ndarray, col: np.ndarray, y: np.ndarray, scale: np.ndarray, rounds: int = 300, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
     """Logistic regression by accelerated gradient steps. Row i has the next size[i] features of col. Both classes
     weigh alike in the fit."""
     rows = len(size)
@@ -143,60 +143,60 @@ def fit_linear(size: np.ndarray, col: np.ndarray, y: np.ndarray, scale: np.ndarr
     return w, b
 
 
-def numbered(labelled: DataFrame) -> DataFrame:
-    """labelled, written down with a number for each row."""
-    return materialise(labelled.withColumn("row", F.monotonically_increasing_id()), "labelled")
-
-
 def sampled(rows: DataFrame, most: int, total: dict[int, int]) -> DataFrame:
-    """About `most` rows of each label at most, by hash. Every row has the same chance, also of one id that many rows
-    share, and nothing is sorted or gathered for it."""
+    """rows (k, t, y): about `most` of each label at most, by hash of id and text, so the same whatever the partitions are. Rows
+    alike in all three are one, so a row that comes very often cannot fill the sample."""
     chance = F.when(F.col("y") == 1, min(1.0, most / max(total.get(1, 0), 1))).otherwise(min(1.0, most / max(total.get(0, 0), 1)))
-    return rows.where(F.pmod(F.xxhash64("k", "row"), F.lit(1 << 30)) < chance * (1 << 30))
+    some = rows.select("k", "t", "y", F.xxhash64("k", "t").alias("h")).where(F.pmod("h", F.lit(1 << 30)) < chance * (1 << 30))
+    return some.dropDuplicates(["h", "y"]).drop("h")
 
 
-def train(labelled: DataFrame, kept_features: int = KEPT_FEATURES, sample_rows: int = SAMPLE_ROWS) -> Model:
+def train(labelled: DataFrame, least_features: int = LEAST_FEATURES, sample_rows: int = SAMPLE_ROWS) -> Model:
     """labelled (k, t string, y int in 0, 1)."""
-    labelled = numbered(labelled)
+    ship(labelled.sparkSession)
+    labelled = materialise(labelled.select("k", "t", "y"), "labelled")
     total = {r.y: r.n for r in labelled.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n0, n1 = total.get(0, 0), total.get(1, 0)
     none = np.zeros(1 << BITS, dtype=np.float32)
     if not n0 or not n1:
         p = min(max(n1 / (n0 + n1), 1e-6), 1 - 1e-6) if n0 + n1 else 0.5
         return Model(none, float(np.log(p / (1 - p))))
-    counts = bucket_counts(labelled).toArrow()  # at most 2**BITS rows
+    counts = bucket_counts(labelled).toArrow().sort_by("bucket")  # at most 2**BITS rows
     bucket, c0, c1 = (counts.column(c).to_numpy() for c in ("bucket", "c0", "c1"))
-    ratio = np.log((c1 + 1) / (n1 + 2)) - np.log((c0 + 1) / (n0 + 2))
-    told = np.abs(c1 / n1 - c0 / n0) * np.abs(ratio)  # how much a bucket's presence tells
-    best = np.argsort(-told, kind="stable")[:kept_features]
-    scale = np.zeros(1 << BITS)
-    scale[bucket[best]] = ratio[best]
-    wanted = np.flatnonzero(scale)
-    sample = presence(sampled(labelled, sample_rows, total), scale != 0).toArrow()
-    y = sample.column("y").to_numpy()
+    ratio, apart = ratios(c0, c1, n0, n1)
+    kept = telling(apart, least_features)
+    wanted = np.zeros(1 << BITS, dtype=bool)
+    wanted[bucket[kept]] = True
+    sample = presence(sampled(labelled, sample_rows, total), wanted).toArrow()
+    release(labelled)
     lists = sample.column("buckets").combine_chunks()
-    size, col = np.diff(lists.offsets.to_numpy()), np.searchsorted(wanted, lists.flatten().to_numpy()).astype(np.int32)
-    own, b = fit_linear(size, col, y, scale[wanted])
+    size = np.diff(lists.offsets.to_numpy())
+    col = np.searchsorted(bucket[kept], lists.flatten().to_numpy()).astype(np.int32)
+    own, b = fit_linear(size, col, sample.column("y").to_numpy(), ratio[kept])
     weight = none.copy()
-    weight[wanted] = own * scale[wanted]
+    weight[bucket[kept]] = own * ratio[kept]
     return Model(weight, float(b))
 
 
+def score_texts(texts: list[str], model: Model) -> np.ndarray:
+    read, wanted = Reader(), model.weight != 0
+    z = np.zeros(len(texts))
+    for i, text in enumerate(texts):
+        own = read.buckets(text)
+        own = own[wanted[own]]
+        z[i] = model.weight[own].sum(dtype=np.float64) / np.sqrt(max(len(own), 1)) + model.intercept
+    return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, score double)."""
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = model.weight != 0
+        enter("toxicity")
         for batch in batches:
-            for first, data, offsets in _slices(batch.column("t")):
-                n = len(offsets) - 1
-                row, bucket = grams(data, offsets, wanted)
-                z = np.bincount(row, weights=model.weight[bucket], minlength=n)
-                z = z / np.sqrt(np.maximum(np.bincount(row, minlength=n), 1)) + model.intercept
-                out = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
-                yield pa.RecordBatch.from_arrays([batch.column("k").slice(first, n), pa.array(out)], ["k", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(score_texts(batch.column("t").to_pylist(), model))], ["k", "score"])
 
     rows = docs.select(F.col(id_col).alias("k"), plain_text(text_col).alias("t"))
     return rows.mapInArrow(run, f"k {kind}, score double").withColumnRenamed("k", id_col)
@@ -210,6 +210,7 @@ def held_out(id_col: str, folds: int, fold: int):
 def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(k, t, y) of the documents that have a label and are not held out."""
     own = labels.select(F.col(id_col).alias("k"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held_out("k", folds, fold))
-    if own.count() <= BROADCAST_ROWS:
+    size = own.agg(F.sum(F.length(F.coalesce(F.col("k").cast("string"), F.lit(""))) + 24)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
         own = F.broadcast(own)  # the texts stay where they are
     return docs.select(F.col(id_col).alias("k"), plain_text(text_col).alias("t")).join(own, "k")
