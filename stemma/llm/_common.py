@@ -41,10 +41,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it again: the lineage ends there, and
-    a lost executor costs no recomputation of what came before."""
+    a lost executor costs no recomputation of what came before. What nobody releases goes when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     out = spark.read.schema(df.schema).parquet(path)
     out._stemma_path = path
     return out

@@ -4,7 +4,8 @@
 rule. A policy is a named, versioned set of rules; applying one, or asking what each of its rules alone
 removes, reads only the bits.
 
-Defined results: a null text has no words; each input row gives one row; a null id stays null; other input columns
+Defined results: a null text has no words; a text of any length is read whole; a line counts once and its repeats as duplicates,
+whichever comes first; each input row gives one row; a null id stays null; other input columns
 are not carried; an empty table gives an empty table.
 """
 
@@ -137,3 +138,12 @@ m AS (SELECT w.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, la
     coalesce(c.n, 0) AS n_repeat_words, coalesce(l.n, 0) AS n_lines, len(list_filter(w, lambda x: length(x) >= 2 AND upper(x) = x AND lower(x) <> x)) AS n_shout_words, length(t) - length(replace(t, '!', '')) AS n_exclaims
     FROM w LEFT JOIN covered c ON w.doc_id = c.doc_id LEFT JOIN lines l ON w.doc_id = l.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {failed(base)} AS base_failed, NOT ({failed(policy)}) AS kept FROM m"""
+
+
+def ablation_sql(policy: Policy = STRICT) -> str:
+    """ablation() of every document in DuckDB's SQL."""
+    all_but = lambda r: " OR ".join(f"({RULES[x]})" for x in policy.rules if x != r)
+    measures = ledger_sql().rsplit("\nSELECT", 1)[0]
+    return measures + " UNION ALL ".join(
+        f"\nSELECT '{r}' AS rule, count(*) FILTER ({RULES[r]}) AS n_failed, count(*) FILTER (({RULES[r]}) AND NOT ({all_but(r)})) AS n_only, count(*) FILTER ({all_but(r)}) AS n_rejected_without FROM m" for r in policy.rules
+    )

@@ -53,6 +53,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept")
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.ablation(quality_rules.ledger(read(spark, sf_dir, "documents")), quality_rules.STRICT)
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = quality_classifier.train(docs, toxicity.labelled_rows(docs, read(spark, sf_dir, "labels"), "quality", 4, 2))
@@ -85,8 +89,8 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_licenses, op2_byte_bpe, op3_packing, op4_simhash, op5_nearest, op6_quality_rules, op7_quality_classifier, op8_toxicity, op9_pii, op10_url_filters)}
+    return {f.__name__: f for f in (op1_licenses, op2_byte_bpe, op3_packing, op4_simhash, op5_nearest, op6_quality_rules, quality_ablation, op7_quality_classifier, op8_toxicity, op9_pii, op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": quality_rules.ledger_sql(), "op10_url_filters": url_filters.judge_sql(URL_RULES)}
+    return {"op6_quality_rules": quality_rules.ledger_sql(), "quality_ablation": quality_rules.ablation_sql(), "op10_url_filters": url_filters.judge_sql(URL_RULES)}

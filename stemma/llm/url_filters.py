@@ -9,7 +9,8 @@ is blocked when distrust is most of what reached it, however little that is: the
 depend on the size of the table. A page that no rule fits gets its host's verdict.
 
 Defined results: a null url, or one without "://", has an empty host and path, no rule, and its verdict is that of the
-empty host, which takes no part in the graph: allow. Each input row gives one row; other input columns are not
+empty host, which takes no part in the graph: allow. A url, a page and a host of any length are read whole; of rules of
+equal length that fit, the one of the greater name wins. Each input row gives one row; other input columns are not
 carried; null html has no links; an empty table gives an empty table.
 """
 
@@ -24,15 +25,15 @@ from pyspark.sql import functions as F
 from stemma.llm._common import materialise, release
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LINK = r"""(?i)href\s{0,9}=\s{0,9}["']?(?:[a-z][a-z0-9+.-]{0,20}:)?//([^/?#"'\s<>]{1,255})"""
+LINK = r"""(?i)href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
 #: Rows of a table by host that may be sent to every executor; a larger one is joined by shuffle, where Spark splits the
 #: partition of a hot host.
 BROADCAST_HOSTS = 200_000
 DAMPING, BLOCK_SHARE = 0.85, 0.75
 #: The last round adds at most this share of the seeds' mass.
 TOLERANCE = 1e-9
-#: Of judge_sql() only, which cannot go on to a tolerance and cuts at pages.
-ROUNDS, LEAST_DISTRUST = 8, 0.5
+#: Rounds that are enough: each adds at most DAMPING of what the one before it added.
+ROUNDS = math.ceil(math.log(TOLERANCE, DAMPING))
 
 
 @dataclass(frozen=True)
@@ -128,26 +129,23 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
 
 
 def judge_sql(rules: list[Rule]) -> str:
-    """The same in DuckDB's SQL over the table pages, but for ROUNDS rounds, unrolled, and with LEAST_DISTRUST pages as the
-    least distrust: equal where no host is further from a seed and none that only distrust reaches has less."""
+    """The same in DuckDB's SQL over the table pages. What each round adds is summed, over all ROUNDS of them."""
     values = ", ".join(f"('{r.host}', {len(r.name)}, '{r.name}', '{r.action}', '{r.path}')" for r in rules)
     pattern = LINK.replace("'", "''")
-    ranks = ["r0 AS (SELECT * FROM start)"]
-    for i in range(ROUNDS):
-        ranks.append(f"""r{i + 1} AS (SELECT kind, host, sum(v) AS v FROM (SELECT kind, host, v FROM start UNION ALL
-            SELECT e.kind, e.taker, r.v * e.w * {DAMPING} FROM r{i} r JOIN edges e ON r.kind = e.kind AND r.host = e.giver) GROUP BY kind, host)""")
     return f"""
-WITH cut AS (SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+WITH RECURSIVE cut AS (SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 split AS (SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
 rules(rule_host, size, name, action, path) AS (VALUES {values}),
 ruled AS (SELECT s.page_id, s.host, s.path, (SELECT max(struct_pack(size := r.size, name := r.name, action := r.action)) FROM rules r
     WHERE (s.host = r.rule_host OR ends_with(s.host, '.' || r.rule_host)) AND starts_with(s.path, r.path)) AS best FROM split s),
-start AS (SELECT host, unnest(['t', 'd']) AS kind, unnest([count(*) FILTER (best.action = 'allow'), count(*) FILTER (best.action = 'block')])::DOUBLE AS v FROM ruled WHERE host <> '' GROUP BY host),
+pages_of AS (SELECT host, unnest(['t', 'd']) AS kind, unnest([count(*) FILTER (best.action = 'allow'), count(*) FILTER (best.action = 'block')])::DOUBLE AS v FROM ruled WHERE host <> '' GROUP BY host),
+start AS (SELECT host, kind, v / (SELECT sum(v) FROM pages_of) AS v FROM pages_of WHERE v > 0),
 found AS (SELECT host AS source, translate(unnest(list_distinct(regexp_extract_all(html, '{pattern}', 1))), '{_UPPER}', '{_LOWER}') AS target FROM split WHERE host <> ''),
 links AS (SELECT source, target, count(*) AS n FROM found WHERE source <> target GROUP BY ALL),
 edges AS (SELECT 't' AS kind, source AS giver, target AS taker, n / sum(n) OVER (PARTITION BY source) AS w FROM links
     UNION ALL SELECT 'd', target, source, n / sum(n) OVER (PARTITION BY target) FROM links),
-{", ".join(ranks)},
-scores AS (SELECT host, round(sum(CASE WHEN kind = 't' THEN v ELSE 0 END), 6) AS trust, round(sum(CASE WHEN kind = 'd' THEN v ELSE 0 END), 6) AS distrust FROM r{ROUNDS} GROUP BY host)
-SELECT p.page_id, p.host, p.path, p.best.name AS rule, coalesce(p.best.action, CASE WHEN distrust >= {LEAST_DISTRUST} AND distrust > {BLOCK_SHARE} * (trust + distrust) THEN 'block' ELSE 'allow' END) AS verdict
+moved AS (SELECT kind, host, v, 0 AS i FROM start
+    UNION ALL SELECT e.kind, e.taker, sum(m.v * e.w * {DAMPING}), m.i + 1 FROM moved m JOIN edges e ON m.kind = e.kind AND m.host = e.giver WHERE m.i < {ROUNDS} GROUP BY e.kind, e.taker, m.i),
+scores AS (SELECT host, sum(CASE WHEN kind = 't' THEN v ELSE 0 END) AS trust, sum(CASE WHEN kind = 'd' THEN v ELSE 0 END) AS distrust FROM moved GROUP BY host)
+SELECT p.page_id, p.host, p.path, p.best.name AS rule, coalesce(p.best.action, CASE WHEN round(distrust / nullif(trust + distrust, 0), 6) > {BLOCK_SHARE} THEN 'block' ELSE 'allow' END) AS verdict
 FROM ruled p LEFT JOIN scores USING (host)"""

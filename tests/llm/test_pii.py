@@ -108,3 +108,15 @@ def test_loose_candidates_need_no_digit_and_no_lower_case(spark):
     rows = pii.candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("k").collect()
     got = [[(pii.KINDS[s.kind], r.t[s.start : s.end]) for s in r.spans] for r in rows]
     assert got == [[("secret", "abcdefghijklmnop")], [("secret", "HUNTERHUNTER")], [("obfuscated_email", "JOHN[AT]EXAMPLE[DOT]COM")], [("obfuscated_email", "john (At) example.com")], []]
+
+
+def test_long_secrets_go_whole(spark):
+    rng = random.Random(5)
+    long = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123456789", k=k)) for k in (300, 5000)]
+    texts = [f'api_key = "{x}" and more' for x in long] + ["write to " + "a" * 200 + " [at] " + "b" * 100 + " [dot] example [dot] com."] + [t for t in TEXTS if t and "token" in t] * 3
+    found = pii.find(_docs(spark, texts), with_text=True)
+    out = {r.k: (r.found, r.clean) for r in found.select("k", F.col("all").alias("found"), pii.redact(found).alias("clean")).collect()}
+    for i, x in enumerate(long):
+        assert [(s.end - s.start) for s in out[i][0]] == [len(x)]
+        assert out[i][1] == 'api_key = "<secret>" and more'
+    assert "<obfuscated_email>" in out[2][1] and "b" * 10 not in out[2][1]

@@ -35,7 +35,7 @@ def _brute(pages):
         path = re.match(r"[^?#]*", rest[len(host) :])[0]
         host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
         fit = [r for r in queries.URL_RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
-        rows.append((k, host, path, max(fit, key=lambda r: len(r.name), default=None)))
+        rows.append((k, host, path, max(fit, key=lambda r: (len(r.name), r.name), default=None)))
         host_of[i] = host
     seeds = {"t": {}, "d": {}}
     for _, host, _, rule in rows:
@@ -63,7 +63,7 @@ def _brute(pages):
     out = []
     for k, host, path, rule in rows:
         t, d = score["t"].get(host, 0), score["d"].get(host, 0)
-        method = "block" if d >= 0.5 and d > 0.75 * (t + d) else "allow"
+        method = "block" if d and round(d / (t + d), 6) > 0.75 else "allow"
         out.append((k, host, path, rule and rule.name, rule.action if rule else method))
     return out
 
@@ -113,3 +113,19 @@ def test_propagation_goes_on_to_its_tolerance(spark):
     near, far = 1 / (1 - 0.85**2), 0.85 / (1 - 0.85**2)
     want = {"a": (near / 4, far * 3 / 4), "b": (far / 4, near * 3 / 4)}
     assert all(0 <= w - g <= 0.05 / 0.15 for h in want for w, g in zip(want[h], got[h], strict=True))
+
+
+def test_sql_goes_as_far_as_the_operator(spark):
+    rows = _chain(12, 1) + [(100, "http://long." + "x" * 300 + ".net/", "<a href        =            'http://n12.net/'>")]
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame(rows, columns=["page_id", "url", "html"]))
+    got = url_filters.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), queries.URL_RULES)
+    assert _key(con.sql(url_filters.judge_sql(queries.URL_RULES)).fetchall()) == _key(got.select("page_id", "host", "path", "rule", "verdict").collect())
+    assert all(r.verdict == "block" for r in got.collect())
+
+
+def test_of_equally_long_rules_the_greater_name_wins(spark):
+    rules = [url_filters.Rule("block", "b.org", "/x/"), url_filters.Rule("allow", "org", "/x/yy")]
+    assert len({len(r.name) for r in rules}) == 1
+    (r,) = url_filters.judge(spark.createDataFrame([(1, "http://b.org/x/yyz", None)], "page_id long, url string, html string"), rules).collect()
+    assert (r.rule, r.verdict) == ("org/x/yy", "allow")
