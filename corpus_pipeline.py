@@ -4,7 +4,8 @@ STAGES are five functions of (spark, docs, sf_dir), each over all that the one b
 
 1. quality_classifier: documents scored under 0.7 go.
 2. quality_rules: documents that fail a rule of the policy go.
-3. near_dedup: of each group of near-duplicates the one with the smallest id stays; of equal rows one.
+3. near_dedup: of each group of near-duplicates the one with the smallest id stays; of rows equal in id and text the one
+   whose JSON is smallest.
 4. pii: found personal data is replaced by its kind in angle brackets, and n_chars is counted anew.
 5. packing: the texts as pieces of packed sequences.
 
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stemma.llm import packing, pii, quality_classifier, quality_rules, simhash, toxicity
-from stemma.llm._common import materialise, plain_text, read
+from stemma.llm._common import materialise, plain_text, read, release
 
 #: What SQL cannot express here: the trained models, the fingerprints and the packing.
 ORACLE_SQL = None
@@ -49,7 +50,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     rows = docs.select(F.struct(*docs.columns).alias("row"), key["h"].alias("h"))
     kept = rows.join(winners, (rows["h"] == winners["h"]) & F.col("row.doc_id").eqNullSafe(F.col("winner"))).select("row", rows["h"].alias("h"), "n")
     once = kept.where("n = 1").select("row.*")
-    copies = kept.where("n > 1").dropDuplicates(["h"]).select("row.*")
+    copies = kept.where("n > 1").groupBy("h").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
     return once.unionByName(copies)
 
 
@@ -79,5 +80,6 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), name)
+        release(before)  # the tables of documents were not written here and stay
     return STAGES[-1][1](spark, docs, sf_dir)
