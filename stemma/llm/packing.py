@@ -24,6 +24,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,8 @@ from stemma.llm._common import enter, keeps, materialise, plain_text, release, s
 CAPACITY = 2048
 BLOCK_ITEMS, ISLANDS, EPOCHS = 8192, 2, 3
 POPULATION, CHILDREN, LEAST_CHILDREN = 4, 24, 6
-#: Bins that a child opens beside those it must; pieces of a bin of which pairs are tried; tasks of an epoch at most.
-OPENED, PAIRED, ISLAND_TASKS = 8, 24, 20_000
+#: Bins that a child opens beside those it must; pieces of a bin of which pairs are tried; tasks of an epoch for each core.
+OPENED, PAIRED, TASKS_A_CORE = 8, 24, 2
 #: Words, and words without case and punctuation, whose ids a worker keeps; a table is emptied when full.
 MEMO_WORDS, MEMO_CORES = 1_000_000, 600_000
 
@@ -44,8 +45,8 @@ _state: dict[str, _Memo] = {}
 keeps("packing", _state.clear)
 _odd_blank = re.compile("[\x1c-\x1f]")
 #: Letters that stay single letters in lower case and under composition, then punctuation without an apostrophe: the
-#: tokenizer cuts such a word between the two.
-_simple = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]{1,64})([!-&(-/:-@\[-`{-~]{0,16})").fullmatch
+#: tokenizer cuts such a word between the two. Or any other word; one on each line.
+_parts = re.compile(r"^(?:([A-Za-zÀ-ÖØ-öø-ÿ]{1,64})([!-&(-/:-@\[-`{-~]{0,16})|(.*))$", re.M).findall
 
 
 def _latin(text: str) -> bool:
@@ -90,23 +91,16 @@ class _Memo:
     def learn(self, words: list[str]) -> dict[str, bytes]:
         if len(self.cores) > MEMO_CORES:
             self.cores = {"": b""}
-        cut, rest, cores, marks = [], [], set(), set()
-        for w in words:
-            if m := _simple(w):
-                core, mark = m[1].lower(), m[2]
-                core = w if core == w else core  # one string for both tables
-                cut.append((w, core, mark))
-                if core not in self.cores:
-                    cores.add(core)
-                if mark not in self.cores:
-                    marks.add(mark)
-            else:
-                rest.append(w)
-        cores, marks = list(cores), list(marks)
+        lines = [w for w in words if "\n" not in w]
+        parts = _parts("\n".join(lines)) if lines else []
+        rest = [w for w, (_, _, other) in zip(lines, parts, strict=True) if other] + [w for w in words if "\n" in w]
+        # One string for both tables where a word is all letters.
+        cut = [(w, w if core == w and w.islower() else core.lower(), mark) for w, (core, mark, other) in zip(lines, parts, strict=True) if not other]
+        known = self.cores
+        cores, marks = ([x for x in {c[i] for c in cut} if x not in known] for i in (1, 2))
         for at in range(0, len(cores), 4096):
             self._learn_letters(cores[at : at + 4096])
-        self.cores.update(zip(marks, self.whole(marks), strict=True))
-        known = self.cores
+        known.update(zip(marks, self.whole(marks), strict=True))
         out = {w: known[a] + known[b] for w, a, b in cut}
         for at in range(0, len(rest), 4096):
             part = rest[at : at + 4096]
@@ -309,14 +303,14 @@ def _evolve_rows(capacity: int, epoch: int):
                 population, made, better = evolve(length, population, capacity, rng, least=0 if epoch else LEAST_CHILDREN)
                 n_bins, fill = _rank(length, population[0], capacity)
                 packed = [b.astype(np.int32).tobytes() for b in population]
-                told = {"n_bins": n_bins, "fill": fill, "made": (row["made"] or 0) + made, "better": (row["better"] or 0) + better}
+                told = {"n_bins": n_bins, "rests": n_bins == least_bins(length, capacity), "fill": fill, "made": (row["made"] or 0) + made, "better": (row["better"] or 0) + better}
                 yield pa.RecordBatch.from_pylist([{**{c: row[c] for c in ("block", "island", "lengths")}, "population": packed, **told}], schema=_schema)
 
     return run
 
 
-_schema = pa.schema([("block", pa.int64()), ("island", pa.int32()), ("lengths", pa.list_(pa.int32())), ("population", pa.list_(pa.binary())), ("n_bins", pa.int64()), ("fill", pa.float64()), ("made", pa.int64()), ("better", pa.int64())])
-_ddl = "block long, island int, lengths array<int>, population array<binary>, n_bins long, fill double, made long, better long"
+_schema = pa.schema([("block", pa.int64()), ("island", pa.int32()), ("lengths", pa.list_(pa.int32())), ("population", pa.list_(pa.binary())), ("n_bins", pa.int64()), ("rests", pa.bool_()), ("fill", pa.float64()), ("made", pa.int64()), ("better", pa.int64())])
+_ddl = "block long, island int, lengths array<int>, population array<binary>, n_bins long, rests boolean, fill double, made long, better long"
 
 
 def _place(blocks: int):
@@ -339,20 +333,18 @@ def _place(blocks: int):
     return run
 
 
-def islands_of(gathered: DataFrame, tasks: int, capacity: int = CAPACITY, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
-    """gathered (block, own array of (uid, n)) -> one row for each island after the last epoch, written down."""
+def islands_of(gathered: DataFrame, tasks: int, capacity: int = CAPACITY, islands: int = ISLANDS, epochs: int = EPOCHS) -> list[DataFrame]:
+    """gathered (block, own array of (uid, n)) -> tables of one row for each island, written down after each epoch. Blocks with an
+    island at the bound are in no later epoch, as nothing can be better."""
     state = gathered.select("block", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.col("own.n").alias("lengths"))
     state = state.withColumns({"population": F.lit(None).cast("array<binary>"), "migrant": F.lit(None).cast("binary"), "made": F.lit(0), "better": F.lit(0)})
+    out = []
     for epoch in range(epochs):
-        after = materialise(state.repartition(tasks, "block", "island").mapInArrow(_evolve_rows(capacity, epoch), _ddl), "islands")
-        release(state)
-        state = after
-        if epoch + 1 < epochs:
-            elite = state.select("block", F.expr(f"cast((island + 1) % {islands} as int)").alias("island"), F.col("population")[0].alias("migrant"))
-            path = state._stemma_path
-            state = state.drop("n_bins", "fill").join(elite, ["block", "island"])
-            state._stemma_path = path
-    return state
+        out.append(materialise(state.repartition(tasks, "block", "island").mapInArrow(_evolve_rows(capacity, epoch), _ddl), "islands"))
+        live = out[-1].join(out[-1].where("rests").select("block").distinct(), "block", "left_anti")
+        elite = live.select("block", F.expr(f"cast((island + 1) % {islands} as int)").alias("island"), F.col("population")[0].alias("migrant"))
+        state = live.drop("n_bins", "rests", "fill").join(elite, ["block", "island"])
+    return out
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, block_items: int = BLOCK_ITEMS, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
@@ -365,10 +357,12 @@ def pack(items: DataFrame, capacity: int = CAPACITY, block_items: int = BLOCK_IT
     blocks = max(1, -(-some.count() // block_items))
     block = F.pmod(F.xxhash64("uid"), F.lit(blocks)).alias("block")
     gathered = materialise(some.groupBy(block).agg(F.array_sort(F.collect_list(F.struct("uid", "n"))).alias("own")), "blocks")
-    state = islands_of(gathered, min(blocks * islands, ISLAND_TASKS), capacity, islands, epochs)
-    best = state.groupBy("block").agg(F.min_by(F.col("population")[0], F.struct("n_bins", "fill", "island")).alias("best"))
+    tasks = min(blocks * islands, TASKS_A_CORE * spark.sparkContext.defaultParallelism)
+    states = islands_of(gathered, max(2, tasks), capacity, islands, epochs)
+    every = reduce(DataFrame.unionByName, (x.select("block", F.col("population")[0].alias("bins"), F.struct("n_bins", "fill", "island").alias("rank")) for x in states))
+    best = every.groupBy("block").agg(F.min_by("bins", "rank").alias("best"))
     where = materialise(gathered.join(best, "block").mapInArrow(_place(blocks), "uid long, sequence_id long, offset long"), "places")
-    for done in (state, gathered):
+    for done in (*states, gathered):
         release(done)
     shared = some.join(where, "uid").select("item.*", "sequence_id", "offset")
     alone = numbered.where(F.col("n") >= capacity).select("item.*", (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

@@ -90,14 +90,16 @@ def test_islands_start_apart_and_run_in_several_tasks(spark):
     rng = np.random.default_rng(3)
     rows = [(b, [(b * 300 + i, int(n)) for i, n in enumerate(rng.integers(500, 1024, 300))]) for b in range(4)]
     gathered = spark.createDataFrame(rows, "block long, own array<struct<uid: long, n: int>>")
-    one = packing.islands_of(gathered, 8, epochs=1)
+    (one,) = packing.islands_of(gathered, 8, epochs=1)
     assert one.groupBy(F.spark_partition_id()).count().count() > 1 or one.select(F.input_file_name()).distinct().count() > 2
     by = {}
     for r in one.collect():
         assert r.made >= packing.LEAST_CHILDREN
         by.setdefault(r.block, set()).add(bytes(r.population[0]))
     assert all(len(own) == packing.ISLANDS for own in by.values())
-    for r in packing.islands_of(gathered, 8).collect():
+    last = packing.islands_of(gathered, 8)[-1].collect()
+    assert len(last) == 4 * packing.ISLANDS  # none is at the bound here, so all go on
+    for r in last:
         length = np.array(r.lengths)
         plain = packing._seed(length, 2048, 0, rng)
         assert r.n_bins < plain.max() + 1 and r.better > 0
