@@ -123,23 +123,27 @@ def presence(sample: DataFrame, wanted: np.ndarray) -> DataFrame:
     return sample.select("t", F.col("y").cast("int").alias("y")).mapInArrow(run, "y int, buckets array<int>")
 
 
-def fit_linear(size: np.ndarray, col: np.ndarray, y: np.ndarray, scale: np.ndarray, rounds: int = 300, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression by accelerated gradient steps. Row i has the next size[i] features of col. Both classes
-    weigh alike in the fit."""
-    rows = len(size)
-    row = np.repeat(np.arange(rows, dtype=np.int32), size)
-    value = (scale[col] / np.sqrt(np.maximum(size, 1))[row]).astype(np.float32)
-    share = np.where(y == 1, 0.5 / max((y == 1).sum(), 1), 0.5 / max((y == 0).sum(), 1))
-    top = np.bincount(row, weights=value**2, minlength=rows).max(initial=0.0) + 1
-    w, b = np.zeros(len(scale)), 0.0
-    w0, b0, step = w, b, 3.0 / top
-    for i in range(rounds):
-        mw, mb = w + (w - w0) * i / (i + 3), b + (b - b0) * i / (i + 3)
-        z = np.bincount(row, weights=value * mw[col], minlength=rows) + mb
-        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * share
-        w0, b0 = w, b
-        w = mw - step * (np.bincount(col, weights=value * g[row], minlength=len(scale)) + penalty * mw)
-        b = mb - step * g.sum()
+def fit_linear(size: np.ndarray, col: np.ndarray, y: np.ndarray, scale: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.3, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Logistic regression by steps on small batches, each weight at its own falling rate, so little is held beside the features. Row
+    i has the next size[i] features of col. Both classes weigh alike in the fit. The order of the rows does not matter."""
+    end = np.cumsum(size)
+    sums = np.add.reduceat(np.append(col, 0).astype(np.int64), np.append(end - size, len(col)))[:-1] * (size > 0)
+    order = np.lexsort((sums, size, y))
+    share = np.where(y == 1, 0.5 / max((y == 1).sum(), 1), 0.5 / max((y == 0).sum(), 1)) * len(y)
+    rng = np.random.default_rng(8)
+    w, b, seen, seen_b = np.zeros(len(scale)), 0.0, np.full(len(scale), 1e-8), 1e-8
+    for _ in range(epochs):
+        for part in np.array_split(rng.permutation(order), max(1, len(order) // batch)):
+            own = np.concatenate([col[end[i] - size[i] : end[i]] for i in part])
+            row = np.repeat(np.arange(len(part)), size[part])
+            value = scale[own] / np.sqrt(np.maximum(size[part], 1))[row]
+            z = np.bincount(row, weights=value * w[own], minlength=len(part)) + b
+            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part]) * share[part] / len(part)
+            step = np.bincount(own, weights=value * g[row], minlength=len(scale)) + penalty * w
+            seen += step**2
+            seen_b += g.sum() ** 2
+            w -= rate * step / np.sqrt(seen)
+            b -= rate * g.sum() / np.sqrt(seen_b)
     return w, b
 
 
