@@ -16,6 +16,7 @@ without training rows of both classes every score is the training share of toxic
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -110,17 +111,18 @@ def telling(apart: np.ndarray, least: int = LEAST_FEATURES) -> np.ndarray:
 
 
 def presence(sample: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """sample (t, y) -> (y, buckets array<int>) with the wanted buckets of each text, in order."""
+    """sample (t, y) -> (y, n, gaps) with the wanted buckets of each text: their number, and the gaps between them in order,
+    compressed, since all of them go to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("toxicity")
         read = Reader()
         for batch in batches:
-            found = [read.buckets(t) for t in batch.column("t").to_pylist()]
-            lists = pa.array([np.sort(b[wanted[b]]).astype(np.int32) for b in found], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("y"), lists], ["y", "buckets"])
+            found = [np.sort(b[wanted[b]]).astype(np.int32) for b in map(read.buckets, batch.column("t").to_pylist())]
+            gaps = [zlib.compress(np.diff(b, prepend=0).astype(np.int32).tobytes(), 1) for b in found]
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([len(b) for b in found], pa.int32()), pa.array(gaps, pa.binary())], ["y", "n", "gaps"])
 
-    return sample.select("t", F.col("y").cast("int").alias("y")).mapInArrow(run, "y int, buckets array<int>")
+    return sample.select("t", F.col("y").cast("int").alias("y")).mapInArrow(run, "y int, n int, gaps binary")
 
 
 def fit_linear(size: np.ndarray, col: np.ndarray, y: np.ndarray, scale: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.3, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -173,9 +175,13 @@ def train(labelled: DataFrame, least_features: int = LEAST_FEATURES, sample_rows
     wanted[bucket[kept]] = True
     sample = presence(sampled(labelled, sample_rows, total), wanted).toArrow()
     release(labelled)
-    lists = sample.column("buckets").combine_chunks()
-    size = np.diff(lists.offsets.to_numpy())
-    col = np.searchsorted(bucket[kept], lists.flatten().to_numpy()).astype(np.int32)
+    size = sample.column("n").to_numpy()
+    place = np.zeros(1 << BITS, dtype=np.int32)
+    place[bucket[kept]] = np.arange(len(kept))
+    col, at = np.zeros(size.sum(), dtype=np.int32), 0
+    for gaps, n in zip(sample.column("gaps"), size.tolist(), strict=True):
+        col[at : at + n] = place[np.cumsum(np.frombuffer(zlib.decompress(gaps.as_py()), np.int32))]
+        at += n
     own, b = fit_linear(size, col, sample.column("y").to_numpy(), ratio[kept])
     weight = none.copy()
     weight[bucket[kept]] = own * ratio[kept]
