@@ -85,20 +85,26 @@ def block_tokens(lines: DataFrame, keys: list[str]) -> DataFrame:
 def heading_hierarchy(pages: DataFrame, text: str = "text") -> DataFrame:
     """Adds outline: the text with headings in order. Empty ones and repeats of the one before go; a number in front sets
     the level; else a level is at most one deeper than the one before. A fold, since each level depends on the last."""
-    lines = F.split(text, "\n")
-    state = F.struct(F.lit(0).alias("level"), F.lit("").alias("key"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, line: Column) -> Column:
-        is_heading = line.rlike(r"^\s*#{1,6}\s+(.+?)\s*$")
-        title = F.trim(F.regexp_replace(F.regexp_extract(line, r"^\s*(#{1,6})\s+(.+?)\s*$", 2), r"\s+", " "))
-        own = F.length(F.regexp_extract(line, r"^\s*(#{1,6})\s", 1))
+    heading = r"^\s*(#{1,6})\s+(.+?)\s*$"
+    empty = F.array().cast("array<struct<i:int,line:string>>")
+    lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("line")))
+    state = F.struct(F.lit(0).alias("level"), F.lit("").alias("key"), empty.alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        line = x["line"]
+        title = F.trim(F.regexp_replace(F.regexp_extract(line, heading, 2), r"\s+", " "))
+        own = F.length(F.regexp_extract(line, heading, 1))
         number = F.regexp_extract(title, P.NUMBERED_TITLE, 1)
         deep = (acc["level"] > 0) & (own > acc["level"] + 1)
         level = F.when(title.rlike(P.NUMBERED_TITLE), F.least(F.lit(6), F.size(F.split(number, r"\.")))).when(title.rlike(P.CHAPTER), 1).when(deep, acc["level"] + 1).otherwise(own)
         key = F.lower(title)
-        drop = is_heading & ((title == "") | (key == acc["key"]))
-        changed = is_heading & ~drop
-        written = F.when(drop, F.array().cast("array<string>")).when(changed, F.array(F.concat(F.repeat(F.lit("#"), level), F.lit(" "), title))).otherwise(F.array(line))
-        return F.struct(F.when(changed, level).otherwise(acc["level"]).alias("level"), F.when(changed, key).otherwise(acc["key"]).alias("key"), F.concat(acc["out"], written).alias("out"))
-
-    return pages.withColumn("outline", F.aggregate(lines, state, step, lambda acc: F.array_join(acc["out"], "\n")))
+        drop = (title == "") | (key == acc["key"])
+        written = F.struct(x["i"].alias("i"), F.when(~drop, F.concat(F.repeat(F.lit("#"), level), F.lit(" "), title)).alias("line"))
+        return F.struct(F.when(drop, acc["level"]).otherwise(level).alias("level"), F.when(drop, acc["key"]).otherwise(key).alias("key"), F.concat(acc["out"], F.array(written)).alias("out"))
+
+    # Only headings are folded; a page without one stays as it is.
+    rows = pages.withColumn("_l", lines).withColumn("_h", F.filter("_l", lambda x: x["line"].rlike(heading)))
+    rows = rows.withColumn("_n", F.aggregate("_h", state, step, lambda acc: F.map_from_entries(acc["out"])))
+    new = F.transform("_l", lambda x: F.when(F.map_contains_key("_n", x["i"]), F.try_element_at("_n", x["i"])).otherwise(x["line"]))
+    joined = F.array_join(F.filter(new, lambda x: x.isNotNull()), "\n")
+    return rows.withColumn("outline", F.when(F.size("_h") == 0, F.col(text)).otherwise(joined)).drop("_l", "_h", "_n")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Severity of each issue. Fixed values.
@@ -21,7 +21,6 @@ def audit(pages: DataFrame, documents: DataFrame) -> DataFrame:
     """pages (source, page, characters, ocr_applied, text_blocks, corrupt, gaps, preserved, fallback_failed,
     layout_confidence, failed), documents (source, words, cues, objects, hyphens, leaked, source_pages, selected_pages) ->
     (source, code, severity, count, pages): the issues of each document, with up to LISTED of the pages concerned."""
-    on = lambda cond: (F.count_if(cond), F.slice(F.array_sort(F.collect_list(F.when(cond, F.col("page")))), 1, LISTED))
     characters, blocks, ocr = F.col("characters"), F.col("text_blocks"), F.col("ocr_applied")
     substantial = ~ocr & (characters >= 250)
     rules = {
@@ -35,16 +34,19 @@ def audit(pages: DataFrame, documents: DataFrame) -> DataFrame:
         "PAGE_EXTRACTION_ERRORS": F.col("failed"),
     }
     aggregates = [F.count("*").alias("n"), F.count_if(ocr).alias("ocr"), F.count_if(substantial).alias("substantial")]
-    for code, cond in rules.items():
-        count, listed = on(F.coalesce(cond, F.lit(False)))
-        aggregates += [count.alias(f"{code}_n"), listed.alias(f"{code}_p")]
+    aggregates += [F.count_if(F.coalesce(cond, F.lit(False))).alias(f"{code}_n") for code, cond in rules.items()]
     rows = pages.groupBy("source").agg(*aggregates).join(documents, "source")
+    # Pages are ranked before they are gathered, so a document of many pages gathers LISTED of each issue.
+    hit = pages.select("source", "page", F.explode(F.array_compact(F.array(*(F.when(cond, F.lit(code)) for code, cond in rules.items())))).alias("code"))
+    first = hit.withColumn("r", F.row_number().over(Window.partitionBy("source", "code").orderBy("page"))).where(F.col("r") <= LISTED)
+    lists = first.groupBy("source", "code").agg(F.array_sort(F.collect_list("page")).alias("own"))
+    rows = rows.join(lists.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("code", "own"))).alias("own")), "source", "left")
     c = F.col
     technical = (c("words") > 10000) & (c("cues") > 20)
     fires = {code: c(f"{code}_n") > 0 for code in rules}
     fires["STRUCTURE_COLLAPSE"] = (c("substantial") >= 10) & (c("STRUCTURE_COLLAPSE_n") / c("substantial") >= 0.7) & (c("words") > 1000)
     counts = {code: c(f"{code}_n") for code in rules}
-    listed = {code: c(f"{code}_p") for code in rules}
+    listed = {code: F.coalesce(F.try_element_at("own", F.lit(code)), F.array().cast("array<long>")) for code in rules}
     more = {
         "NO_TECHNICAL_OBJECTS": (technical & (c("objects") == 0), F.lit(1)),
         "LOW_TECHNICAL_OBJECTS": (technical & (c("objects") > 0) & (c("objects") < F.greatest(F.lit(2), F.ceil(c("n") / 50))), c("objects")),

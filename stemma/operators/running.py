@@ -8,21 +8,24 @@ from pyspark.sql import functions as F
 from stemma.functions import text as T
 
 
-def edge_lines(lines: DataFrame) -> DataFrame:
-    """The lines at a page's two edges: (source, page, line_no, line, position). Two at each edge of a page of eight lines
-    or more, else one; where all of these are page labels the edge runs on over further labels and one line that may be
-    running matter."""
-    page = Window.partitionBy("source", "page")
-    down, up = page.orderBy("line_no"), page.orderBy(F.col("line_no").desc())
-    rows = lines.withColumn("is_label", T.is_page_label(F.col("line"))).withColumn("depth", F.when(F.count("*").over(page) >= 8, 2).otherwise(1))
-    picked = []
-    for name, order in (("header", down), ("footer", up)):
-        before = order.rowsBetween(Window.unboundedPreceding, -1)
-        rows = rows.withColumns({f"{name}_rank": F.row_number().over(order), f"{name}_labels": F.coalesce(F.bool_and("is_label").over(before), F.lit(True))})
-        # The costly test comes last: it is only made where all lines before were labels.
-        runs_on = F.col(f"{name}_labels") & (F.col("is_label") | T.is_running_fragment(F.col("line")))
-        picked.append(F.when((F.col(f"{name}_rank") <= F.col("depth")) | runs_on, name))
-    return rows.select("source", "page", "line_no", "line", F.explode(F.array_compact(F.array(*picked))).alias("position"))
+def edge_lines(pages: DataFrame) -> DataFrame:
+    """pages (source, page, text) -> the lines at a page's two edges: (source, page, line_no, line, position). Two at each edge of a
+    page of eight lines or more, else one; where all of these are page labels the edge runs on over further labels and one line
+    that may be running matter. A page is a row, so nothing is shuffled, and only lines at the edges are tested."""
+    kept = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line_no"), x.alias("line"))), lambda x: F.trim(x["line"]) != "")
+    rows = pages.select("source", "page", kept.alias("down")).where("size(down) > 0").withColumns({"up": F.reverse("down"), "depth": F.when(F.size("down") >= 8, 2).otherwise(1)})
+
+    def edge(side: str) -> Column:
+        first = F.slice(side, F.lit(1), F.col("depth"))
+        # Only where all of these are labels is the rest looked at: as far as labels go, and at the line after them.
+        other = F.array_position(F.transform(side, lambda x: T.is_page_label(x["line"])), False).cast("int")
+        labels = F.when(other == 0, F.size(side)).otherwise(other - 1)
+        after = F.get(F.col(side), labels)
+        far = F.when(after.isNotNull() & T.is_running_fragment(after["line"]), labels + 1).otherwise(labels)
+        return F.when(F.forall(first, lambda x: T.is_page_label(x["line"])), F.slice(side, F.lit(1), far)).otherwise(first)
+
+    marked = lambda side, name: F.transform(edge(side), lambda x: F.struct(x["line_no"].alias("line_no"), x["line"].alias("line"), F.lit(name).alias("position")))
+    return rows.select("source", "page", F.inline(F.concat(marked("down", "header"), marked("up", "footer"))))
 
 
 def least_pages(n: Column) -> Column:
@@ -30,24 +33,27 @@ def least_pages(n: Column) -> Column:
     return F.when(n <= 2, 2).otherwise(F.least(F.lit(3), F.greatest(F.lit(2), F.ceil(n * 0.25)))).cast("long")
 
 
-def repeated_signatures(edges: DataFrame, lines: DataFrame) -> DataFrame:
+def page_counts(edges: DataFrame) -> DataFrame:
+    """(source, n_pages): every page with a line has one at its edges."""
+    return edges.groupBy("source").agg(F.countDistinct("page").alias("n_pages"))
+
+
+def repeated_signatures(edges: DataFrame) -> DataFrame:
     """(source, key, pages) of the signatures on enough pages. A page counts once for a signature."""
     keys = edges.select("source", "page", T.line_signature(F.col("line")).alias("key")).where(F.length("key").between(3, 160)).distinct()
     counts = keys.groupBy("source", "key").agg(F.count("*").alias("pages"))
-    total = lines.groupBy("source").agg(F.countDistinct("page").alias("n_pages"))
-    return counts.join(total, "source").where(F.col("pages") >= least_pages(F.col("n_pages"))).select("source", "key", "pages")
+    return counts.join(page_counts(edges), "source").where(F.col("pages") >= least_pages(F.col("n_pages"))).select("source", "key", "pages")
 
 
-def common_tokens(edges: DataFrame, lines: DataFrame) -> DataFrame:
+def common_tokens(edges: DataFrame) -> DataFrame:
     """(source, position, size, sample): what the outermost edge lines of all pages of a document begin (headers) or end
     (footers) with, up to twelve tokens, page numbers alike. Every page must have at least two tokens there."""
     outer = F.when(F.col("position") == "header", F.min_by("line", "line_no")).otherwise(F.max_by("line", "line_no"))
     line = edges.groupBy("source", "page", "position").agg(F.first("position").alias("p"), outer.alias("line"))
     tokens = T.words(T.plain_line(F.col("line")))
     rows = line.select("source", "page", "position", F.when(F.col("position") == "header", tokens).otherwise(F.reverse(tokens)).alias("tokens"))
-    total = lines.groupBy("source").agg(F.countDistinct("page").alias("n_pages"))
     heads = rows.groupBy("source", "position").agg(F.count_if(F.size("tokens") >= 2).alias("n"), F.min(F.size("tokens")).alias("least"), F.min_by("tokens", "page").alias("first"))
-    heads = heads.join(total, "source").where((F.col("n") == F.col("n_pages")) & (F.col("n_pages") >= 2))
+    heads = heads.join(page_counts(edges), "source").where((F.col("n") == F.col("n_pages")) & (F.col("n_pages") >= 2))
     places = rows.select("source", "position", "page", F.posexplode(F.slice("tokens", 1, 12)).alias("at", "token"))
     alike = places.groupBy("source", "position", "at").agg(F.countDistinct(T.edge_token(F.col("token"))).alias("kinds"), F.count("*").alias("pages"))
     broken = alike.join(heads.select("source", "position", "n_pages"), ["source", "position"]).where((F.col("kinds") > 1) | (F.col("pages") < F.col("n_pages")))
@@ -75,14 +81,22 @@ def decisions(edges: DataFrame, repeated: DataFrame, common: DataFrame) -> DataF
     flags = {"is_label": T.is_page_label(F.col("line")), "structural": T.is_structural_edge(F.col("line")), "repeated": F.coalesce("repeated", F.lit(False)), "common": same}
     action = F.when(F.col("structural"), "KEEP").when(F.col("is_label") | F.col("repeated"), "REMOVE").when(F.col("common"), "MERGE").otherwise("KEEP")
     sure = F.when(F.col("structural"), 0.93).when(F.col("action") == "REMOVE", 0.9).when(F.col("action") == "MERGE", 0.82).otherwise(0.62)
-    out = found.withColumns(flags).withColumn("action", action).withColumn("confidence", sure)
-    return out.select("source", "page", "position", "line_no", "key", "action", "confidence", "repeated", "common", F.col("is_label").alias("page_label"), "structural")
-
-
-def strip_running_matter(lines: DataFrame, judged: DataFrame) -> DataFrame:
-    """The lines without those judged REMOVE; the common tokens of MERGE lines are left to the reader."""
-    gone = judged.where("action = 'REMOVE'").select("source", "page", "line_no").distinct()
-    return lines.join(gone, ["source", "page", "line_no"], "left_anti")
+    rest = F.when(F.col("position") == "header", F.slice(tokens, n + 1, F.size(tokens))).otherwise(F.slice(tokens, F.lit(1), F.size(tokens) - n))
+    out = found.withColumns(flags).withColumn("action", action).withColumn("confidence", sure).withColumn("merged", F.when(F.col("action") == "MERGE", F.array_join(rest, " ")))
+    return out.select("source", "page", "position", "line_no", "key", "action", "confidence", "repeated", "common", F.col("is_label").alias("page_label"), "structural", "merged")
+
+
+def strip_running_matter(pages: DataFrame, judged: DataFrame) -> DataFrame:
+    """(source, page, lines, text): the pages without blank lines and those judged REMOVE, and without the common tokens of lines
+    judged MERGE. A page of which nothing is left has no row. The few lines judged meet the pages as one row for each page."""
+    plan = F.collect_set(F.struct("line_no", "cut")).alias("plan")
+    gone = judged.where("action <> 'KEEP'").withColumn("cut", F.when(F.col("action") == "MERGE", F.col("merged"))).groupBy("source", "page").agg(plan)
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("line")))
+    own = lambda x: F.filter("plan", lambda p: p["line_no"] == x["i"])  # noqa: E731  a line may be judged as header and as footer
+    left = F.transform(lines, lambda x: F.when(F.coalesce(F.size(own(x)), F.lit(0)) <= 0, x["line"]).otherwise(F.coalesce(F.array_max(F.transform(own(x), lambda p: p["cut"])), F.lit(""))))
+    kept = F.filter(left, lambda x: F.trim(x) != "")
+    rows = pages.join(gone, ["source", "page"], "left").select("source", "page", kept.alias("kept")).where("size(kept) > 0")
+    return rows.select("source", "page", F.size("kept").cast("long").alias("lines"), F.array_join("kept", "\n").alias("text"))
 
 
 def repeated_by_place(placed: DataFrame, height: int = 792, share: float = 0.35) -> DataFrame:

@@ -84,10 +84,20 @@ def page_ranges(requests: DataFrame, text: str, total: Column) -> DataFrame:
     return requests.withColumn("pages", F.when(good, pages))
 
 
+def numbered(rows: DataFrame, keys: list[str], order: list[str], stretch: Column) -> DataFrame:
+    """Adds nth, from 1 in order within the keys, without a task that gets all rows of a key: rows are numbered inside stretches of
+    the order, and only the stretches' sizes meet. stretch must rise with the order and be no other for equal rows."""
+    rows = rows.withColumn("stretch", stretch)
+    sizes = rows.groupBy(*keys, "stretch").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy(*keys, "stretch").orderBy(*order))
+    return rows.join(sizes.select(*keys, "stretch", before.alias("before")), [*keys, "stretch"]).withColumn("nth", own + F.col("before")).drop("stretch", "before")
+
+
 def batches(pages: DataFrame, done: DataFrame, document: str, page: str, size: int = 20) -> DataFrame:
     """(document, page, batch_no) of the pages that have no checkpoint yet."""
-    pending = pages.join(done, [document, page], "left_anti")
-    return pending.withColumn("batch_no", F.floor((F.row_number().over(Window.partitionBy(document).orderBy(page)) - 1) / size))
+    pending = numbered(pages.join(done, [document, page], "left_anti"), [document], [page], F.floor(F.col(page) / 4096))
+    return pending.withColumn("batch_no", F.floor((F.col("nth") - 1) / size)).drop("nth")
 
 
 def first_available(sources: list[DataFrame], keys: list[str]) -> DataFrame:

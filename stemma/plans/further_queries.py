@@ -166,7 +166,7 @@ def structured_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT p.source, p.page, coalesce(n, 0)::BIGINT AS removed, {S.count("text", r"\[SOURCE_VISUAL")}::INT AS preserved, {S.count("text", "(?i)figure")}::INT AS detected FROM v_pages p LEFT JOIN c ON p.source = c.source AND p.page = c.page""",
 )
 def page_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    removed = _decisions(spark, sf_dir)[1].where("action = 'REMOVE'").groupBy("source", "page").agg(F.count("*").alias("n"))
+    removed = _decisions(pages(spark, sf_dir)).where("action = 'REMOVE'").groupBy("source", "page").agg(F.count("*").alias("n"))
     rows = pages(spark, sf_dir).join(removed, ["source", "page"], "left")
     return rows.select("source", "page", F.coalesce("n", F.lit(0)).alias("removed"), T.count_of(F.col("text"), r"\[SOURCE_VISUAL").alias("preserved"), T.count_of(F.col("text"), "(?i)figure").alias("detected"))
 
@@ -276,10 +276,7 @@ def chunk_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cleaned_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The steps in their order: normalise, take running matter out, mend headings, mend wrapped words, join."""
     rows = pages(spark, sf_dir).withColumn("text", T.normalise_text(F.col("text")))
-    lines = lines_of(rows)
-    edges = R.edge_lines(lines)
-    judged = R.decisions(edges, R.repeated_signatures(edges, lines), R.common_tokens(edges, lines))
-    kept = R.strip_running_matter(lines, judged).groupBy("source", "page").agg(M.ordered_text(["line_no"]).alias("text"))
+    kept = R.strip_running_matter(rows, _decisions(rows)).select("source", "page", "text")
     outlined = M.heading_hierarchy(kept).select("source", "page", F.col("outline").alias("text"))
     mended = M.repair_hyphens(lines_of(outlined), ["source", "page"])
     return mended.groupBy("source", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "text"))), lambda x: x["text"]), "\n").alias("markdown"))

@@ -74,13 +74,12 @@ v_repeated AS (SELECT source, key, count(DISTINCT page) AS pages FROM v_keys JOI
 
 @query("RM01", f"WITH {_RANKED} SELECT source, page, line_no, line, position FROM v_edges")
 def edge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return running.edge_lines(_lines(spark, sf_dir))
+    return running.edge_lines(pages(spark, sf_dir))
 
 
 @query("AG01", f"WITH {_REPEATED} SELECT source, key, pages::BIGINT AS pages FROM v_repeated")
 def running_matter_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _lines(spark, sf_dir)
-    return running.repeated_signatures(running.edge_lines(lines), lines)
+    return running.repeated_signatures(running.edge_lines(pages(spark, sf_dir)))
 
 
 _COMMON = f"""{_REPEATED},
@@ -99,8 +98,7 @@ v_common AS (SELECT source, position, max(size)::INT AS size, max_by(sample, siz
 
 @query("AG03", f"WITH {_COMMON} SELECT * FROM v_common")
 def common_edge_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _lines(spark, sf_dir)
-    return running.common_tokens(running.edge_lines(lines), lines)
+    return running.common_tokens(running.edge_lines(pages(spark, sf_dir)))
 
 
 _DECIDED = f"""{_COMMON},
@@ -111,18 +109,18 @@ v_same AS (SELECT *, coalesce(len(tokens) >= size AND
     list_transform(CASE WHEN position = 'header' THEN tokens[1:size] ELSE tokens[len(tokens) - size + 1:] END, lambda t: {S.edge_token("t")})
     = list_transform(string_split(sample, ' '), lambda t: {S.edge_token("t")}), false) AS common FROM v_seen),
 v_decided AS (SELECT source, page, position, line_no, key, CASE WHEN structural THEN 'KEEP' WHEN page_label OR repeated THEN 'REMOVE' WHEN common THEN 'MERGE' ELSE 'KEEP' END AS action,
-    CASE WHEN structural THEN 0.93 WHEN page_label OR repeated THEN 0.9 WHEN common THEN 0.82 ELSE 0.62 END::DOUBLE AS confidence, repeated, common, page_label, structural FROM v_same)"""
+    CASE WHEN structural THEN 0.93 WHEN page_label OR repeated THEN 0.9 WHEN common THEN 0.82 ELSE 0.62 END::DOUBLE AS confidence, repeated, common, page_label, structural,
+    CASE WHEN NOT structural AND NOT page_label AND NOT repeated AND common THEN array_to_string(CASE WHEN position = 'header' THEN tokens[size + 1:] ELSE tokens[:len(tokens) - size] END, ' ') END AS merged FROM v_same)"""
 
 
-def _decisions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    lines = _lines(spark, sf_dir)
-    edges = running.edge_lines(lines)
-    return lines, running.decisions(edges, running.repeated_signatures(edges, lines), running.common_tokens(edges, lines))
+def _decisions(rows: DataFrame) -> DataFrame:
+    edges = running.edge_lines(rows)
+    return running.decisions(edges, running.repeated_signatures(edges), running.common_tokens(edges))
 
 
 @query("RM02 ST03", f"WITH {_DECIDED} SELECT * FROM v_decided")
 def running_matter_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _decisions(spark, sf_dir)[1]
+    return _decisions(pages(spark, sf_dir))
 
 
 @query(
@@ -131,18 +129,18 @@ def running_matter_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def running_matter_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [F.count_if(F.col("action") == a).alias(a.lower()) for a in ("REMOVE", "KEEP", "MERGE")]
-    return _decisions(spark, sf_dir)[1].groupBy("source", "page").agg(*counts)
+    return _decisions(pages(spark, sf_dir)).groupBy("source", "page").agg(*counts)
 
 
 @query(
     "RM03 RM04",
-    f"WITH {_DECIDED} SELECT source, page, count(*)::BIGINT AS lines, string_agg(line, chr(10) ORDER BY line_no) AS text FROM v_lines l WHERE NOT EXISTS (SELECT 1 FROM v_decided d WHERE d.action = 'REMOVE' AND d.source = l.source AND d.page = l.page AND d.line_no = l.line_no) GROUP BY source, page",
+    f"""WITH {_DECIDED}, cut AS (SELECT l.source, l.page, l.line_no, CASE WHEN count(d.action) = 0 THEN l.line ELSE coalesce(max(CASE WHEN d.action = 'MERGE' THEN d.merged END), '') END AS line
+    FROM v_lines l LEFT JOIN v_decided d ON d.action <> 'KEEP' AND d.source = l.source AND d.page = l.page AND d.line_no = l.line_no GROUP BY l.source, l.page, l.line_no, l.line)
+SELECT source, page, count(*)::BIGINT AS lines, string_agg(line, chr(10) ORDER BY line_no) AS text FROM cut WHERE trim(line) <> '' GROUP BY source, page""",
 )
 def without_running_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines, judged = _decisions(spark, sf_dir)
-    kept = running.strip_running_matter(lines, judged)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
-    return kept.groupBy("source", "page").agg(F.count("*").alias("lines"), text.alias("text"))
+    rows = pages(spark, sf_dir)
+    return running.strip_running_matter(rows, _decisions(rows))
 
 
 @query(

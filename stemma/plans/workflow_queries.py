@@ -148,8 +148,7 @@ def _audit_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
         "source", "page", F.length(t).alias("characters"), ocr.alias("ocr_applied"), F.when(ocr, 0).otherwise(blocks).alias("text_blocks"), F.contains(t, F.lit("%%%")).alias("corrupt"),
         T.count_of(t, "###").alias("gaps"), T.count_of(t, r"\*\*\*").alias("preserved"), F.contains(t, F.lit("$$$")).alias("fallback_failed"), (t.rlike("ß") & (F.length(t) < 200)).alias("failed"),
     ).join(columns, ["source", "page"], "left")
-    edges = running.edge_lines(lines)
-    repeated = running.repeated_signatures(edges, lines).select("source", "key", F.lit(True).alias("repeated"))
+    repeated = running.repeated_signatures(running.edge_lines(rows)).select("source", "key", F.lit(True).alias("repeated"))
     marked = lines.withColumns({"plain": T.plain_line(F.col("line")), "key": T.line_signature(F.col("line"))}).join(repeated, ["source", "key"], "left")
     leaked = marked.groupBy("source").agg(F.count_if((F.col("plain").rlike(P.PAGE_LABEL) | F.coalesce("repeated", F.lit(False))) & F.col("plain").rlike(_LEAK)).alias("leaked"))
     m = T.document_metrics(t)

@@ -19,15 +19,39 @@ def _lines(spark, pages):
 
 
 def test_running_heads_go_and_chapters_stay(spark):
-    lines = _lines(spark, [("a", i, f"Annual Report {i}\nChapter One\n{'text body ' * 5}{i}\nPage {i}") for i in range(1, 5)])
-    edges = running.edge_lines(lines)
-    judged = running.decisions(edges, running.repeated_signatures(edges, lines), running.common_tokens(edges, lines))
+    rows = [("a", i, f"Annual Report {i}\nChapter One\n{'text body ' * 5}{i}\nPage {i}") for i in range(1, 5)]
+    pages = spark.createDataFrame(rows, "source string, page long, text string")
+    edges = running.edge_lines(pages)
+    judged = running.decisions(edges, running.repeated_signatures(edges), running.common_tokens(edges))
     actions = {(r.key, r.action) for r in judged.collect()}
     assert ("annual report", "REMOVE") in actions and not any(a == "REMOVE" for k, a in actions if "chapter" in k)
-    left = {r.line for r in running.strip_running_matter(lines, judged).collect()}
+    left = {x for r in running.strip_running_matter(pages, judged).collect() for x in r.text.split("\n")}
     assert "Chapter One" in left and not any(x.startswith(("Annual", "Page ")) for x in left)
 
 
+def test_edges_run_on_over_labels(spark):
+    text = "1\n\n- 2 -\nANNUAL REPORT\nbody text that goes on and on\nmore of it\n9"
+    edges = running.edge_lines(spark.createDataFrame([("a", 1, text), ("a", 2, "one\n" * 9), ("a", 3, " \n")], "source string, page long, text string")).collect()
+    got = {(r.page, r.position): [] for r in edges}
+    for r in sorted(edges, key=lambda r: r.line_no):
+        got[r.page, r.position].append(r.line_no)
+    assert got == {(1, "header"): [0, 2, 3], (1, "footer"): [6], (2, "header"): [0, 1], (2, "footer"): [7, 8]}
+
+
+def test_merged_lines_keep_their_own_words(spark):
+    judged = spark.createDataFrame([("a", 1, 0, "MERGE", "Own words"), ("a", 1, 2, "REMOVE", None), ("a", 1, 1, "KEEP", None)], "source string, page long, line_no int, action string, merged string")
+    pages = spark.createDataFrame([("a", 1, "Annual Report Own words\nbody\n7\nend"), ("a", 2, "left\n\nas it is")], "source string, page long, text string")
+    assert {r.page: (r.lines, r.text) for r in running.strip_running_matter(pages, judged).collect()} == {1: (3, "Own words\nbody\nend"), 2: (2, "left\nas it is")}
+
+
+def test_numbering_in_stretches(spark):
+    from stemma.operators.workflow import numbered
+
+    rows = spark.createDataFrame([("a", i) for i in range(50)] + [("b", 3 * i) for i in range(9)], "d string, p long")
+    got = {(r.d, r.p): r.nth for r in numbered(rows, ["d"], ["p"], F.floor(F.col("p") / 7)).collect()}
+    assert got == {("a", i): i + 1 for i in range(50)} | {("b", 3 * i): i + 1 for i in range(9)}
+
+
 def test_two_pages_need_two_repeats(spark):
     n = spark.createDataFrame([(i,) for i in (1, 2, 8, 9, 100)], "n long").select(running.least_pages(F.col("n")).alias("k")).collect()
     assert [r.k for r in n] == [2, 2, 2, 3, 3]
