@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,8 +26,16 @@ def line_signature(c: Column) -> Column:
     """What stays of a line when page numbers at its ends go; equal lines of several pages have one signature."""
     c = squeeze(F.regexp_replace(plain_line(c), P.LEADING_PAGE, ""))
     c = F.regexp_replace(c, P.TRAILING_FRACTION, "<page>/<pages>")
-    head = F.regexp_extract(c, P.TRAILING_PAGE, 1)
-    return F.lower(F.when(F.length(head) >= 3, F.trim(head)).otherwise(c))
+
+    def without_page(cut: Column) -> Column:
+        return bound(F.regexp_extract(cut, P.TRAILING_PAGE, 1), lambda head: F.lower(F.when(F.length(head) >= 3, F.trim(head)).otherwise(cut)))
+
+    return bound(c, without_page)
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def is_page_label(c: Column) -> Column:
@@ -50,11 +60,14 @@ def words(c: Column) -> Column:
 
 def is_running_fragment(c: Column) -> Column:
     """A short line that is a page label, mostly capitals, or a few title-case words."""
-    plain = plain_line(c)
-    own = words(plain)
-    titled = (F.size(own) <= 8) & F.forall(own, lambda w: w.rlike(P.TITLE_WORD))
-    letters = plain.rlike(r"\p{L}")
-    return (F.size(own) > 0) & (F.length(plain) <= 160) & (plain.rlike(P.PAGE_LABEL) | (letters & ((upper_share(plain) > 0.72) | titled)))
+
+    def test(plain: Column) -> Column:
+        own = words(plain)
+        titled = (F.size(own) <= 8) & F.forall(own, lambda w: w.rlike(P.TITLE_WORD))
+        letters = plain.rlike(r"\p{L}")
+        return (F.size(own) > 0) & (F.length(plain) <= 160) & (plain.rlike(P.PAGE_LABEL) | (letters & ((upper_share(plain) > 0.72) | titled)))
+
+    return bound(plain_line(c), test)
 
 
 def edge_token(c: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stemma.functions import patterns as P
 from stemma.functions import text as T
 
 
@@ -40,7 +41,8 @@ def page_counts(edges: DataFrame) -> DataFrame:
 
 def repeated_signatures(edges: DataFrame) -> DataFrame:
     """(source, key, pages) of the signatures on enough pages. A page counts once for a signature."""
-    keys = edges.select("source", "page", T.line_signature(F.col("line")).alias("key")).where(F.length("key").between(3, 160)).distinct()
+    # Exploded, so that the filter reads the signature instead of computing it again.
+    keys = edges.select("source", "page", F.explode(F.array(T.line_signature(F.col("line")))).alias("key")).where(F.length("key").between(3, 160)).distinct()
     counts = keys.groupBy("source", "key").agg(F.count("*").alias("pages"))
     return counts.join(page_counts(edges), "source").where(F.col("pages") >= least_pages(F.col("n_pages"))).select("source", "key", "pages")
 
@@ -70,15 +72,15 @@ def common_tokens(edges: DataFrame) -> DataFrame:
 def decisions(edges: DataFrame, repeated: DataFrame, common: DataFrame) -> DataFrame:
     """KEEP, REMOVE or MERGE for each distinct edge line of a page, with the evidence and a confidence. Structural lines,
     such as chapter titles, are kept even if they repeat."""
-    keyed = edges.withColumns({"key": T.line_signature(F.col("line")), "text": F.trim("line")}).where("text <> ''")
+    keyed = edges.where(F.trim("line") != "").select("*", F.explode(F.array(F.struct(T.line_signature(F.col("line")).alias("key"), T.plain_line(F.col("line")).alias("plain")))).alias("x")).select(*edges.columns, "x.*")
     once = Window.partitionBy("source", "page", "position", "key").orderBy("line_no")
     keyed = keyed.withColumn("nth", F.row_number().over(once)).where("nth = 1").drop("nth")
     found = keyed.join(repeated.select("source", "key", F.lit(True).alias("repeated")), ["source", "key"], "left").join(common, ["source", "position"], "left")
-    tokens, wanted = T.words(T.plain_line(F.col("line"))), F.split("sample", r"\s+")
+    tokens, wanted = T.words(F.col("plain")), F.split("sample", r"\s+")
     n = F.size(wanted)
     own = F.when(F.col("position") == "header", F.slice(tokens, F.lit(1), n)).otherwise(F.slice(tokens, F.size(tokens) - n + 1, n))
     same = F.when(F.col("sample").isNotNull() & (F.size(tokens) >= n), F.transform(own, T.edge_token) == F.transform(wanted, T.edge_token)).otherwise(False)
-    flags = {"is_label": T.is_page_label(F.col("line")), "structural": T.is_structural_edge(F.col("line")), "repeated": F.coalesce("repeated", F.lit(False)), "common": same}
+    flags = {"is_label": F.col("plain").rlike(P.PAGE_LABEL), "structural": F.col("plain").rlike(P.STRUCTURAL_EDGE) | F.col("plain").rlike(P.NUMBERED_EDGE), "repeated": F.coalesce("repeated", F.lit(False)), "common": same}
     action = F.when(F.col("structural"), "KEEP").when(F.col("is_label") | F.col("repeated"), "REMOVE").when(F.col("common"), "MERGE").otherwise("KEEP")
     sure = F.when(F.col("structural"), 0.93).when(F.col("action") == "REMOVE", 0.9).when(F.col("action") == "MERGE", 0.82).otherwise(0.62)
     rest = F.when(F.col("position") == "header", F.slice(tokens, n + 1, F.size(tokens))).otherwise(F.slice(tokens, F.lit(1), F.size(tokens) - n))

@@ -30,7 +30,7 @@ def test_running_heads_go_and_chapters_stay(spark):
 
 
 def test_edges_run_on_over_labels(spark):
-    text = "1\n\n- 2 -\nANNUAL REPORT\nbody text that goes on and on\nmore of it\n9"
+    text = "1\n\n2 / 9\nANNUAL REPORT\nbody text that goes on and on\nmore of it\n9"
     edges = running.edge_lines(spark.createDataFrame([("a", 1, text), ("a", 2, "one\n" * 9), ("a", 3, " \n")], "source string, page long, text string")).collect()
     got = {(r.page, r.position): [] for r in edges}
     for r in sorted(edges, key=lambda r: r.line_no):
