@@ -211,7 +211,10 @@ def joined_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).select("source", "page", T.join_wrapped(F.split("text", "\n")).alias("joined"))
 
 
-@query("TXT01")
+_NORMAL = S.sub("nfc_normalize(text)", ("[\u200b-\u200d\u2060\ufeff\u00ad]", ""), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), (r"([\p{L}\p{N}\])}*_])‚(\s|[\p{L}\p{N}(\[\"“])", r"\1,\2"), (r"(?m)[ \t]+$", ""), (r"\n{4,}", "\n\n\n"), (r"^\s+|\s+\z", ""))
+
+
+@query("TXT01", f"WITH {PAGES_SQL} SELECT source, page, {_NORMAL} AS text FROM v_pages")
 def normalised_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stemma.functions.unicode import normal_form
 

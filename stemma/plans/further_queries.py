@@ -77,7 +77,7 @@ _METHODS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in BL.METHODS.items())
 
 
 @query(
-    "TXT27 VS05",
+    "TXT27",
     f"""WITH k AS (SELECT p_partkey, (['heading', 'paragraph', 'list', 'table', 'figure', 'equation', 'caption', 'other'])[p_size % 8 + 1] AS kind, CASE WHEN p_partkey % 9 = 0 THEN 'tesseract-ocr' WHEN p_partkey % 10 = 0 THEN '' END AS given, CASE WHEN p_partkey % 4 = 0 THEN p_retailprice / 1000 END AS c FROM part),
 m AS (SELECT *, coalesce(nullif(given, ''), CASE kind {_METHODS} ELSE 'layout-text' END) AS method FROM k)
 SELECT p_partkey, method, CASE WHEN c IS NOT NULL THEN greatest(0, least(1, c)) WHEN regexp_matches(method, '(?i)ocr') THEN 0.72 ELSE 0.5 END::DOUBLE AS confidence,
@@ -93,7 +93,7 @@ def extraction_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SRC12 SNK05 SNK06",
+    "SNK05",
     """WITH e AS (SELECT *, CAST(json_extract(props, '$.k') AS INT) AS revision FROM events)
 SELECT user_id, event_type, event_id, revision FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM e WHERE revision >= 10) WHERE r = 1""",
 )
@@ -110,14 +110,20 @@ def workspace_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "SNK10 VAL12",
     """WITH m AS (SELECT o_orderpriority AS chart, strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS f FROM orders GROUP BY ALL)
-SELECT chart, count(*)::BIGINT AS rows, 'month,orders,finished' || chr(10) || string_agg(month || ',' || n || ',' || f, chr(10) ORDER BY month) AS csv, bool_and(try_cast(month || '-01' AS DATE) IS NOT NULL AND n >= f) AS valid FROM m GROUP BY chart""",
+SELECT chart, '{"$schema":"https://vega.github.io/schema/vega-lite/v5.json","data":{"values":[' || string_agg('{"month":"' || month || '","orders":' || n || ',"finished":' || f || '}', ',' ORDER BY month) || ']},"mark":"bar","encoding":{"x":{"field":"month","type":"temporal"},"y":{"field":"orders","type":"quantitative"}},"title":"' || chart || '"}' AS vega, count(*)::BIGINT AS rows, 'month,orders,finished' || chr(10) || string_agg(month || ',' || n || ',' || f, chr(10) ORDER BY month) AS csv, bool_and(try_cast(month || '-01' AS DATE) IS NOT NULL AND n >= f) AS valid FROM m GROUP BY chart""",
 )
 def chart_sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
     months = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("chart"), F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("f"))
     line = F.concat_ws(",", T.escape_csv(F.col("month")), "n", "f")
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("month", line.alias("line")))), lambda x: x["line"]), "\n")
     good = F.try_to_timestamp(F.concat("month", F.lit("-01"))).isNotNull() & (F.col("n") >= F.col("f"))
-    return months.groupBy("chart").agg(F.count("*").alias("rows"), F.concat(F.lit("month,orders,finished\n"), body).alias("csv"), F.bool_and(good).alias("valid"))
+    value = F.struct("month", F.col("n").alias("orders"), F.col("f").alias("finished"))
+    grouped = months.groupBy("chart").agg(F.count("*").alias("rows"), F.concat(F.lit("month,orders,finished\n"), body).alias("csv"), F.bool_and(good).alias("valid"), F.array_sort(F.collect_list(value)).alias("values"))
+    field = lambda name, kind: F.struct(F.lit(name).alias("field"), F.lit(kind).alias("type"))
+    schema = F.lit("https://vega.github.io/schema/vega-lite/v5.json").alias("$schema")
+    encoding = F.struct(field("month", "temporal").alias("x"), field("orders", "quantitative").alias("y"))
+    spec = F.struct(schema, F.struct("values").alias("data"), F.lit("bar").alias("mark"), encoding.alias("encoding"), F.col("chart").alias("title"))
+    return grouped.withColumn("vega", F.to_json(spec)).drop("values")
 
 
 _PATHS = "v_paths AS (SELECT p_mfgr_like AS bundle, path, p_size::BIGINT AS bytes FROM (SELECT p_brand AS p_mfgr_like, (['docs/', '/', '../', 'a//b/', 'C:', 'ok/./', 'x\\'])[p_size % 7 + 1] || replace(p_name, ' ', '_') AS path, p_size FROM part))"
@@ -213,10 +219,18 @@ def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("source", "page", "paragraph").agg(F.min("line_no").alias("first"), F.count("*").alias("lines"), M.ordered_text(["line_no"], separator=" ").alias("text"))
 
 
-@query("WN16 SNK07")
+_DRAWN = r"(?:\+[-=]{3,}\+|[-=]{4,}|_{4,}|\|.*\|)"
+
+
+@query(
+    "WN16",
+    f"""WITH {GEOMETRY_SQL}, d AS (SELECT *, {S.hit("line", _DRAWN)} AS drawn, row_number() OVER (PARTITION BY source, page ORDER BY line_no) AS i FROM v_geom),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY source, page ORDER BY line_no) AS island FROM d WHERE drawn)
+SELECT source, page, min(line_no)::INT AS first, max(line_no)::INT AS last, count(*)::BIGINT AS n, string_agg(line, chr(10) ORDER BY line_no) AS text FROM g GROUP BY source, page, island HAVING count(*) >= 2""",
+)
 def diagram_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of drawn lines, two of them plainly drawn."""
-    drawn = F.col("line").rlike(r"(?:\+[-=]{3,}\+|[-=]{4,}|_{4,}|\|.*\|)")
+    drawn = F.col("line").rlike(_DRAWN)
     rows = L.islands(geometry_of(lines_of(pages(spark, sf_dir))), ["source", "page"], "line_no", drawn).where("island is not null")
     return rows.groupBy("source", "page", "island").agg(F.min("line_no").alias("first"), F.max("line_no").alias("last"), F.count("*").alias("n"), M.ordered_text(["line_no"]).alias("text")).where("n >= 2").drop("island")
 
@@ -228,6 +242,11 @@ def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("source", "page", (F.col("line_no") * 100_000 + F.col("i")).cast("long").alias("no"), "text", x.alias("x0"), F.col("y0").cast("double").alias("y0"), (x + 35).alias("x1"), (F.col("y0") + 10.0 + F.col("i") % 3).alias("y1"))
 
 
+_SPANS = f"""{GEOMETRY_SQL},
+v_spans AS (SELECT source, page, line_no::BIGINT * 100000 + i AS no, line_no, text, x0 + i * 40.0 AS x0, y0::DOUBLE AS y0, x0 + i * 40.0 + 35 AS x1, y0 + 10.0 + i % 3 AS y1
+    FROM (SELECT *, unnest(w) AS text, generate_subscripts(w, 1) - 1 AS i FROM (SELECT *, {S.words("trim(line)")} AS w FROM v_geom)))"""
+
+
 @query("WN03")
 def span_line_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FO.spans_to_lines(_spans(spark, sf_dir), ["source", "page"]).groupBy("source", "page", "line_no").agg(F.count("*").alias("spans"), F.min("x0").alias("x0"), F.max("x1").alias("x1"))
@@ -238,13 +257,28 @@ def visual_line_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FO.merge_visual_lines(_spans(spark, sf_dir).withColumn("size", F.lit(10.0)), ["source", "page"]).select("source", "page", "no", "text", "x0", "x1")
 
 
-@query("WN05")
+@query(
+    "WN05",
+    f"""WITH RECURSIVE {_SPANS}, s AS (SELECT source, page, y0 AS y, row_number() OVER (PARTITION BY source, page ORDER BY y0) AS i FROM v_spans),
+f AS (SELECT source, page, i, y, 0 AS row_no, y AS mean, 1 AS n FROM s WHERE i = 1
+    UNION ALL SELECT s.source, s.page, s.i, s.y, CASE WHEN abs(s.y - mean) > 7.2 THEN row_no + 1 ELSE row_no END, CASE WHEN abs(s.y - mean) > 7.2 THEN s.y ELSE mean + (s.y - mean) / (n + 1) END, CASE WHEN abs(s.y - mean) > 7.2 THEN 1 ELSE n + 1 END
+    FROM f JOIN s ON s.source = f.source AND s.page = f.page AND s.i = f.i + 1)
+SELECT source, page, row_no::BIGINT AS row_no, count(*)::BIGINT AS n, min(y) AS y FROM f GROUP BY source, page, row_no""",
+)
 def row_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _spans(spark, sf_dir).select("source", "page", F.col("y0").alias("y"))
     return FO.rows_by_drifting_mean(items, ["source", "page"]).groupBy("source", "page", "row_no").agg(F.count("*").alias("n"), F.min("y").alias("y"))
 
 
-@query("WN18")
+@query(
+    "WN18",
+    f"""WITH {_SPANS}, c AS (SELECT source, page, line_no, min(y0) AS y, list_sort(list(x0)) AS starts, bool_and(length(text) <= 90 AND NOT {S.hit("text", "[{}]")}) AS short FROM v_spans GROUP BY source, page, line_no),
+a AS (SELECT *, row_number() OVER w AS i, y - lag(y) OVER w AS gap FROM c WHERE short AND len(starts) BETWEEN 2 AND 8 WINDOW w AS (PARTITION BY source, page ORDER BY line_no)),
+p AS (SELECT b.source, b.page, b.i, b.line_no AS first, len(b.starts) AS columns, e.line_no AS last,
+    bool_and(e.i = b.i OR (len(e.starts) = len(b.starts) AND e.gap <= 52 AND len(list_filter(list_zip(e.starts, b.starts), lambda x: abs(x[1] - x[2]) > 22)) = 0)) OVER (PARTITION BY b.source, b.page, b.i ORDER BY e.i) AS ok FROM a b JOIN a e ON e.source = b.source AND e.page = b.page AND e.i >= b.i),
+r AS (SELECT source, page, i, first, columns, max(last) AS last, count(*) AS n FROM p WHERE ok GROUP BY ALL)
+SELECT source, page, first::BIGINT AS first, last::BIGINT AS last, columns::BIGINT AS columns FROM (SELECT *, row_number() OVER (PARTITION BY source, page ORDER BY n DESC, i) AS k FROM r WHERE n >= 3) WHERE k = 1""",
+)
 def aligned_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = _spans(spark, sf_dir).withColumn("row_no", F.floor(F.col("no") / 100_000))
     return FO.longest_aligned_run(FO.cell_rows(cells, ["source", "page"]), ["source", "page"])
@@ -255,7 +289,14 @@ def vector_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FO.group_by_proximity(_spans(spark, sf_dir).drop("text"), ["source", "page"], 24.0)
 
 
-@query("EQ14")
+@query(
+    "EQ14",
+    f"""WITH RECURSIVE {GEOMETRY_SQL}, k AS (SELECT source, page, line_no, line, y0, {S.hit("line", "[=|&%#]")} AS eq FROM v_geom),
+s AS (SELECT *, row_number() OVER (PARTITION BY source, page, line ORDER BY line_no) AS i FROM k WHERE eq),
+f AS (SELECT source, page, line, line_no, i, y0 AS last, true AS kept FROM s WHERE i = 1
+    UNION ALL SELECT s.source, s.page, s.line, s.line_no, s.i, CASE WHEN abs(s.y0 - last) > 32 THEN s.y0 ELSE last END, abs(s.y0 - last) > 32 FROM f JOIN s ON s.source = f.source AND s.page = f.page AND s.line = f.line AND s.i = f.i + 1)
+SELECT source, page, line_no AS no, 'text' AS kind FROM k WHERE NOT eq UNION ALL SELECT source, page, line_no, 'equation' FROM f WHERE kept""",
+)
 def equation_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = geometry_of(lines_of(pages(spark, sf_dir)))
     kind = F.when(F.col("line").rlike("[=|&%#]"), "equation").otherwise("text")
@@ -263,7 +304,14 @@ def equation_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FO.dedupe_nearby(entries, ["source", "page"]).select("source", "page", "no", "kind")
 
 
-@query("SM04")
+@query(
+    "SM04",
+    """WITH RECURSIVE c AS (SELECT user_id::VARCHAR AS job_id, CAST(json_extract(props, '$.k') AS BIGINT) % 5 AS number, event_type AS sha256, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+f AS (SELECT job_id, 0::BIGINT AS i, 0::BIGINT AS number, '' AS sha256, NULL::VARCHAR AS verdict, []::VARCHAR[] AS known FROM c GROUP BY job_id
+    UNION ALL SELECT c.job_id, c.i, c.number, c.sha256, CASE WHEN c.number = len(known) THEN 'accepted' WHEN c.number > len(known) THEN 'out-of-order' WHEN known[c.number + 1] = c.sha256 THEN 'repeated' ELSE 'conflict' END,
+        CASE WHEN c.number = len(known) THEN list_append(known, c.sha256) ELSE known END FROM f JOIN c ON c.job_id = f.job_id AND c.i = f.i + 1)
+SELECT job_id, number AS chunk_sequence, sha256, verdict FROM f WHERE verdict IS NOT NULL""",
+)
 def chunk_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stemma.streaming.jobs import chunk_verdicts as judge
 
@@ -272,7 +320,7 @@ def chunk_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(rows)
 
 
-@query("RM05 WN15 WN04 WN23")
+@query("RM05")
 def cleaned_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The steps in their order: normalise, take running matter out, mend headings, mend wrapped words, join."""
     rows = pages(spark, sf_dir).withColumn("text", T.normalise_text(F.col("text")))

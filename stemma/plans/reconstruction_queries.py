@@ -80,7 +80,11 @@ def table_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TB.to_html(_table_cells(spark, sf_dir))
 
 
-@query("SRC14")
+@query(
+    "SRC14",
+    f"""WITH {LINES_SQL}, r AS (SELECT *, {S.hit("line", r"^\s*\|?\s*:?-{3,}:?\s*(?:\|\s*:?-{3,}:?\s*)*\|?\s*$")} AS separator, replace(trim(line), chr(92) || '|', chr(1)) AS held FROM v_lines WHERE {S.hit("trim(line)", r"^\|.*\|$")})
+SELECT source, page, line_no, CASE WHEN NOT separator THEN list_transform(string_split({S.sub("held", (r"^\||\|$", ""))}, '|'), lambda x: trim(replace(x, chr(1), '|'))) END AS cells FROM r""",
+)
 def markdown_table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines_of(pages(spark, sf_dir)).where(F.trim("line").rlike(r"^\|.*\|$"))
     return TB.parse_markdown(rows).select("source", "page", "line_no", "cells")
@@ -159,7 +163,7 @@ def flowchart_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "JN13 VS03 ST09",
+    "JN13 ST09",
     f"""WITH {_DIAGRAMS}, a AS (SELECT DISTINCT diagram, source, target, true AS l FROM v_edges WHERE connector % 3 < 2), b AS (SELECT DISTINCT diagram, source, target, true AS r FROM v_edges WHERE connector % 3 > 0),
 c AS (SELECT diagram, count(*) FILTER (l AND r) AS common, count(*) FILTER (r IS NULL) AS only_left, count(*) FILTER (l IS NULL) AS only_right FROM a FULL JOIN b USING (diagram, source, target) GROUP BY diagram),
 d AS (SELECT *, round((only_left + only_right) / greatest(1, common + only_left + only_right), 6)::DOUBLE AS contradiction FROM c)
@@ -302,7 +306,7 @@ def process_tree_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SRC07 SRC09",
+    "SRC07",
     """WITH w AS (SELECT l_orderkey AS page, 1 + l_linenumber % 2 AS block, 1 AS par, 1 + l_suppkey % 3 AS line, l_linenumber AS word, (l_partkey % 97 - 3)::DOUBLE AS conf, CASE WHEN l_partkey % 31 = 0 THEN ' ' ELSE l_linestatus || l_linenumber END AS text, l_linenumber * 40.0 AS x0, 10.0 * (l_suppkey % 3) AS y0, CASE WHEN l_partkey % 23 = 0 THEN 4 ELSE 5 END AS level FROM lineitem)
 SELECT page, block, par, line, string_agg(trim(text), ' ' ORDER BY word, trim(text)) AS text, min(x0)::DOUBLE AS x0, min(y0)::DOUBLE AS y0, max(x0 + 30)::DOUBLE AS x1, max(y0 + 8)::DOUBLE AS y1, round(avg(conf) / 100, 6) AS confidence FROM w WHERE level = 5 AND conf >= 0 AND trim(text) <> '' GROUP BY page, block, par, line""",
 )

@@ -62,7 +62,7 @@ def idempotent_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SM07 SM08 AG18",
+    "SM07",
     """WITH g AS (SELECT *, CASE WHEN epoch_ms(ts) - epoch_ms(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) > 1800000 THEN 1 ELSE 0 END AS new FROM events),
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session_no FROM g)
 SELECT user_id, session_no::BIGINT AS session_no, min(ts) AS first, max(ts) AS last, count(*)::BIGINT AS n, last(event_type ORDER BY ts, event_id) AS last_event, last(event_type ORDER BY ts, event_id) <> 'purchase' AS abandoned FROM s GROUP BY user_id, session_no""",
@@ -102,7 +102,7 @@ def progress_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SRC11 VAL02",
+    "SRC11",
     """WITH r AS (SELECT p_partkey, p_size || '-' || (p_size + 3) || ', ' || (p_size % 7 + 1) || CASE WHEN p_size % 11 = 0 THEN ', x' ELSE '' END AS asked FROM part),
 p AS (SELECT p_partkey, asked, trim(unnest(string_split(asked, ','))) AS part FROM r),
 n AS (SELECT p_partkey, asked, regexp_matches(part, '^\\d+(\\s*-\\s*\\d+)?$') AS ok, try_cast(regexp_extract(part, '^(\\d+)', 1) AS INT) AS a, coalesce(try_cast(nullif(regexp_extract(part, '^\\d+\\s*-\\s*(\\d+)$', 1), '') AS INT), try_cast(regexp_extract(part, '^(\\d+)', 1) AS INT)) AS b FROM p)
