@@ -168,7 +168,20 @@ def document_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("source").agg(F.count("*").alias("pages"), M.ordered_text(["page"], separator="\n\n").alias("markdown"))
 
 
-@query("TXT10")
+_HEADED = r"^\s*(#{1,6})\s+(.+?)\s*$"
+_TITLE = f"trim({S.sub(f"regexp_extract(line, {S.q(_HEADED)}, 2)", (r"\s+", " "))})"
+
+
+@query(
+    "TXT10",
+    f"""WITH RECURSIVE {PAGES_SQL}, l AS (SELECT source, page, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM v_pages),
+h AS (SELECT *, {_TITLE} AS title, length(regexp_extract(line, {S.q(_HEADED)}, 1)) AS own, row_number() OVER (PARTITION BY source, page ORDER BY n) AS i FROM l WHERE {S.hit("line", _HEADED)}),
+w AS (SELECT *, CASE WHEN {S.hit("title", P.NUMBERED_TITLE)} THEN least(6, len(string_split(regexp_extract(title, {S.q(P.NUMBERED_TITLE)}, 1), '.'))) WHEN {S.hit("title", P.CHAPTER)} THEN 1 END AS fixed FROM h),
+f AS (SELECT source, page, 0::BIGINT AS i, 0::BIGINT AS n, 0::BIGINT AS level, '' AS key, false AS gone, '' AS title FROM w GROUP BY source, page
+    UNION ALL SELECT w.source, w.page, w.i, w.n, CASE WHEN w.title = '' OR lower(w.title) = f.key THEN f.level ELSE coalesce(w.fixed, CASE WHEN f.level > 0 AND w.own > f.level + 1 THEN f.level + 1 ELSE w.own END) END,
+        CASE WHEN w.title = '' THEN f.key ELSE lower(w.title) END, w.title = '' OR lower(w.title) = f.key, w.title FROM f JOIN w ON w.source = f.source AND w.page = f.page AND w.i = f.i + 1)
+SELECT l.source, l.page, coalesce(string_agg(CASE WHEN f.n IS NULL THEN l.line ELSE repeat('#', f.level::INT) || ' ' || f.title END, chr(10) ORDER BY l.n) FILTER (NOT coalesce(f.gone, false)), '') AS outline FROM l LEFT JOIN f ON f.i > 0 AND f.source = l.source AND f.page = l.page AND f.n = l.n GROUP BY l.source, l.page""",
+)
 def heading_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.heading_hierarchy(pages(spark, sf_dir)).select("source", "page", "outline")
 

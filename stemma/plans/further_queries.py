@@ -247,12 +247,32 @@ v_spans AS (SELECT source, page, line_no::BIGINT * 100000 + i AS no, line_no, te
     FROM (SELECT *, unnest(w) AS text, generate_subscripts(w, 1) - 1 AS i FROM (SELECT *, {S.words("trim(line)")} AS w FROM v_geom)))"""
 
 
-@query("WN03")
+@query(
+    "WN03",
+    f"""WITH RECURSIVE {_SPANS}, s AS (SELECT *, row_number() OVER (PARTITION BY source, page ORDER BY y0, x0, no) AS i FROM v_spans),
+f AS (SELECT source, page, 0::BIGINT AS i, NULL::DOUBLE AS x0, NULL::DOUBLE AS x1, NULL::BIGINT AS slot, []::STRUCT(a DOUBLE, b DOUBLE)[] AS bands FROM s GROUP BY source, page
+    UNION ALL SELECT source, page, i, x0, x1, slot, CASE WHEN slot > len(bands) THEN list_append(bands, struct_pack(a := y0, b := y1))
+        ELSE list_concat(list_concat(bands[:slot - 1], [struct_pack(a := least(bands[slot].a, y0), b := greatest(bands[slot].b, y1))]), bands[slot + 1:]) END
+    FROM (SELECT s.source, s.page, s.i, s.x0, s.x1, s.y0, s.y1, f.bands, coalesce(list_position(list_transform(f.bands, lambda x: least(x.b - x.a, s.y1 - s.y0) > 0 AND (least(x.b, s.y1) - greatest(x.a, s.y0)) / least(x.b - x.a, s.y1 - s.y0) >= 0.5), true), len(f.bands) + 1)::BIGINT AS slot
+        FROM f JOIN s ON s.source = f.source AND s.page = f.page AND s.i = f.i + 1))
+SELECT source, page, slot - 1 AS line_no, count(*)::BIGINT AS spans, min(x0) AS x0, max(x1) AS x1 FROM f WHERE slot IS NOT NULL GROUP BY source, page, slot""",
+)
 def span_line_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FO.spans_to_lines(_spans(spark, sf_dir), ["source", "page"]).groupBy("source", "page", "line_no").agg(F.count("*").alias("spans"), F.min("x0").alias("x0"), F.max("x1").alias("x1"))
 
 
-@query("WN01")
+_JOINED = "s.x0 + 4.5 >= f.x0 AND greatest(0, s.x0 - f.x1, f.x0 - s.x1) <= 8.5 AND ((least(s.y1 - s.y0, f.y1 - f.y0) > 0 AND (least(s.y1, f.y1) - greatest(s.y0, f.y0)) / least(s.y1 - s.y0, f.y1 - f.y0) >= 0.2) OR abs(s.y1 - f.y1) <= 4.2)"
+
+
+@query(
+    "WN01",
+    f"""WITH RECURSIVE {_SPANS}, s AS (SELECT *, row_number() OVER (PARTITION BY source, page ORDER BY no) AS i FROM v_spans WHERE trim(text) <> ''),
+f AS (SELECT source, page, i, no, text, x0, y0, x1, y1 FROM s WHERE i = 1
+    UNION ALL SELECT s.source, s.page, s.i, CASE WHEN {_JOINED} THEN f.no ELSE s.no END, CASE WHEN {_JOINED} THEN f.text || CASE WHEN s.x0 - f.x1 <= 1 OR f.text LIKE '% ' THEN '' ELSE ' ' END || s.text ELSE s.text END,
+        CASE WHEN {_JOINED} THEN least(f.x0, s.x0) ELSE s.x0 END, CASE WHEN {_JOINED} THEN least(f.y0, s.y0) ELSE s.y0 END, CASE WHEN {_JOINED} THEN greatest(f.x1, s.x1) ELSE s.x1 END, CASE WHEN {_JOINED} THEN greatest(f.y1, s.y1) ELSE s.y1 END
+    FROM f JOIN s ON s.source = f.source AND s.page = f.page AND s.i = f.i + 1)
+SELECT source, page, no, max_by(text, i) AS text, max_by(x0, i) AS x0, max_by(x1, i) AS x1 FROM f GROUP BY source, page, no""",
+)
 def visual_line_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FO.merge_visual_lines(_spans(spark, sf_dir).withColumn("size", F.lit(10.0)), ["source", "page"]).select("source", "page", "no", "text", "x0", "x1")
 

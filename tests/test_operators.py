@@ -238,3 +238,27 @@ def test_unicode_forms(spark):
 
     row = spark.createDataFrame([("éﬁ",), (None,), ("abc",)], "t string").select(T.normalise_text(normal_form(F.col("t"))).alias("x")).collect()
     assert [r.x for r in row] == ["éfi", None, "abc"]
+
+
+def test_page_table_from_aligned_lines(spark):
+    from stemma.operators.contracts import page_tables
+
+    def page(n, rows, shift=0.0):
+        return [(n, 10 * r + c, text, 50.0 + 150 * c + (shift if r == 1 else 0), 100.0 + 14 * r, 150.0 + 150 * c, 110.0 + 14 * r) for r, own in enumerate(rows) for c, text in enumerate(own)]
+
+    grid = [["Name", "Sum"], ["a", "1"], ["b", "2"], ["c", "3"]]
+    rows = page(1, grid) + page(2, grid, 40.0) + page(3, [["with the best", "from that"], *grid[:2]]) + page(4, grid[:2]) + page(5, [*grid, ["alone"]]) + page(6, [*grid, *[["x", "y", "z"]] * 5])
+    items = spark.createDataFrame(rows, "page long, no long, text string, x0 double, y0 double, x1 double, y1 double")
+    got = {r.page: (r.rows, r.columns, r.confidence, r.cells) for r in page_tables(items, ["page"]).collect()}
+    assert got[1] == (4, 2, 0.99, grid) and got[5] == (4, 2, 0.99, grid)  # a row of one cell is none of a table's
+    assert set(got) == {1, 5, 6}  # 2: starts differ; 3: prose; 4: too few lines
+    assert got[6][:3] == (5, 3, 0.889)
+
+
+def test_results_are_kept_within_bounds_and_released(spark):
+    from stemma.operators.contracts import retained
+
+    rows = [("s", i, "result", i, 10) for i in range(3)] + [("s", 3, "ack", 0, 0), ("s", 4, "result", 4, 10), ("s", 5, "result", 5, 1), ("t", 0, "result", 0, 26), ("t", 1, "result", 1, 25)]
+    events = spark.createDataFrame(rows, "session string, at long, kind string, job long, bytes long")
+    got = {(r.session, r.job): r.kept for r in retained(events, "session", ["at"], 3, 25).collect()}
+    assert got == {("s", 0): True, ("s", 1): True, ("s", 2): False, ("s", 4): True, ("s", 5): True, ("t", 0): False, ("t", 1): True}
