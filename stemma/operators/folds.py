@@ -223,3 +223,84 @@ def longest_aligned_run(rows: DataFrame, keys: list[str], tolerance: float = 22.
 
     kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
     return rows.groupBy(*keys).applyInPandas(run, f"{kinds}, first long, last long, columns long")
+
+
+def fragments_on_a_line(boxes: DataFrame, keys: list[str], shared: float = 0.65, alike: float = 0.55, gap: float = 12.0, gap_share: float = 1.1) -> DataFrame:
+    """boxes (keys, no, x0, y0, x1, y1) -> (keys, x0, y0, x1, y1): boxes of about one height on one visual line become one, until no two
+    can any more. A box takes in all it touches, grows and looks again; boxes one below the other stay apart."""
+    import numpy as np
+
+    def merge(part: pd.DataFrame) -> np.ndarray:
+        done = np.zeros((0, 4))
+        for box in part.sort_values("no")[["x0", "y0", "x1", "y1"]].to_numpy(float):
+            while len(done):
+                heights = np.maximum(1.0, done[:, 3] - done[:, 1])
+                own = max(1.0, box[3] - box[1])
+                low, high = np.minimum(heights, own), np.maximum(heights, own)
+                lower = np.minimum(done[:, 3] - done[:, 1], box[3] - box[1])
+                down = np.minimum(done[:, 3], box[3]) - np.maximum(done[:, 1], box[1])
+                over = np.where(lower > 0, np.maximum(0, down) / np.where(lower > 0, lower, 1), 0)
+                apart = np.maximum(0, np.maximum(done[:, 0], box[0]) - np.minimum(done[:, 2], box[2]))
+                near = np.flatnonzero((over >= shared) & (low / high >= alike) & (apart <= np.maximum(gap, low * gap_share)))
+                if not len(near):
+                    break
+                other = done[near[0]]
+                box = np.array([*np.minimum(box[:2], other[:2]), *np.maximum(box[2:], other[2:])])
+                done = np.delete(done, near[0], axis=0)
+            done = np.vstack([done, box])
+        return done[np.lexsort((done[:, 0], done[:, 1]))]
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame(merge(part), columns=["x0", "y0", "x1", "y1"])
+        for i, k in enumerate(keys):
+            out.insert(i, k, part[k].iloc[0])
+        return out
+
+    kinds = ", ".join(f"`{k}` {boxes.schema[k].dataType.simpleString()}" for k in keys)
+    return boxes.groupBy(*keys).applyInPandas(run, f"{kinds}, x0 double, y0 double, x1 double, y1 double")
+
+
+def split_by_baseline(chars: DataFrame, keys: list[str]) -> DataFrame:
+    """chars (keys, no, text, x0, y0, x1, y1, size) of one captured line each -> adds part: 0 where all characters lie about one height, else the
+    number, from above, of the visual line that a character's middle belongs to. First fit against a line's mean."""
+    import numpy as np
+
+    def parts(own: pd.DataFrame) -> np.ndarray:
+        middle = ((own["y0"] + own["y1"]) / 2).to_numpy()
+        heights = np.sort((own["y1"] - own["y0"]).to_numpy())
+        typical = max(4.0, heights[len(heights) // 2])
+        if len(own) < 2 or np.ptp(middle) <= typical * 0.8:
+            return np.zeros(len(own), dtype=int)
+        centre: list[float] = []
+        held: list[list[float]] = []
+        at = np.zeros(len(own), dtype=int)
+        size = own["size"].to_numpy()
+        for i in np.lexsort((own["x0"].to_numpy(), middle)):
+            g = next((j for j, c in enumerate(centre) if abs(middle[i] - c) <= max(2.0, min(typical, size[i]) * 0.65)), len(centre))
+            if g == len(centre):
+                centre.append(0.0)
+                held.append([])
+            held[g].append(middle[i])
+            centre[g] = sum(held[g]) / len(held[g])
+            at[i] = g
+        rank = np.empty(len(centre), dtype=int)
+        rank[np.argsort(centre, kind="stable")] = np.arange(len(centre))
+        return rank[at]
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        return own.assign(part=parts(own))
+
+    from pyspark.sql import types as t
+
+    return chars.groupBy(*keys).applyInPandas(run, t.StructType([*chars.schema.fields, t.StructField("part", t.LongType())]))
+
+
+def graphics(groups: DataFrame, keys: list[str], width: float = 612.0, height: float = 792.0, most: int = 10) -> DataFrame:
+    """groups of group_by_proximity() -> those that are graphics: of 4 members or more, a part of the page between .004 and .65, wider than .12
+    and higher than .025 of it; the first ten of a page, which is what a page reports."""
+    from pyspark.sql import Window
+
+    across, down = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    share = across * down / (width * height)
+    good = groups.where((F.col("n") >= 4) & (share >= 0.004) & (share < 0.65) & (across > width * 0.12) & (down > height * 0.025))
+    return good.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("group_no"))).where(F.col("r") <= most).drop("r")

@@ -93,6 +93,15 @@ def to_mermaid(nodes: DataFrame, edges: DataFrame, key: str, direction: str = "T
     return n.unionByName(e).groupBy(key).agg(F.concat(F.lit(f"flowchart {direction}\n"), body).alias("mermaid"))
 
 
+def to_plantuml(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """(key, plantuml): a package diagram in text, nodes then edges, in order of their ids."""
+    label = F.regexp_replace(F.col("label"), r'["\[\]{}<>|`]', " ")
+    n = nodes.select(key, F.lit(0).alias("part"), F.col("node").cast("string").alias("a"), F.lit("").alias("b"), F.concat(F.lit('package "'), label, F.lit('" as n'), "node").alias("line"))
+    e = edges.select(key, F.lit(1).alias("part"), F.col("source").cast("string").alias("a"), F.col("target").cast("string").alias("b"), F.concat(F.lit("n"), "source", F.lit(" ..> n"), "target").alias("line"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "a", "b", "line"))), lambda x: x["line"]), "\n")
+    return n.unionByName(e).groupBy(key).agg(F.concat(F.lit("@startuml\n"), body, F.lit("\n@enduml")).alias("plantuml"))
+
+
 def output_format(plantuml: Column, mermaid: Column) -> Column:
     """Which text form of a diagram is written: plantuml, mermaid or its source."""
     return F.when(plantuml, "plantuml").when(mermaid, "mermaid").otherwise("source")

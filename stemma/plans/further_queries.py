@@ -304,9 +304,25 @@ def aligned_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FO.longest_aligned_run(FO.cell_rows(cells, ["source", "page"]), ["source", "page"])
 
 
-@query("")
+@query("WN21")
 def vector_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return FO.group_by_proximity(_spans(spark, sf_dir).drop("text"), ["source", "page"], 24.0)
+    groups = FO.group_by_proximity(_spans(spark, sf_dir).drop("text"), ["source", "page"], 24.0)
+    return FO.graphics(groups, ["source", "page"])
+
+
+@query("WN20")
+def image_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other word of a line as an image: those near each other on the line become one."""
+    return FO.fragments_on_a_line(_spans(spark, sf_dir).where("no % 100000 % 5 <> 3").drop("text"), ["source", "page"])
+
+
+@query("WN19")
+def collapsed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two lines of a page captured as one, and the visual lines it is split into."""
+    spans = _spans(spark, sf_dir).withColumn("size", F.lit(10.0)).withColumn("capture", F.floor(F.col("no") / 200_000))
+    parts = FO.split_by_baseline(spans, ["source", "page", "capture"])
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "no", "text"))), lambda x: x["text"]), " ")
+    return parts.groupBy("source", "page", "capture", "part").agg(text.alias("text"))
 
 
 @query(

@@ -198,6 +198,17 @@ def diagram_mermaid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.to_mermaid(nodes, edges.select("diagram", "source", "target").distinct(), "diagram")
 
 
+@query(
+    "SNK11",
+    f"""WITH {_DIAGRAMS}, n AS (SELECT s_suppkey % 5 AS diagram, 0 AS part, s_suppkey::VARCHAR AS a, '' AS b, 'package "' || {S.sub("s_name", (r'["\[\]{}<>|`]', " "))} || '" as n' || s_suppkey AS line FROM supplier
+    UNION ALL SELECT DISTINCT diagram, 1, source::VARCHAR, target::VARCHAR, 'n' || source || ' ..> n' || target FROM v_edges)
+SELECT diagram, '@startuml' || chr(10) || string_agg(line, chr(10) ORDER BY part, a, b) || chr(10) || '@enduml' AS plantuml FROM n GROUP BY diagram""",
+)
+def diagram_plantuml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = _edges(spark, sf_dir)
+    return V.to_plantuml(nodes, edges.select("diagram", "source", "target").distinct(), "diagram")
+
+
 _MANIFEST = f"""v_files AS (SELECT lang AS bundle, coalesce(nullif(substr({S.sub("source", (r"[^A-Za-z0-9._-]+", "-"), (r"^-+|-+$", ""))}, 1, 120), ''), 'item') AS stem, octet_length(encode(text))::BIGINT AS bytes, sha256(text) AS sha256 FROM documents),
 v_manifest AS (SELECT bundle, 'documents/' || stem || CASE WHEN row_number() OVER w > 1 THEN '-' || row_number() OVER w ELSE '' END || '.md' AS path, bytes, sha256 FROM v_files WINDOW w AS (PARTITION BY bundle, stem ORDER BY sha256, bytes))"""
 

@@ -262,3 +262,30 @@ def test_results_are_kept_within_bounds_and_released(spark):
     events = spark.createDataFrame(rows, "session string, at long, kind string, job long, bytes long")
     got = {(r.session, r.job): r.kept for r in retained(events, "session", ["at"], 3, 25).collect()}
     assert got == {("s", 0): True, ("s", 1): True, ("s", 2): False, ("s", 4): True, ("s", 5): True, ("t", 0): False, ("t", 1): True}
+
+
+def test_fragments_join_until_none_can(spark):
+    boxes = [(1, 0, 0, 0, 10, 20), (1, 1, 40, 0, 50, 20), (1, 2, 20, 1, 30, 21), (1, 3, 0, 40, 10, 60), (1, 4, 60, 0, 70, 8), (2, 0, 0, 0, 5, 5)]
+    rows = spark.createDataFrame([(p, n, *map(float, b)) for p, n, *b in boxes], "page long, no long, x0 double, y0 double, x1 double, y1 double")
+    got = {}
+    for r in folds.fragments_on_a_line(rows, ["page"]).collect():
+        got.setdefault(r.page, set()).add((r.x0, r.y0, r.x1, r.y1))
+    # The third box bridges the first two; the fourth lies below; the fifth is too low.
+    assert got == {1: {(0, 0, 50, 21), (0, 40, 10, 60), (60, 0, 70, 8)}, 2: {(0, 0, 5, 5)}}
+
+
+def test_collapsed_line_is_split_by_baseline(spark):
+    def char(key, no, c, x, y):
+        return (key, no, c, float(x), float(y), x + 5.0, y + 10.0, 10.0)
+
+    rows = [char("a", i, c, 6 * i, i % 3) for i, c in enumerate("level")]
+    rows += [char("b", i, c, 6 * (i % 3), 30 - 15 * (i // 3)) for i, c in enumerate("belowabove"[:6])]
+    chars = spark.createDataFrame(rows, "line string, no long, text string, x0 double, y0 double, x1 double, y1 double, size double")
+    got = {(r.line, r.no): r.part for r in folds.split_by_baseline(chars, ["line"]).collect()}
+    assert got == {("a", i): 0 for i in range(5)} | {("b", i): 1 for i in range(3)} | {("b", i): 0 for i in range(3, 6)}
+
+
+def test_graphics_are_large_groups(spark):
+    rows = [(1, 0, 4, 0.0, 0.0, 100.0, 100.0), (1, 1, 3, 0.0, 0.0, 100.0, 100.0), (1, 2, 9, 0.0, 0.0, 60.0, 100.0), (1, 3, 9, 0.0, 0.0, 612.0, 792.0), (1, 4, 9, 0.0, 0.0, 300.0, 10.0)]
+    groups = spark.createDataFrame(rows, "page long, group_no long, n long, x0 double, y0 double, x1 double, y1 double")
+    assert [r.group_no for r in folds.graphics(groups, ["page"]).collect()] == [0]
