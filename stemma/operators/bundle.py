@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stemma.functions import text as T
-from stemma.operators.workflow import numbered
+from stemma.operators.workflow import numbered_in_stretches
 
 #: Bounds on a bundle. Fixed values.
 MOST_ENTRIES, MOST_BYTES = 4096, 768 * 1024 * 1024
@@ -17,7 +17,7 @@ def manifest(files: DataFrame, bundle: str, name: str, content: str, folder: str
     digest = F.sha2(F.encode(content, "UTF-8"), 256)
     rows = files.select(bundle, T.safe_identifier(F.col(name)).alias("stem"), F.octet_length(content).cast("long").alias("bytes"), digest.alias("sha256"))
     nth = F.col("nth")
-    rows = numbered(rows, [bundle, "stem"], ["sha256", "bytes"], F.substring("sha256", 1, 3))
+    rows = numbered_in_stretches(rows, [bundle, "stem"], ["sha256", "bytes"], F.substring("sha256", 1, 3))
     rows = rows.withColumn("path", F.concat(F.lit(f"{folder}/"), "stem", F.when(nth > 1, F.concat(F.lit("-"), nth)).otherwise(""), F.lit(".md")))
     return rows.select(bundle, "path", "bytes", "sha256")
 

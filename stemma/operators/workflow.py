@@ -84,7 +84,7 @@ def page_ranges(requests: DataFrame, text: str, total: Column) -> DataFrame:
     return requests.withColumn("pages", F.when(good, pages))
 
 
-def numbered(rows: DataFrame, keys: list[str], order: list[str], stretch: Column) -> DataFrame:
+def numbered_in_stretches(rows: DataFrame, keys: list[str], order: list[str], stretch: Column) -> DataFrame:
     """Adds nth, from 1 in order within the keys, without a task that gets all rows of a key: rows are numbered inside stretches of
     the order, and only the stretches' sizes meet. stretch must rise with the order and be no other for equal rows."""
     rows = rows.withColumn("stretch", stretch)
@@ -96,7 +96,7 @@ def numbered(rows: DataFrame, keys: list[str], order: list[str], stretch: Column
 
 def batches(pages: DataFrame, done: DataFrame, document: str, page: str, size: int = 20) -> DataFrame:
     """(document, page, batch_no) of the pages that have no checkpoint yet."""
-    pending = numbered(pages.join(done, [document, page], "left_anti"), [document], [page], F.floor(F.col(page) / 4096))
+    pending = numbered_in_stretches(pages.join(done, [document, page], "left_anti"), [document], [page], F.floor(F.col(page) / 4096))
     return pending.withColumn("batch_no", F.floor((F.col("nth") - 1) / size)).drop("nth")
 
 

@@ -45,10 +45,10 @@ def test_merged_lines_keep_their_own_words(spark):
 
 
 def test_numbering_in_stretches(spark):
-    from stemma.operators.workflow import numbered
+    from stemma.operators.workflow import numbered_in_stretches
 
     rows = spark.createDataFrame([("a", i) for i in range(50)] + [("b", 3 * i) for i in range(9)], "d string, p long")
-    got = {(r.d, r.p): r.nth for r in numbered(rows, ["d"], ["p"], F.floor(F.col("p") / 7)).collect()}
+    got = {(r.d, r.p): r.nth for r in numbered_in_stretches(rows, ["d"], ["p"], F.floor(F.col("p") / 7)).collect()}
     assert got == {("a", i): i + 1 for i in range(50)} | {("b", 3 * i): i + 1 for i in range(9)}
 
 
