@@ -75,7 +75,8 @@ def overlap_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT a.source, a.page, a.line_no AS from_line, b.line_no AS to_line FROM kept a JOIN kept b ON a.source = b.source AND a.page = b.page AND b.line_no = a.line_no + 1""",
 )
 def relationship_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines, judged = _decisions(spark, sf_dir)
+    rows = pages(spark, sf_dir)
+    lines, judged = lines_of(rows), _decisions(rows)
     gone = judged.where("action = 'REMOVE'").select("source", "page", "line_no").distinct()
     kept = lines.join(gone, ["source", "page", "line_no"], "left_anti")
     follows = lines.select("source", "page", F.col("line_no").alias("from_line"), (F.col("line_no") + 1).alias("to_line"))
