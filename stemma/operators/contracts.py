@@ -166,3 +166,59 @@ def page_tables(items: DataFrame, keys: list[str], body: float = 10.0, width: fl
         return pd.DataFrame(rows, columns=[*keys, "rows", "columns", "confidence", "y", "cells"])
 
     return items.groupBy(*keys).applyInPandas(run, f"{kinds}, rows long, columns long, confidence double, y double, cells array<array<string>>")
+
+
+def table_evidence(items: DataFrame, rules: DataFrame, keys: list[str], body: float = 10.0, width: float = 612.0) -> DataFrame:
+    """items (keys, no, text, x0, y0, x1, y1): cells of a page; rules (keys, horizontal, vertical, caption): how many rules of each kind it has, and
+    its caption -> (keys, rows, columns, signals, diagnostics, detection, structure, disposition) of pages whose cells start at two places
+    again and again. What does not fit leaves a diagnostic and is never filled in."""
+    import math
+
+    kinds = ", ".join(f"`{k}` {items.schema[k].dataType.simpleString()}" for k in keys)
+
+    def found(part: pd.DataFrame) -> list | None:
+        part = part[(part["text"] != "") & (part["x1"] > part["x0"]) & (part["y1"] > part["y0"])]
+        if len(part) < 3:
+            return None
+        heights = sorted(part["y1"] - part["y0"])
+        reach = max(2.5, heights[len(heights) // 2] * 0.8)
+        rows: list[list] = []
+        for y, x0, x1 in sorted(zip((part["y0"] + part["y1"]) / 2, part["x0"], part["x1"], strict=True)):
+            if not rows or abs(y - rows[-1][0]) > reach:
+                rows.append([y, [], []])
+            rows[-1][1].append((x0, x1))
+            rows[-1][2].append(y)
+            rows[-1][0] = sum(rows[-1][2]) / len(rows[-1][2])
+        cells = [sorted(own) for _, own, _ in rows]
+        if len(cells) < 3 or max(map(len, cells)) < 2:
+            return None
+        near = max(body * 1.8, width * 0.018)
+        groups: list[list[float]] = []
+        for x in sorted(x for own in cells for x, _ in own):
+            if groups and x - groups[-1][-1] <= near:
+                groups[-1].append(x)
+            else:
+                groups.append([x])
+        centres = [sum(g) / len(g) for g in groups]
+        starts = [c for c in centres if sum(abs(x - c) <= near for own in cells for x, _ in own) >= max(2, math.ceil(len(cells) * 0.45))]
+        if len(starts) < 2:
+            return None
+        gaps = [b[0] - a[1] for own in cells for a, b in zip(own, own[1:], strict=False)]
+        level, upright, caption = int(part["horizontal"].iloc[0]), int(part["vertical"].iloc[0]), part["caption"].iloc[0]
+        signals = ["repeated-x-starts", "repeated-y-bands", "cell-like-boxes", "repeated-row-patterns"]
+        signals += ["whitespace-grid"] * (sum(g >= max(body * 1.45, 3) for g in gaps) >= max(2, len(cells) - 1))
+        signals += ["vector-rules"] * (level + upright > 0) + ["nearby-caption"] * bool(str(caption or "").strip())
+        whole = sum(len(own) == len(starts) for own in cells)
+        diagnostics = ["unresolved-cell"] * (whole != len(cells)) + ["borderless-evidence"] * (upright == 0)
+        share = whole / len(cells)
+        structure = min(0.98, 0.45 + share * 0.3 + min(0.2, len(starts) * 0.04) + (0.08 if level >= 3 else 0))
+        detection = min(0.98, 0.55 + 0.18 + (0.15 if level else 0))
+        sure = structure >= 0.82 and share == 1
+        return [len(cells), len(starts), signals, diagnostics, round(detection, 6), round(structure, 6), "reconstructed" if sure else "reconstructed-with-source" if structure >= 0.62 else "preserved-source"]
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        own = found(part)
+        return pd.DataFrame([[*(part[k].iloc[0] for k in keys), *own]] if own else [], columns=[*keys, "rows", "columns", "signals", "diagnostics", "detection", "structure", "disposition"])
+
+    marked = items.join(rules, keys, "left").fillna(0, ["horizontal", "vertical"])
+    return marked.groupBy(*keys).applyInPandas(run, f"{kinds}, rows long, columns long, signals array<string>, diagnostics array<string>, detection double, structure double, disposition string")

@@ -183,12 +183,24 @@ def ocr_reading_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.reading_rows(words, ["page"]).select("page", "no", "row_no", "rtl", "place")
 
 
+def _cell_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, p = F.col("l_linenumber"), F.col("l_partkey")
+    y = (F.col("l_orderkey") % 4 * 5 + F.floor((n - 1) / 2)) * 14.0
+    text = F.concat("l_returnflag", F.when(p % 19 == 0, F.lit(" and that")).otherwise(""))
+    x = (n - 1) % 2 * 200.0
+    return table(spark, sf_dir, "lineitem").select(
+        F.floor(F.col("l_orderkey") / 4).alias("page"), (F.col("l_orderkey") % 4 * 10 + n).alias("no"), text.alias("text"), (x + p % 3 * 9).alias("x0"), y.alias("y0"), (x + 100).alias("x1"), (y + 10).alias("y1")
+    )
+
+
 @query("TB02")
 def page_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, p = F.col("l_linenumber"), F.col("l_partkey")
-    row = F.floor((n - 1) / 2)
-    items = table(spark, sf_dir, "lineitem").select(
-        (F.floor(F.col("l_orderkey") / 4)).alias("page"), (F.col("l_orderkey") % 4 * 10 + n).alias("no"), F.concat("l_returnflag", F.when(p % 19 == 0, F.lit(" and that")).otherwise("")).alias("text"),
-        ((n - 1) % 2 * 200.0 + p % 3 * 9).alias("x0"), ((F.col("l_orderkey") % 4 * 5 + row) * 14.0).alias("y0"), ((n - 1) % 2 * 200.0 + 100).alias("x1"), ((F.col("l_orderkey") % 4 * 5 + row) * 14.0 + 10).alias("y1"),
-    )
-    return C.page_tables(items, ["page"])
+    return C.page_tables(_cell_items(spark, sf_dir), ["page"])
+
+
+@query("TB06")
+def table_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = F.col("o_orderkey")
+    page = F.floor(o / 4)
+    rules = table(spark, sf_dir, "orders").groupBy(page.alias("page")).agg(F.max(o % 5).cast("int").alias("horizontal"), F.max(o % 2).cast("int").alias("vertical"), F.max(F.when(o % 3 == 0, "Table 1")).alias("caption"))
+    return C.table_evidence(_cell_items(spark, sf_dir), rules, ["page"])

@@ -243,7 +243,7 @@ def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SPANS = f"""{GEOMETRY_SQL},
-v_spans AS (SELECT source, page, line_no::BIGINT * 100000 + i AS no, line_no, text, x0 + i * 40.0 AS x0, y0::DOUBLE AS y0, x0 + i * 40.0 + 35 AS x1, y0 + 10.0 + i % 3 AS y1
+v_spans AS (SELECT source, page, line_no::BIGINT * 100000 + i AS no, line_no, text, (x0 + i * 40)::DOUBLE AS x0, y0::DOUBLE AS y0, (x0 + i * 40 + 35)::DOUBLE AS x1, (y0 + 10 + i % 3)::DOUBLE AS y1
     FROM (SELECT *, unnest(w) AS text, generate_subscripts(w, 1) - 1 AS i FROM (SELECT *, {S.words("trim(line)")} AS w FROM v_geom)))"""
 
 

@@ -289,3 +289,22 @@ def test_graphics_are_large_groups(spark):
     rows = [(1, 0, 4, 0.0, 0.0, 100.0, 100.0), (1, 1, 3, 0.0, 0.0, 100.0, 100.0), (1, 2, 9, 0.0, 0.0, 60.0, 100.0), (1, 3, 9, 0.0, 0.0, 612.0, 792.0), (1, 4, 9, 0.0, 0.0, 300.0, 10.0)]
     groups = spark.createDataFrame(rows, "page long, group_no long, n long, x0 double, y0 double, x1 double, y1 double")
     assert [r.group_no for r in folds.graphics(groups, ["page"]).collect()] == [0]
+
+
+def test_table_evidence_signals_and_confidence(spark):
+    from stemma.operators.contracts import table_evidence
+
+    def page(n, rows):
+        return [(n, 10 * r + c, text, 50.0 + 150 * c, 100.0 + 14 * r, 100.0 + 150 * c, 110.0 + 14 * r) for r, own in enumerate(rows) for c, text in enumerate(own) if text]
+
+    full = [["a", "b", "c"]] * 4
+    rows = page(1, full) + page(2, [*full[:3], ["a", "", "c"]]) + page(3, [["a"], ["b"], ["c"]]) + page(4, full[:2]) + page(5, full)
+    items = spark.createDataFrame(rows, "page long, no long, text string, x0 double, y0 double, x1 double, y1 double")
+    rules = spark.createDataFrame([(1, 3, 2, "Table 1"), (2, 0, 0, None)], "page long, horizontal int, vertical int, caption string")
+    got = {r.page: r for r in table_evidence(items, rules, ["page"]).collect()}
+    assert set(got) == {1, 2, 5}  # 3: one column; 4: two rows
+    assert (got[1].rows, got[1].columns, got[1].detection, got[1].structure, got[1].disposition) == (4, 3, 0.88, 0.95, "reconstructed")
+    assert got[1].signals[-3:] == ["whitespace-grid", "vector-rules", "nearby-caption"] and got[1].diagnostics == []
+    assert (got[2].detection, got[2].structure, got[2].disposition) == (0.73, 0.795, "reconstructed-with-source")
+    assert got[2].diagnostics == ["unresolved-cell", "borderless-evidence"] and got[5].diagnostics == ["borderless-evidence"]
+    assert got[5].disposition == "reconstructed" and got[5].structure == 0.87
