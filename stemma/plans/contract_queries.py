@@ -204,3 +204,26 @@ def table_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = F.floor(o / 4)
     rules = table(spark, sf_dir, "orders").groupBy(page.alias("page")).agg(F.max(o % 5).cast("int").alias("horizontal"), F.max(o % 2).cast("int").alias("vertical"), F.max(F.when(o % 3 == 0, "Table 1")).alias("caption"))
     return C.table_evidence(_cell_items(spark, sf_dir), rules, ["page"])
+
+
+@query("WN15")
+def wrapped_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as entries; those in larger type are headings."""
+    from stemma.operators.headings import merge_wrapped
+    from stemma.sources.views import geometry_of, lines_of
+
+    placed = geometry_of(lines_of(pages(spark, sf_dir)))
+    raw = F.trim(F.regexp_replace("line", r"^#{1,6}\s+", ""))
+    markdown = F.when(F.col("size") > 10, F.concat(F.lit("# "), raw)).otherwise(F.col("line"))
+    entries = placed.select("source", "page", F.col("line_no").alias("no"), F.lit("text").alias("kind"), markdown.alias("markdown"), raw.alias("raw"), F.col("y0").cast("double").alias("y"))
+    return merge_wrapped(entries, ["source", "page"]).select("source", "page", "no", "markdown")
+
+
+@query("WN23")
+def split_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations' turns as captures of words, the first three in larger type."""
+    from stemma.operators.headings import split_capture
+
+    words = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split(F.concat(F.upper(F.substring("text", 1, 20)), F.substring("text", 21, 400), F.lit(" Table 2. Sums")), " ")).alias("no", "w"))
+    chars = words.select("conv_id", "turn", "no", F.concat("w", F.lit(" ")).alias("text"), F.when(F.col("no") < 3, 16.0).otherwise(10.0).alias("size"))
+    return split_capture(chars, ["conv_id", "turn"])

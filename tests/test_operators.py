@@ -308,3 +308,34 @@ def test_table_evidence_signals_and_confidence(spark):
     assert (got[2].detection, got[2].structure, got[2].disposition) == (0.73, 0.795, "reconstructed-with-source")
     assert got[2].diagnostics == ["unresolved-cell", "borderless-evidence"] and got[5].diagnostics == ["borderless-evidence"]
     assert got[5].disposition == "reconstructed" and got[5].structure == 0.87
+
+
+def test_wrapped_headings_become_one_and_repeats_go(spark):
+    from stemma.operators.headings import merge_wrapped
+
+    rows = [
+        (1, 0, "text", "# The Long Title", "The Long Title", 100.0), (1, 1, "text", "of the Book", "of the Book", 116.0), (1, 2, "text", "plain prose goes on here.", "plain prose goes on here.", 130.0),
+        (2, 0, "text", "A Message", "A Message", 10.0), (2, 1, "text", "said someone in a long line.", "said someone in a long line.", 60.0), (2, 2, "text", "## A  Message", "A  Message", 110.0),
+        (3, 0, "text", "# One", "One", 0.0), (3, 1, "text", "## Two", "Two", 10.0), (3, 2, "text", "## Far", "Far", 90.0), (3, 3, "table", "# Three", "Three", 95.0),
+    ]
+    entries = spark.createDataFrame(rows, "page long, no long, kind string, markdown string, raw string, y double")
+    got = {}
+    for r in sorted(merge_wrapped(entries, ["page"]).collect(), key=lambda r: (r.page, r.no)):
+        got.setdefault(r.page, []).append(r.markdown)
+    assert got == {1: ["# The Long Title of the Book", "plain prose goes on here."], 2: ["said someone in a long line.", "## A  Message"], 3: ["# One", "## Two", "## Far", "# Three"]}
+
+
+def test_captures_are_split_into_title_body_and_caption(spark):
+    from stemma.operators.headings import split_capture
+
+    def capture(key, title, rest):
+        return [(key, i, c, 16.0) for i, c in enumerate(title)] + [(key, len(title) + i, c, 10.0) for i, c in enumerate(rest)]
+
+    rows = capture("a", "BIG TITLE", " and then a body of many words. See Table 1 there. Figure 2.1: A plot") + capture("b", "", "only a body of words") + capture("c", "Lower title", " body words are here") + capture("d", "TOP", " rest is longer than the top")
+    chars = spark.createDataFrame(rows, "capture string, no long, text string, size double")
+    got = {}
+    for r in sorted(split_capture(chars, ["capture"]).collect(), key=lambda r: (r.capture, r.part)):
+        got.setdefault(r.capture, []).append((r.kind, r.text))
+    assert got["a"] == [("title", "BIG TITLE"), ("body", "and then a body of many words. See Table 1 there."), ("caption", "Figure 2.1: A plot")]
+    assert got["b"] == [("body", "only a body of words")] and got["c"] == [("body", "Lower title body words are here")]
+    assert got["d"] == [("title", "TOP"), ("body", "rest is longer than the top")]
