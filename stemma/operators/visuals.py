@@ -66,11 +66,29 @@ def classify(rows: DataFrame) -> DataFrame:
 
 def connector_ends(connectors: DataFrame, nodes: DataFrame, key: str, reach: float = 24.0) -> DataFrame:
     """connectors (key, connector, x0, y0, x1, y1), nodes (key, node, box) -> (key, connector, source, target): the nearest node to
-    each end within reach; both must exist and differ."""
-    ends = connectors.select(key, "connector", F.inline(F.array(F.struct(F.lit(0).alias("end"), F.col("x0").alias("x"), F.col("y0").alias("y")), F.struct(F.lit(1).alias("end"), F.col("x1").alias("x"), F.col("y1").alias("y")))))
-    near = ends.join(nodes, key).withColumn("d", G.point_distance(F.col("x"), F.col("y"), F.col("box"))).where(F.col("d") <= reach)
-    best = near.groupBy(key, "connector", "end").agg(F.min(F.struct("d", "node")).alias("m"))
-    both = best.groupBy(key, "connector").agg(F.max(F.when(F.col("end") == 0, F.col("m.node"))).alias("source"), F.max(F.when(F.col("end") == 1, F.col("m.node"))).alias("target"))
+    each end within reach, the smallest of equally near ones; both must exist and differ. An end without finite coordinates has none.
+
+    Ends at one point are placed once, and of nodes with one box only the smallest can win. Points and boxes meet in cells: a
+    box, grown by reach, lies in at most four cells of the power of two above its size, so that a point meets only the boxes around it."""
+    c = F.col
+    ends = connectors.select(key, "connector", F.inline(F.array(*(F.struct(F.lit(e).alias("end"), c(f"x{e}").cast("double").alias("x"), c(f"y{e}").cast("double").alias("y")) for e in (0, 1)))))
+    ends = ends.where((F.abs("x") < float("inf")) & (F.abs("y") < float("inf")))
+    b = c("box")
+    slack = (F.greatest(*(F.abs(b[k]) for k in ("x0", "y0", "x1", "y1"))) + reach) * 1e-9 + reach  # more than rounding may add
+    boxes = nodes.where("box is not null").groupBy(key, "box").agg(F.min("node").alias("node"))
+    once = lambda **cols: F.inline(F.array(F.struct(*(v.alias(k) for k, v in cols.items()))))  # noqa: E731  computed once, not in every use
+    boxes = boxes.select("*", once(left=b["x0"] - slack, right=b["x1"] + slack, top=b["y0"] - slack, bottom=b["y1"] + slack)).where("left <= right and top <= bottom")
+    boxes = boxes.select("*", once(level=F.ceil(F.log2(F.greatest(c("right") - c("left"), c("bottom") - c("top"), F.lit(1.0))))))
+    cell = lambda v: F.floor(v / F.pow(F.lit(2.0), c("level")))
+    across = lambda low, high: F.explode(F.sequence(cell(c(low)), cell(c(high))))
+    levels = boxes.agg(F.collect_set("level").alias("levels"))  # one row; a double has at most 2,100 powers of two
+    points = ends.select(key, "x", "y").distinct().join(F.broadcast(levels)).withColumn("level", F.explode("levels"))
+    points = points.select(key, "x", "y", "level", cell(c("x")).alias("cx"), cell(c("y")).alias("cy"))
+    boxes = boxes.withColumn("cx", across("left", "right")).withColumn("cy", across("top", "bottom")).select(key, "node", "box", "level", "cx", "cy")
+    near = points.join(boxes, [key, "level", "cx", "cy"]).withColumn("d", G.point_distance(c("x"), c("y"), b)).where(c("d") <= reach)
+    place = near.groupBy(key, "x", "y").agg(F.min(F.struct("d", "node")).alias("m"))
+    best = ends.join(place, [key, "x", "y"]).groupBy(key, "connector", "end").agg(F.min("m").alias("m"))
+    both = best.groupBy(key, "connector").agg(F.max(F.when(c("end") == 0, c("m.node"))).alias("source"), F.max(F.when(c("end") == 1, c("m.node"))).alias("target"))
     return both.where("source is not null and target is not null and source <> target")
 
 
