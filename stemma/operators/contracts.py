@@ -127,98 +127,148 @@ def reading_rows(lines: DataFrame, keys: list[str]) -> DataFrame:
 def page_tables(items: DataFrame, keys: list[str], body: float = 10.0, width: float = 612.0) -> DataFrame:
     """items (keys, no, text, x0, y0, x1, y1) -> (keys, rows, columns, confidence, y, cells array<array<string>>): the table of a page, if its longest
     run of aligned rows is sure enough and no prose. Rows by the running mean of the middles; rows of 2 to 8 short cells count; a
-    run's rows have as many cells, which start where those of its first row do."""
+    run's rows have as many cells, which start where those of its first row do. Items without a text or an area are none."""
+    from stemma.operators.batches import in_groups, running_rows, spreading
+
+    rows_of, spread = running_rows(), spreading()
+    most_gap, reach, shift = max(body * 4.8, 52), max(2.5, body * 0.72), max(body * 2.2, width * 0.035)
+
+    def work(table, starts):
+        import re
+
+        import numpy as np
+        import pyarrow as pa
+
+        prose = re.compile(r"\b(?:the|and|that|this|with|from|which|because|therefore)\b", re.I)
+        text = table.column("text").combine_chunks()
+        coded = text.dictionary_encode()
+        known, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        short = np.array([len(t) <= 90 and len(t.split()) <= 12 and not re.search("[{}]", t) for t in known])
+        prosy = np.array([len(t.split()) > 10 or bool(prose.search(t)) for t in known])
+        rank = np.empty(len(known), dtype=np.int64)
+        rank[sorted(range(len(known)), key=known.__getitem__)] = np.arange(len(known))
+        x, y = (table.column(c).to_numpy() for c in ("x", "y"))
+        sizes = np.diff(np.append(starts, len(x)))
+        group = np.repeat(np.arange(len(starts)), sizes)
+        order = np.lexsort((x, y, group))
+        new, means = rows_of(starts, y[order], np.full(len(starts), reach))
+        first = np.flatnonzero(new)
+        n = np.diff(np.append(first, len(x)))
+        order = order[np.lexsort((y[order], rank[code[order]], x[order], np.cumsum(new)))]  # the cells of a row from the left
+        x, code = x[order], code[order]
+        able = np.flatnonzero((n >= 2) & (n <= 8) & np.logical_and.reduceat(short[code], first))
+        first, n, mean, page = first[able], n[able], means[first + n - 1][able], group[first][able]
+        cells = np.zeros((len(able), 8))
+        for c in range(8):
+            has = n > c
+            cells[has, c] = x[first[has] + c]
+        length, going, k = np.ones(len(able), dtype=np.int64), np.arange(len(able)), 1
+        while len(going):
+            going = going[going + k < len(able)]
+            j = going + k
+            fits = (page[j] == page[going]) & (n[j] == n[going]) & (mean[j] - mean[j - 1] <= most_gap) & (np.abs(cells[j] - cells[going]) <= shift).all(axis=1)
+            going = going[fits]
+            length[going] += 1
+            k += 1
+        pages = np.flatnonzero(np.diff(page, prepend=-1))
+        ables = np.diff(np.append(pages, len(able)))
+        best = np.maximum.reduceat(length, pages) if len(pages) else length
+        hits = np.flatnonzero(length == np.repeat(best, ables))
+        run = hits[np.unique(page[hits], return_index=True)[1]]  # the earliest of the longest
+        good = (best >= 3) & (sizes[page[run]] >= 6)
+        run, best, ables = run[good], best[good], ables[good]
+        lines = spread(run, best)
+        count = best * n[run]
+        said = np.add.reduceat(prosy[code[spread(first[lines], n[lines])]].astype(np.int64), np.cumsum(count) - count) if len(run) else count
+        sure = np.array([round(min(0.99, 0.45 + b / m * 0.25 + 0.3) + 1e-12, 3) for b, m in zip(best.tolist(), ables.tolist(), strict=True)], dtype=float)
+        good = (said / np.maximum(count, 1) <= 0.28) & (sure >= 0.82)
+        run, best, sure = run[good], best[good], sure[good]
+        lines = spread(run, best)
+        own = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n[lines])), pa.int32()), text.take(pa.array(order[spread(first[lines], n[lines])])))
+        found = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(best)), pa.int32()), own)
+        at = pa.array(starts[page[run]])
+        return pa.table([*(table.column(k).take(at) for k in keys), best, n[run], sure, mean[run], found], names=[*keys, "rows", "columns", "confidence", "y", "cells"])
+
     kinds = ", ".join(f"`{k}` {items.schema[k].dataType.simpleString()}" for k in keys)
-    import re
-
-    prose = re.compile(r"\b(?:the|and|that|this|with|from|which|because|therefore)\b", re.I)
-
-    def table(part: pd.DataFrame) -> tuple | None:
-        part = part[(part["text"] != "") & (part["x1"] > part["x0"]) & (part["y1"] > part["y0"])]
-        if len(part) < 6:
-            return None
-        middle = (part["y0"] + part["y1"]) / 2
-        rows: list[list] = []
-        for y, x, text in sorted(zip(middle, part["x0"], part["text"], strict=True), key=lambda r: r[:2]):
-            if not rows or abs(y - rows[-1][0]) > max(2.5, body * 0.72):
-                rows.append([y, []])
-            rows[-1][1].append((x, text, y))
-            rows[-1][0] = sum(c[2] for c in rows[-1][1]) / len(rows[-1][1])
-        short = lambda t: len(t) <= 90 and len(t.split()) <= 12 and not re.search("[{}]", t)
-        able = [(y, sorted(cells)) for y, cells in rows if 2 <= len(cells) <= 8 and all(short(c[1]) for c in cells)]
-        best: list = []
-        for i, (_, first) in enumerate(able):
-            j = i + 1
-            while j < len(able) and len(able[j][1]) == len(first) and able[j][0] - able[j - 1][0] <= max(body * 4.8, 52) and all(abs(a[0] - b[0]) <= max(body * 2.2, width * 0.035) for a, b in zip(able[j][1], first, strict=True)):
-                j += 1
-            if j - i > len(best):
-                best = able[i:j]
-        cells = [[c[1] for c in own] for _, own in best]
-        flat = [t for row in cells for t in row]
-        if len(best) < 3 or sum(len(t.split()) > 10 or bool(prose.search(t)) for t in flat) / len(flat) > 0.28:
-            return None
-        sure = round(min(0.99, 0.45 + len(best) / len(able) * 0.25 + 0.3) + 1e-12, 3)
-        return None if sure < 0.82 else (len(best), len(best[0][1]), sure, best[0][0], cells)
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        found = table(part)
-        rows = [[*(part[k].iloc[0] for k in keys), *found]] if found else []
-        return pd.DataFrame(rows, columns=[*keys, "rows", "columns", "confidence", "y", "cells"])
-
-    return items.groupBy(*keys).applyInPandas(run, f"{kinds}, rows long, columns long, confidence double, y double, cells array<array<string>>")
+    rows = _with_area(items).where("text <> ''").select(*keys, "text", F.col("x0").alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
+    return in_groups(rows, keys, f"{kinds}, rows long, columns long, confidence double, y double, cells array<array<string>>", work)
+
+
+def _with_area(items: DataFrame) -> DataFrame:
+    """Items whose box has an area, the box as doubles. To Spark NaN is greater than all."""
+    boxes = items.withColumns({c: F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1")})
+    return boxes.where("x1 > x0 and y1 > y0 and not isnan(x1) and not isnan(y1)")
 
 
 def table_evidence(items: DataFrame, rules: DataFrame, keys: list[str], body: float = 10.0, width: float = 612.0) -> DataFrame:
     """items (keys, no, text, x0, y0, x1, y1): cells of a page; rules (keys, horizontal, vertical, caption): how many rules of each kind it has, and
     its caption -> (keys, rows, columns, signals, diagnostics, detection, structure, disposition) of pages whose cells start at two places
-    again and again. What does not fit leaves a diagnostic and is never filled in."""
-    import math
-
+    again and again. What does not fit leaves a diagnostic and is never filled in. Of several rows of rules for a page the greatest counts."""
+    from stemma.operators.batches import in_groups, running_rows, spreading
+
+    rows_of, spread = running_rows(), spreading()
+    near, wide = max(body * 1.8, width * 0.018), max(body * 1.45, 3)
+
+    def work(table, starts):
+        import numpy as np
+        import pyarrow as pa
+
+        y, x0, x1, height = (table.column(c).to_numpy() for c in ("y", "x0", "x1", "height"))
+        sizes = np.diff(np.append(starts, len(y)))
+        group = np.repeat(np.arange(len(starts)), sizes)
+        typical = height[np.lexsort((height, group))][starts + sizes // 2]
+        order = np.lexsort((x1, x0, y, group))
+        new, _ = rows_of(starts, y[order], np.maximum(2.5, typical * 0.8))
+        first = np.flatnonzero(new)
+        n = np.diff(np.append(first, len(y)))
+        page = group[first]
+        begins = np.flatnonzero(np.diff(page, prepend=-1))  # every page has a row
+        rows, longest = np.diff(np.append(begins, len(page))), np.maximum.reduceat(n, begins)
+        row = np.cumsum(new) - 1
+        order = order[np.lexsort((x1[order], x0[order], row))]
+        apart = np.full(len(y), -np.inf)
+        apart[1:] = np.where(row[1:] == row[:-1], x0[order][1:] - x1[order][:-1], -np.inf)
+        gaps = np.add.reduceat((apart >= wide).astype(np.int64), starts)
+
+        # Starts that follow each other closely are one place, at their mean.
+        x = x0[np.lexsort((x0, group))]
+        opens = np.ones(len(x), dtype=bool)
+        opens[1:] = (group[1:] != group[:-1]) | (x[1:] - x[:-1] > near)
+        at = np.flatnonzero(opens)
+        many = np.diff(np.append(at, len(x)))
+        _, means = rows_of(at, x, np.full(len(at), np.inf))
+        centre = means[at + many - 1]
+        held = np.add.reduceat((np.abs(x - np.repeat(centre, many)) <= near).astype(np.int64), at)
+        owner = group[at]
+        columns = np.bincount(owner[held >= np.maximum(2, np.ceil(rows * 0.45))[owner]], minlength=len(starts))
+        whole = np.add.reduceat((n == columns[page]).astype(np.int64), begins)
+
+        good = np.flatnonzero((sizes >= 3) & (rows >= 3) & (longest >= 2) & (columns >= 2))
+        rows, columns, whole, gaps = rows[good], columns[good], whole[good], gaps[good]
+        share = whole / rows
+        base = 0.45 + share * 0.3 + np.minimum(0.2, columns * 0.04)
+        out = [rows, columns, gaps >= np.maximum(2, rows - 1), whole == rows]
+        for more in (0, 0.08):
+            structure = np.minimum(0.98, base + more)
+            values, back = np.unique(structure, return_inverse=True)
+            rounded = np.array([round(v, 6) for v in values.tolist()], dtype=float)[back]
+            out += [rounded, np.where((structure >= 0.82) & (share == 1), "reconstructed", np.where(structure >= 0.62, "reconstructed-with-source", "preserved-source"))]
+        names = ["rows", "columns", "grid", "whole", "plain", "plain_disposition", "ruled", "ruled_disposition"]
+        return pa.table([*(table.column(k).take(pa.array(starts[good])) for k in keys), *(pa.array(v, pa.string()) if v.dtype.kind == "U" else v for v in out)], names=[*keys, *names])
+
+    c = F.col
     kinds = ", ".join(f"`{k}` {items.schema[k].dataType.simpleString()}" for k in keys)
-
-    def found(part: pd.DataFrame) -> list | None:
-        part = part[(part["text"] != "") & (part["x1"] > part["x0"]) & (part["y1"] > part["y0"])]
-        if len(part) < 3:
-            return None
-        heights = sorted(part["y1"] - part["y0"])
-        reach = max(2.5, heights[len(heights) // 2] * 0.8)
-        rows: list[list] = []
-        for y, x0, x1 in sorted(zip((part["y0"] + part["y1"]) / 2, part["x0"], part["x1"], strict=True)):
-            if not rows or abs(y - rows[-1][0]) > reach:
-                rows.append([y, [], []])
-            rows[-1][1].append((x0, x1))
-            rows[-1][2].append(y)
-            rows[-1][0] = sum(rows[-1][2]) / len(rows[-1][2])
-        cells = [sorted(own) for _, own, _ in rows]
-        if len(cells) < 3 or max(map(len, cells)) < 2:
-            return None
-        near = max(body * 1.8, width * 0.018)
-        groups: list[list[float]] = []
-        for x in sorted(x for own in cells for x, _ in own):
-            if groups and x - groups[-1][-1] <= near:
-                groups[-1].append(x)
-            else:
-                groups.append([x])
-        centres = [sum(g) / len(g) for g in groups]
-        starts = [c for c in centres if sum(abs(x - c) <= near for own in cells for x, _ in own) >= max(2, math.ceil(len(cells) * 0.45))]
-        if len(starts) < 2:
-            return None
-        gaps = [b[0] - a[1] for own in cells for a, b in zip(own, own[1:], strict=False)]
-        level, upright, caption = int(part["horizontal"].iloc[0]), int(part["vertical"].iloc[0]), part["caption"].iloc[0]
-        signals = ["repeated-x-starts", "repeated-y-bands", "cell-like-boxes", "repeated-row-patterns"]
-        signals += ["whitespace-grid"] * (sum(g >= max(body * 1.45, 3) for g in gaps) >= max(2, len(cells) - 1))
-        signals += ["vector-rules"] * (level + upright > 0) + ["nearby-caption"] * bool(str(caption or "").strip())
-        whole = sum(len(own) == len(starts) for own in cells)
-        diagnostics = ["unresolved-cell"] * (whole != len(cells)) + ["borderless-evidence"] * (upright == 0)
-        share = whole / len(cells)
-        structure = min(0.98, 0.45 + share * 0.3 + min(0.2, len(starts) * 0.04) + (0.08 if level >= 3 else 0))
-        detection = min(0.98, 0.55 + 0.18 + (0.15 if level else 0))
-        sure = structure >= 0.82 and share == 1
-        return [len(cells), len(starts), signals, diagnostics, round(detection, 6), round(structure, 6), "reconstructed" if sure else "reconstructed-with-source" if structure >= 0.62 else "preserved-source"]
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        own = found(part)
-        return pd.DataFrame([[*(part[k].iloc[0] for k in keys), *own]] if own else [], columns=[*keys, "rows", "columns", "signals", "diagnostics", "detection", "structure", "disposition"])
-
-    marked = items.join(rules, keys, "left").fillna(0, ["horizontal", "vertical"])
-    return marked.groupBy(*keys).applyInPandas(run, f"{kinds}, rows long, columns long, signals array<string>, diagnostics array<string>, detection double, structure double, disposition string")
+    cells = _with_area(items).where("text is null or text <> ''").select(*keys, "x0", "x1", ((c("y0") + c("y1")) / 2).alias("y"), (c("y1") - c("y0")).alias("height"))
+    found = in_groups(cells, keys, f"{kinds}, rows long, columns long, grid boolean, whole boolean, plain double, plain_disposition string, ruled double, ruled_disposition string", work)
+    rule = rules.groupBy(*keys).agg(F.max(F.struct("horizontal", "vertical", "caption")).alias("rule"))
+    level, upright = (F.coalesce(c(f"rule.{k}").cast("long"), F.lit(0)) for k in ("horizontal", "vertical"))
+    captioned = F.coalesce(c("rule.caption").cast("string").rlike(r"(?U)[^\s\x1c-\x1f]"), F.lit(False))
+    some = lambda *pairs: F.array_compact(F.array(*(F.when(when, F.lit(name)) for name, when in pairs)))
+    always = [(name, F.lit(True)) for name in ("repeated-x-starts", "repeated-y-bands", "cell-like-boxes", "repeated-row-patterns")]
+    signals = some(*always, ("whitespace-grid", c("grid")), ("vector-rules", level + upright > 0), ("nearby-caption", captioned))
+    diagnostics = some(("unresolved-cell", ~c("whole")), ("borderless-evidence", upright == 0))
+    detection = F.when(level != 0, round(min(0.98, 0.55 + 0.18 + 0.15), 6)).otherwise(round(min(0.98, 0.55 + 0.18 + 0), 6))
+    either = lambda name: F.when(level >= 3, c(f"ruled{name}")).otherwise(c(f"plain{name}"))
+    return found.join(rule, keys, "left").select(
+        *keys, "rows", "columns", signals.alias("signals"), diagnostics.alias("diagnostics"), detection.alias("detection"), either("").alias("structure"), either("_disposition").alias("disposition")
+    )
