@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 ROWS = 1 << 18
 
 
-def in_groups(rows: DataFrame, keys: list[str], schema: str, work: Callable, together: bool = False) -> DataFrame:
+def in_groups(rows: DataFrame, keys: list[str], schema, work: Callable, together: bool = False) -> DataFrame:
     """work(table, starts) on tables of whole groups, of which starts has the first rows. together: each key's rows already lie one
     after the other in one partition."""
     least = ROWS

@@ -225,74 +225,210 @@ def longest_aligned_run(rows: DataFrame, keys: list[str], tolerance: float = 22.
     return rows.groupBy(*keys).applyInPandas(run, f"{kinds}, first long, last long, columns long")
 
 
-def fragments_on_a_line(boxes: DataFrame, keys: list[str], shared: float = 0.65, alike: float = 0.55, gap: float = 12.0, gap_share: float = 1.1) -> DataFrame:
+def fragments_on_a_line(boxes: DataFrame, keys: list[str], shared: float = 0.65, alike: float = 0.55, gap: float = 12.0, gap_share: float = 1.1, together: bool = False) -> DataFrame:
     """boxes (keys, no, x0, y0, x1, y1) -> (keys, x0, y0, x1, y1): boxes of about one height on one visual line become one, until no two
-    can any more. A box takes in all it touches, grows and looks again; boxes one below the other stay apart."""
-    import numpy as np
-
-    def merge(part: pd.DataFrame) -> np.ndarray:
-        done = np.zeros((0, 4))
-        for box in part.sort_values("no")[["x0", "y0", "x1", "y1"]].to_numpy(float):
-            while len(done):
-                heights = np.maximum(1.0, done[:, 3] - done[:, 1])
-                own = max(1.0, box[3] - box[1])
-                low, high = np.minimum(heights, own), np.maximum(heights, own)
-                lower = np.minimum(done[:, 3] - done[:, 1], box[3] - box[1])
-                down = np.minimum(done[:, 3], box[3]) - np.maximum(done[:, 1], box[1])
+    can any more. A box takes in all it touches, grows and looks again; boxes one below the other stay apart. Boxes with a bare strip
+    between them, or a wider gap than their heights allow, never meet, so the parts of a page between such gaps are merged side by
+    side. together: each key's rows already lie one after the other in one partition."""
+
+    def parts(box, group):
+        """The part of each box: numbers that rise with the group."""
+        import numpy as np
+
+        def cut(low, high, owner, free):
+            order = np.lexsort((low, owner))
+            by_high = np.argsort(high, kind="stable")
+            rank = np.empty(len(high), dtype=np.int64)
+            rank[by_high] = np.arange(len(high))
+            reached = high[by_high[np.maximum.accumulate(owner[order] * len(high) + rank[order]) % len(high)]]
+            new = np.ones(len(low), dtype=bool)
+            new[1:] = (owner[order][1:] != owner[order][:-1]) | free(low[order][1:], reached[:-1], owner[order][1:])
+            out = np.empty(len(low), dtype=np.int64)
+            out[order] = np.cumsum(new) - 1
+            return out, order, np.flatnonzero(new)
+
+        x0, y0, x1, y1 = box.T
+        band, order, first = cut(y0, y1, group, lambda low, reached, _: low >= reached)
+        height = np.maximum.reduceat(y1[order], first) - np.minimum.reduceat(y0[order], first)
+        reach = np.maximum(gap, np.maximum(1.0, height) * max(gap_share, 0.0))
+        return cut(x0, x1, band, lambda low, reached, owner: low - reached > reach[owner])[0]
+
+    def merged(box, first, count):
+        """The boxes that are left of each part, and their parts; a part's boxes lie one after the other. All parts take their next box at once."""
+        import numpy as np
+
+        order = np.argsort(-count, kind="stable")
+        first, left = first[order], -count[order]
+        done, alive, used = np.zeros((len(first), 4, 4)), np.zeros((len(first), 4), dtype=bool), 0
+        out, owners = [], []
+
+        def flush(m):
+            part, at = np.nonzero(alive[m:, :used])
+            out.append(done[m:][part, at])
+            owners.append(order[m + part])
+
+        for i in range(int(count.max(initial=0))):
+            m = int(np.searchsorted(left, -i))
+            if m < len(done):
+                flush(m)
+                done, alive = done[:m], alive[:m]
+            if used == done.shape[1]:  # those taken in make room
+                at = np.argsort(~alive, axis=1, kind="stable")
+                used = int(alive.sum(axis=1).max())
+                at = at[:, :used]
+                wider = np.zeros((m, 2 * used + 2, 4))
+                wider[:, :used] = np.take_along_axis(done, at[:, :, None], axis=1)
+                lives = np.zeros(wider.shape[:2], dtype=bool)
+                lives[:, :used] = np.take_along_axis(alive, at, axis=1)
+                done, alive = wider, lives
+            own = box[first[:m] + i]
+            open_ = np.arange(m)
+            while used and len(open_):
+                d, b = done[open_, :used], own[open_][:, None, :]
+                tall, high = d[:, :, 3] - d[:, :, 1], b[:, :, 3] - b[:, :, 1]
+                low, top = np.minimum(np.maximum(1.0, tall), np.maximum(1.0, high)), np.maximum(np.maximum(1.0, tall), np.maximum(1.0, high))
+                lower = np.minimum(tall, high)
+                down = np.minimum(d[:, :, 3], b[:, :, 3]) - np.maximum(d[:, :, 1], b[:, :, 1])
                 over = np.where(lower > 0, np.maximum(0, down) / np.where(lower > 0, lower, 1), 0)
-                apart = np.maximum(0, np.maximum(done[:, 0], box[0]) - np.minimum(done[:, 2], box[2]))
-                near = np.flatnonzero((over >= shared) & (low / high >= alike) & (apart <= np.maximum(gap, low * gap_share)))
-                if not len(near):
-                    break
-                other = done[near[0]]
-                box = np.array([*np.minimum(box[:2], other[:2]), *np.maximum(box[2:], other[2:])])
-                done = np.delete(done, near[0], axis=0)
-            done = np.vstack([done, box])
-        return done[np.lexsort((done[:, 0], done[:, 1]))]
+                apart = np.maximum(0, np.maximum(d[:, :, 0], b[:, :, 0]) - np.minimum(d[:, :, 2], b[:, :, 2]))
+                near = alive[open_, :used] & (over >= shared) & (low / top >= alike) & (apart <= np.maximum(gap, low * gap_share))
+                hit = near.any(axis=1)
+                open_, at = open_[hit], near[hit].argmax(axis=1)
+                other = done[open_, at]
+                alive[open_, at] = False
+                own[open_] = np.hstack([np.minimum(own[open_, :2], other[:, :2]), np.maximum(own[open_, 2:], other[:, 2:])])
+            done[:, used], alive[:, used] = own, True
+            used += 1
+        flush(0)
+        return np.vstack(out), np.concatenate(owners)
+
+    def work(table, starts):
+        import numpy as np
+        import pyarrow as pa
+
+        box = np.column_stack([table.column(c).to_numpy() for c in ("x0", "y0", "x1", "y1")])
+        group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(box))))
+        part = parts(box, group) if shared > 0 else group
+        order = np.lexsort((table.column("no").to_numpy(), part))
+        first = np.flatnonzero(np.diff(part[order], prepend=-1))
+        count = np.diff(np.append(first, len(box)))
+        found, owner = merged(box[order], first, count)
+        at = pa.array(starts[group[order][first]][owner])
+        return pa.table([*(table.column(k).take(at) for k in keys), *found.T.copy()], names=[*keys, "x0", "y0", "x1", "y1"])
+
+    from stemma.operators.batches import in_groups
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(merge(part), columns=["x0", "y0", "x1", "y1"])
-        for i, k in enumerate(keys):
-            out.insert(i, k, part[k].iloc[0])
+    kinds = ", ".join(f"`{k}` {boxes.schema[k].dataType.simpleString()}" for k in keys)
+    rows = boxes.select(*keys, "no", *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")))
+    return in_groups(rows, keys, f"{kinds}, x0 double, y0 double, x1 double, y1 double", work, together)
+
+
+def _baseline_parts():
+    """The function (starts, no, x0, y0, y1, size) -> the part of each character, as split_by_baseline() says."""
+
+    def parts(starts, no, x0, y0, y1, size):
+        import numpy as np
+
+        sizes = np.diff(np.append(starts, len(no)))
+        group = np.repeat(np.arange(len(starts)), sizes)
+        middle, height = (y0 + y1) / 2, y1 - y0
+        typical = height[np.lexsort((height, group))][starts + sizes // 2]
+        typical = np.where(typical > 4.0, typical, 4.0)
+        mixed = (sizes >= 2) & ~(np.maximum.reduceat(middle, starts) - np.minimum.reduceat(middle, starts) <= typical * 0.8)
+        out = np.zeros(len(no), dtype=np.int64)
+        rows = np.flatnonzero(mixed[group])
+        if not len(rows):
+            return out
+        least = np.where(size < typical[group], size, typical[group]) * 0.65
+        least = np.where(least > 2.0, least, 2.0)
+        rows = rows[np.lexsort((no[rows], x0[rows], middle[rows], group[rows]))]
+        # Equal ones in a row go the same way: the line that took the first in has only come nearer.
+        owner, value, reach = group[rows], middle[rows], least[rows]
+        new = np.ones(len(rows), dtype=bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (value[1:] != value[:-1]) | (reach[1:] != reach[:-1])
+        run = np.flatnonzero(new)
+        many = np.diff(np.append(run, len(rows)))
+        owner, value, reach = owner[run], value[run], reach[run]
+        first = np.flatnonzero(np.diff(owner, prepend=-1))
+        count = np.diff(np.append(first, len(run)))
+        order = np.argsort(-count, kind="stable")
+        start, left = first[order], -count[order]
+        total, n, centre = (np.zeros(len(run)) for _ in range(3))  # a group's lines have the places of its runs
+        lines, slot = np.zeros(len(first), dtype=np.int64), np.zeros(len(run), dtype=np.int64)
+        for i in range(int(count.max())):
+            m = int(np.searchsorted(left, -i))
+            at = start[:m] + i
+            place, rest, s = lines[:m].copy(), np.arange(m), 0
+            while len(rest := rest[lines[rest] > s]):
+                fits = np.abs(value[at[rest]] - centre[start[rest] + s]) <= reach[at[rest]]
+                place[rest[fits]] = s
+                rest = rest[~fits]
+                s += 1
+            lines[:m] += place == lines[:m]
+            to = start[:m] + place
+            total[to] += value[at] * many[at]
+            n[to] += many[at]
+            centre[to] = total[to] / n[to]
+            slot[at] = place
+        there = np.flatnonzero(n)
+        base = np.repeat(first, count)  # of each run or line its group's first place
+        by = there[np.lexsort((there, centre[there], base[there]))]
+        rank = np.empty(len(run), dtype=np.int64)
+        opens = np.flatnonzero(np.diff(base[by], prepend=-1))
+        rank[by] = np.arange(len(by)) - np.repeat(opens, np.diff(np.append(opens, len(by))))
+        out[rows] = np.repeat(rank[base + slot], many)
         return out
 
-    kinds = ", ".join(f"`{k}` {boxes.schema[k].dataType.simpleString()}" for k in keys)
-    return boxes.groupBy(*keys).applyInPandas(run, f"{kinds}, x0 double, y0 double, x1 double, y1 double")
+    return parts
 
 
 def split_by_baseline(chars: DataFrame, keys: list[str]) -> DataFrame:
     """chars (keys, no, text, x0, y0, x1, y1, size) of one captured line each -> adds part: 0 where all characters lie about one height, else the
     number, from above, of the visual line that a character's middle belongs to. First fit against a line's mean."""
-    import numpy as np
-
-    def parts(own: pd.DataFrame) -> np.ndarray:
-        middle = ((own["y0"] + own["y1"]) / 2).to_numpy()
-        heights = np.sort((own["y1"] - own["y0"]).to_numpy())
-        typical = max(4.0, heights[len(heights) // 2])
-        if len(own) < 2 or np.ptp(middle) <= typical * 0.8:
-            return np.zeros(len(own), dtype=int)
-        centre: list[float] = []
-        held: list[list[float]] = []
-        at = np.zeros(len(own), dtype=int)
-        size = own["size"].to_numpy()
-        for i in np.lexsort((own["x0"].to_numpy(), middle)):
-            g = next((j for j, c in enumerate(centre) if abs(middle[i] - c) <= max(2.0, min(typical, size[i]) * 0.65)), len(centre))
-            if g == len(centre):
-                centre.append(0.0)
-                held.append([])
-            held[g].append(middle[i])
-            centre[g] = sum(held[g]) / len(held[g])
-            at[i] = g
-        rank = np.empty(len(centre), dtype=int)
-        rank[np.argsort(centre, kind="stable")] = np.arange(len(centre))
-        return rank[at]
-
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        return own.assign(part=parts(own))
-
     from pyspark.sql import types as t
 
-    return chars.groupBy(*keys).applyInPandas(run, t.StructType([*chars.schema.fields, t.StructField("part", t.LongType())]))
+    from stemma.operators.batches import in_groups
+
+    parts = _baseline_parts()
+
+    def work(table, starts):
+        import pyarrow as pa
+
+        return table.append_column("part", pa.array(parts(starts, *(table.column(c).to_numpy() for c in ("no", "x0", "y0", "y1", "size")))))
+
+    return in_groups(chars, keys, t.StructType([*chars.schema.fields, t.StructField("part", t.LongType())]), work)
+
+
+def baseline_texts(chars: DataFrame, keys: list[str], together: bool = False) -> DataFrame:
+    """The same chars -> (keys, part, text): the visual lines of split_by_baseline(), each joined from the left by blanks. A character without
+    a text adds none. together: each key's rows already lie one after the other in one partition."""
+    from stemma.operators.batches import in_groups
+
+    parts = _baseline_parts()
+
+    def work(table, starts):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        no, x0, y0, y1, size = (table.column(c).to_numpy() for c in ("no", "x0", "y0", "y1", "size"))
+        part = parts(starts, no, x0, y0, y1, size)
+        group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(no))))
+        order = np.lexsort((no, x0, part, group))
+        own, part = group[order], part[order]
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (own[1:] != own[:-1]) | (part[1:] != part[:-1])
+        first = np.flatnonzero(new)
+        text = table.column("text").combine_chunks()
+        said = text.is_valid().to_numpy(zero_copy_only=False)[order]
+        ends = np.append(0, np.cumsum(np.add.reduceat(said.astype(np.int64), first)))
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), text.take(pa.array(order[said])))
+        at = pa.array(starts[own[first]])
+        return pa.table([*(table.column(k).take(at) for k in keys), part[first], pc.binary_join(lists, " ")], names=[*keys, "part", "text"])
+
+    kinds = ", ".join(f"`{k}` {chars.schema[k].dataType.simpleString()}" for k in keys)
+    rows = chars.select(*keys, "no", "text", "x0", "y0", "y1", "size")
+    return in_groups(rows, keys, f"{kinds}, part long, text string", work, together)
 
 
 def graphics(groups: DataFrame, keys: list[str], width: float = 612.0, height: float = 792.0, most: int = 10) -> DataFrame:

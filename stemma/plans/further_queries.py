@@ -235,8 +235,10 @@ def diagram_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("source", "page", "island").agg(F.min("line_no").alias("first"), F.max("line_no").alias("last"), F.count("*").alias("n"), M.ordered_text(["line_no"]).alias("text")).where("n >= 2").drop("island")
 
 
-def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _spans(spark: SparkSession, sf_dir: str, in_order: bool = False) -> DataFrame:
+    """in_order: a page's spans one after the other. Lines are sorted, which are fewer; geometry_of() has a page in one partition."""
     placed = geometry_of(lines_of(pages(spark, sf_dir)))
+    placed = placed.sortWithinPartitions("source", "page", "line_no") if in_order else placed
     words = placed.select("source", "page", "line_no", "y0", "x0", F.posexplode(T.words(F.trim("line"))).alias("i", "text"))
     x = F.col("x0") + F.col("i") * 40.0
     return words.select("source", "page", (F.col("line_no") * 100_000 + F.col("i")).cast("long").alias("no"), "text", x.alias("x0"), F.col("y0").cast("double").alias("y0"), (x + 35).alias("x1"), (F.col("y0") + 10.0 + F.col("i") % 3).alias("y1"))
@@ -313,16 +315,14 @@ def vector_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WN20")
 def image_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every other word of a line as an image: those near each other on the line become one."""
-    return FO.fragments_on_a_line(_spans(spark, sf_dir).where("no % 100000 % 5 <> 3").drop("text"), ["source", "page"])
+    return FO.fragments_on_a_line(_spans(spark, sf_dir, in_order=True).where("no % 100000 % 5 <> 3").drop("text"), ["source", "page"], together=True)
 
 
 @query("WN19")
 def collapsed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two lines of a page captured as one, and the visual lines it is split into."""
-    spans = _spans(spark, sf_dir).withColumn("size", F.lit(10.0)).withColumn("capture", F.floor(F.col("no") / 200_000))
-    parts = FO.split_by_baseline(spans, ["source", "page", "capture"])
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "no", "text"))), lambda x: x["text"]), " ")
-    return parts.groupBy("source", "page", "capture", "part").agg(text.alias("text"))
+    spans = _spans(spark, sf_dir, in_order=True).withColumn("size", F.lit(10.0)).withColumn("capture", F.floor(F.col("no") / 200_000))
+    return FO.baseline_texts(spans, ["source", "page", "capture"], together=True)
 
 
 @query(

@@ -70,3 +70,91 @@ def test_items_without_text_or_area_are_no_cells(spark):
     odd = [(1, 90, "", 0.0, 0.0, 9.0, 9.0), (1, 91, None, 5.0, 90.0, 5.0, 99.0), (1, 92, "b", 0.0, 0.0, nan, 9.0), (1, 93, "b", 0.0, None, 9.0, 9.0), (1, 94, "b", 9.0, 0.0, 0.0, 9.0), (2, 0, "", 0.0, 0.0, 9.0, 9.0)]
     items = spark.createDataFrame(grid + odd, "page long, no long, text string, x0 double, y0 double, x1 double, y1 double")
     assert [(r.page, r.rows, r.columns, r.cells) for r in contracts.page_tables(items, ["page"]).collect()] == [(1, 3, 2, [["a", "a"]] * 3)]
+
+
+def _plain_fragments(boxes, shared=0.65, alike=0.55, gap=12.0, gap_share=1.1):
+    done = []
+    for box in boxes:
+        at = 0
+        while at < len(done):
+            other = done[at]
+            tall, high = other[3] - other[1], box[3] - box[1]
+            low, top = sorted((max(1.0, tall), max(1.0, high)))
+            lower = min(tall, high)
+            over = max(0.0, min(other[3], box[3]) - max(other[1], box[1])) / lower if lower > 0 else 0.0
+            apart = max(0.0, max(other[0], box[0]) - min(other[2], box[2]))
+            at += 1
+            if over >= shared and low / top >= alike and apart <= max(gap, low * gap_share):
+                box, at = (min(box[0], other[0]), min(box[1], other[1]), max(box[2], other[2]), max(box[3], other[3])), 0
+                done.remove(other)
+        done.append(box)
+    return sorted(done)
+
+
+def test_fragments_of_many_pages_equal_those_of_one(spark):
+    rng, rows, want = random.Random(5), [], {}
+    for page in range(120):
+        boxes, n, wide = [], rng.choice([1, 3, 12, 40, 150]), rng.choice([60, 400, 3000])
+        for _ in range(n):
+            x, y = rng.random() * wide, rng.choice([float(rng.randint(0, 9) * 14), rng.random() * 60])
+            boxes.append((x, y, x + rng.choice([-3.0, 0.0, 8.0, 35.0]), y + rng.choice([0.0, 6.0, 10.0, 12.0, 30.0])))
+        rows += [(page, no, *b) for no, b in enumerate(boxes)]
+        want[page] = _plain_fragments(boxes)
+    rng.shuffle(rows)
+    got = {}
+    for r in folds.fragments_on_a_line(spark.createDataFrame(rows, "page long, no long, x0 double, y0 double, x1 double, y1 double"), ["page"]).collect():
+        got.setdefault(r.page, []).append((r.x0, r.y0, r.x1, r.y1))
+    assert {p: sorted(b) for p, b in got.items()} == want
+
+
+def _plain_parts(own):
+    """own: (no, text, x0, y0, x1, y1, size) -> the part of each."""
+    middle = [(c[3] + c[5]) / 2 for c in own]
+    typical = max(4.0, sorted(c[5] - c[3] for c in own)[len(own) // 2])
+    if len(own) < 2 or max(middle) - min(middle) <= typical * 0.8:
+        return [0] * len(own)
+    held, at = [], [0] * len(own)
+    for i in sorted(range(len(own)), key=lambda i: (middle[i], own[i][2], own[i][0])):
+        reach = max(2.0, min(typical, own[i][6]) * 0.65)
+        g = next((j for j, h in enumerate(held) if abs(middle[i] - sum(h) / len(h)) <= reach), len(held))
+        if g == len(held):
+            held.append([])
+        held[g].append(middle[i])
+        at[i] = g
+    centre = [sum(h) / len(h) for h in held]
+    rank = {g: r for r, g in enumerate(sorted(range(len(held)), key=lambda g: centre[g]))}
+    return [rank[g] for g in at]
+
+
+def test_baselines_of_many_captures_equal_those_of_one(spark):
+    rng, rows, want, texts = random.Random(11), [], {}, {}
+    for key in range(150):
+        own = []
+        for no in range(rng.choice([1, 2, 9, 60])):
+            x, y = float(rng.randint(0, 30)), rng.choice([float(rng.randint(0, 6) * 7), rng.random() * 90])
+            own.append((no, rng.choice(["a", "bé", "", None]), x, y, x + 5, y + rng.choice([3.0, 10.0, 12.0]), rng.choice([2.0, 10.0, 40.0])))
+        rows += [(key, *c) for c in own]
+        parts = _plain_parts(own)
+        want |= {(key, c[0]): p for c, p in zip(own, parts, strict=True)}
+        for p in set(parts):
+            line = sorted((c[2], c[0], c[1]) for c, q in zip(own, parts, strict=True) if q == p and c[1] is not None)
+            texts[key, p] = " ".join(t for _, _, t in line)
+    rng.shuffle(rows)
+    chars = spark.createDataFrame(rows, "line long, no long, text string, x0 double, y0 double, x1 double, y1 double, size double")
+    assert {(r.line, r.no): r.part for r in folds.split_by_baseline(chars, ["line"]).collect()} == want
+    assert {(r.line, r.part): r.text for r in folds.baseline_texts(chars, ["line"]).collect()} == texts
+
+
+def test_many_small_captures_are_quick(spark):
+    from pyspark.sql import functions as F
+
+    c = F.col("id") % 8
+    chars = spark.range(4_800_000).select(
+        F.floor(F.col("id") / 8).alias("line"), c.alias("no"), F.lit("w").alias("text"), (c % 4 * 50.0).alias("x0"), (F.floor(c / 4) * 20.0).alias("y0"), (c % 4 * 50.0 + 45).alias("x1"), (F.floor(c / 4) * 20.0 + 10).alias("y1"), F.lit(10.0).alias("size")
+    )
+    began = time.perf_counter()
+    parts = folds.baseline_texts(chars, ["line"]).groupBy("part", "text").count().collect()
+    boxes = folds.fragments_on_a_line(chars, ["line"]).groupBy("x0", "y0", "x1", "y1").count().collect()
+    assert sorted(map(tuple, parts)) == [(0, "w w w w", 600_000), (1, "w w w w", 600_000)]
+    assert sorted(map(tuple, boxes)) == [(0.0, 0.0, 195.0, 10.0, 600_000), (0.0, 20.0, 195.0, 30.0, 600_000)]
+    assert time.perf_counter() - began < 60
