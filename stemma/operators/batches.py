@@ -14,13 +14,21 @@ ROWS = 1 << 18
 
 def in_groups(rows: DataFrame, keys: list[str], schema, work: Callable, together: bool = False) -> DataFrame:
     """work(table, starts) on tables of whole groups, of which starts has the first rows. together: each key's rows already lie one
-    after the other in one partition."""
+    after the other in one partition. A row may hold arrays, all of one length, in columns other than keys: it stands for as
+    many rows. Spark weighs its batch anew for every row it sends, so that few long rows are much quicker than many short ones."""
     least = ROWS
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
+        def unpacked(batch):
+            lists = [c for c in batch.columns if pa.types.is_list(c.type)]
+            if not lists:
+                return batch
+            at = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(lists[0].offsets.to_numpy())))
+            return pa.RecordBatch.from_arrays([c.flatten() if pa.types.is_list(c.type) else c.take(at) for c in batch.columns], batch.schema.names)
+
         def first_rows(table):
             new = np.zeros(len(table), dtype=bool)
             new[0] = True
@@ -30,7 +38,7 @@ def in_groups(rows: DataFrame, keys: list[str], schema, work: Callable, together
             return np.flatnonzero(new)
 
         held, n, wanted = [], 0, least
-        for batch in batches:
+        for batch in map(unpacked, batches):
             if batch.num_rows == 0:
                 continue
             held.append(batch)

@@ -229,7 +229,7 @@ def fragments_on_a_line(boxes: DataFrame, keys: list[str], shared: float = 0.65,
     """boxes (keys, no, x0, y0, x1, y1) -> (keys, x0, y0, x1, y1): boxes of about one height on one visual line become one, until no two
     can any more. A box takes in all it touches, grows and looks again; boxes one below the other stay apart. Boxes with a bare strip
     between them, or a wider gap than their heights allow, never meet, so the parts of a page between such gaps are merged side by
-    side. together: each key's rows already lie one after the other in one partition."""
+    side. together: each key's rows already lie one after the other in one partition, each row with arrays of boxes."""
 
     def parts(box, group):
         """The part of each box: numbers that rise with the group."""
@@ -319,7 +319,8 @@ def fragments_on_a_line(boxes: DataFrame, keys: list[str], shared: float = 0.65,
     from stemma.operators.batches import in_groups
 
     kinds = ", ".join(f"`{k}` {boxes.schema[k].dataType.simpleString()}" for k in keys)
-    rows = boxes.select(*keys, "no", *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")))
+    kind = "array<double>" if together else "double"
+    rows = boxes.select(*keys, "no", *(F.col(c).cast(kind).alias(c) for c in ("x0", "y0", "x1", "y1")))
     return in_groups(rows, keys, f"{kinds}, x0 double, y0 double, x1 double, y1 double", work, together)
 
 
@@ -401,7 +402,7 @@ def split_by_baseline(chars: DataFrame, keys: list[str]) -> DataFrame:
 
 def baseline_texts(chars: DataFrame, keys: list[str], together: bool = False) -> DataFrame:
     """The same chars -> (keys, part, text): the visual lines of split_by_baseline(), each joined from the left by blanks. A character without
-    a text adds none. together: each key's rows already lie one after the other in one partition."""
+    a text adds none. together: each key's rows already lie one after the other in one partition, each row with arrays of characters."""
     from stemma.operators.batches import in_groups
 
     parts = _baseline_parts()

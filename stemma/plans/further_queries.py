@@ -235,15 +235,28 @@ def diagram_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("source", "page", "island").agg(F.min("line_no").alias("first"), F.max("line_no").alias("last"), F.count("*").alias("n"), M.ordered_text(["line_no"]).alias("text")).where("n >= 2").drop("island")
 
 
-def _spans(spark: SparkSession, sf_dir: str, in_order: bool = False) -> DataFrame:
-    """in_order: a page's spans one after the other. Lines are sorted, which are fewer; geometry_of() has a page in one partition."""
+def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = geometry_of(lines_of(pages(spark, sf_dir)))
-    placed = placed.sortWithinPartitions("source", "page", "line_no") if in_order else placed
     words = placed.select("source", "page", "line_no", "y0", "x0", F.posexplode(T.words(F.trim("line"))).alias("i", "text"))
     x = F.col("x0") + F.col("i") * 40.0
     return words.select("source", "page", (F.col("line_no") * 100_000 + F.col("i")).cast("long").alias("no"), "text", x.alias("x0"), F.col("y0").cast("double").alias("y0"), (x + 35).alias("x1"), (F.col("y0") + 10.0 + F.col("i") % 3).alias("y1"))
 
 
+def _packed_spans(spark: SparkSession, sf_dir: str, keep=None) -> DataFrame:
+    """The same spans, those of a line as arrays in one row, and a page's lines one after the other: geometry_of() has a page in one
+    partition. keep: of the place of a word in its line, whether it stays."""
+    placed = geometry_of(lines_of(pages(spark, sf_dir))).sortWithinPartitions("source", "page", "line_no")
+    rows = placed.select("source", "page", "line_no", F.col("x0").alias("left"), F.col("y0").cast("double").alias("top"), T.words(F.trim("line")).alias("w"))
+    places = F.transform("w", lambda _, i: i)
+    rows = rows.select("*", (F.filter(places, keep) if keep else places).alias("at"))
+    each = lambda f: F.transform("at", f)
+    x = lambda i: F.col("left") + i * 40.0
+    return rows.select(
+        "source", "page", "line_no", each(lambda i: (F.col("line_no") * 100_000 + i).cast("long")).alias("no"), each(lambda i: F.get("w", i)).alias("text"),
+        each(x).alias("x0"), each(lambda i: F.col("top")).alias("y0"), each(lambda i: x(i) + 35).alias("x1"), each(lambda i: F.col("top") + 10.0 + i % 3).alias("y1"),
+    )
+
+
 _SPANS = f"""{GEOMETRY_SQL},
 v_spans AS (SELECT source, page, line_no::BIGINT * 100000 + i AS no, line_no, text, (x0 + i * 40)::DOUBLE AS x0, y0::DOUBLE AS y0, (x0 + i * 40 + 35)::DOUBLE AS x1, (y0 + 10 + i % 3)::DOUBLE AS y1
     FROM (SELECT *, unnest(w) AS text, generate_subscripts(w, 1) - 1 AS i FROM (SELECT *, {S.words("trim(line)")} AS w FROM v_geom)))"""
@@ -315,13 +328,13 @@ def vector_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WN20")
 def image_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every other word of a line as an image: those near each other on the line become one."""
-    return FO.fragments_on_a_line(_spans(spark, sf_dir, in_order=True).where("no % 100000 % 5 <> 3").drop("text"), ["source", "page"], together=True)
+    return FO.fragments_on_a_line(_packed_spans(spark, sf_dir, lambda i: i % 5 != 3), ["source", "page"], together=True)
 
 
 @query("WN19")
 def collapsed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two lines of a page captured as one, and the visual lines it is split into."""
-    spans = _spans(spark, sf_dir, in_order=True).withColumn("size", F.lit(10.0)).withColumn("capture", F.floor(F.col("no") / 200_000))
+    spans = _packed_spans(spark, sf_dir).withColumn("size", F.transform("no", lambda _: F.lit(10.0))).withColumn("capture", F.floor(F.col("line_no") / 2))
     return FO.baseline_texts(spans, ["source", "page", "capture"], together=True)
 
 

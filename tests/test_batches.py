@@ -158,3 +158,25 @@ def test_many_small_captures_are_quick(spark):
     assert sorted(map(tuple, parts)) == [(0, "w w w w", 600_000), (1, "w w w w", 600_000)]
     assert sorted(map(tuple, boxes)) == [(0.0, 0.0, 195.0, 10.0, 600_000), (0.0, 20.0, 195.0, 30.0, 600_000)]
     assert time.perf_counter() - began < 60
+
+
+def test_packed_spans_are_the_spans(spark):
+    from pyspark.sql import functions as F
+
+    from stemma.operators.batches import in_groups
+    from stemma.plans import further_queries as Q
+
+    folder = "/root/testdata/sf0.001"
+    names = ["source", "page", "no", "text", "x0", "y0", "x1", "y1"]
+
+    def work(table, starts):
+        return table
+
+    plain = Q._spans(spark, folder).select(names)
+    for keep, where in ((None, "true"), (lambda i: i % 5 != 3, "no % 100000 % 5 <> 3")):
+        packed = Q._packed_spans(spark, folder, keep).select(names)
+        assert dict(packed.dtypes) == {c: f"array<{t}>" if c not in ("source", "page") else t for c, t in plain.dtypes}
+        got = in_groups(packed, ["source", "page"], plain.schema, work, together=True).collect()
+        pages = [(r.source, r.page) for r in got]
+        assert len(set(pages)) == 1 + sum(a != b for a, b in zip(pages, pages[1:]))  # a page's rows lie together
+        assert sorted(got) == sorted(plain.where(where).orderBy(F.col("no")).collect())
